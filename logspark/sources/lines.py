@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.base import strip
-from ..functions.paths import get_path
 
 
 def _with_file(df: DataFrame) -> DataFrame:
@@ -39,12 +38,6 @@ def stream_lines(spark: SparkSession, path: str, max_files: int = 100, pattern:
     return df.withColumn("raw", F.rtrim(F.col("raw"), F.lit("\r"))).filter(strip(F.col("raw")) != "")
 
 
-def number_lines(df: DataFrame) -> DataFrame:
-    """Adds line_no per file, starting at 0, for lines read with ``read_positions``."""
-    return df.withColumn("line_no", F.row_number().over(
-        Window.partitionBy("address").orderBy("raw_offset")) - 1)
-
-
 def read_positions(spark: SparkSession, path: str, pattern: str | None = None,
                    recursive: bool = False, block_bytes: int | None = None) -> DataFrame:
     """Lines with their byte offset (src_byte_offset).
@@ -87,13 +80,12 @@ def with_byte_offset(df: DataFrame, file: str = "address", block: str = "block",
 def tail_lines(df: DataFrame, n: int, file: str = "address", order: str = "raw_offset") -> DataFrame:
     """Last n lines of each file (src_file_tail_n).
 
-    The n largest positions of a file are found by a bounded top-k aggregate that combines on the
-    map side, so no task sees a whole file.
+    The rank filter is applied per input partition before the shuffle, so at most n rows of a
+    file leave a task.
     """
     n = max(1, min(int(n), 500))
-    cut = (df.groupBy(file).agg(F.max_by(F.col(order), F.col(order), n).alias("_top"))
-           .select(file, F.array_min("_top").alias("_cut")))
-    return df.join(cut, file).filter(F.col(order) >= F.col("_cut")).drop("_cut")
+    rank = F.row_number().over(Window.partitionBy(file).orderBy(F.col(order).desc()))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def fill_limit(lines: DataFrame, limit: int, file: str = "address", order: str = "raw_offset") -> DataFrame:
@@ -114,7 +106,3 @@ def from_journal(df: DataFrame, col: str = "raw") -> DataFrame:
     message = F.try_variant_get(parsed, "$.MESSAGE", "string")
     return (df.filter(parsed.isNotNull()).withColumn(col, F.coalesce(message, F.col(col)))
             .filter(strip(F.col(col)) != ""))
-
-
-def stamp_of(col: Column | str) -> Column:
-    return get_path(col, "event_time")
