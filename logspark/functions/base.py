@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 BLANKS = " \t\r\n\x0b\x0c"
 
@@ -37,9 +37,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+_BUILT: dict = {}
+
+
+def built(key: tuple, build: Callable[[], object]):
+    """Columns over named columns do not depend on a DataFrame, so the large ones are built once
+    per application and used again."""
+    session = SparkSession.getActiveSession()
+    key = (session.sparkContext.applicationId if session else None, *key)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
+def sql_text(value) -> str:
+    """A constant as SQL text."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
 def lit_map(table: dict) -> Column:
-    """A literal map; folded to a constant by the optimizer."""
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    """A literal map; folded to a constant by the optimizer. One parsed expression is much faster
+    to build than a call per entry."""
+    return F.expr("map(" + ", ".join(sql_text(x) for pair in table.items() for x in pair) + ")")
+
+
+def let_sql(value: Column, body: str) -> Column:
+    """``let`` with the body as SQL text, ``"x -> ..."``; for large bodies that are used often."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(body)), 0)
 
 
 def lookup(table: dict, key: Column) -> Column:

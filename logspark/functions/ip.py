@@ -6,11 +6,10 @@ import ipaddress
 
 from pyspark.sql import Column, functions as F
 
-from .base import any_of, c, let, strip
+from .base import any_of, c, let, let_sql, sql_text, strip
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _V4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
-_HEX = r"[0-9A-Fa-f]{1,4}"
 
 # --- fixed values: address blocks that do not count as external ------------------------------
 INTERNAL_V4 = [
@@ -28,78 +27,50 @@ EXTERNAL_V6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48
                "2001:20::/28", "2001:30::/28"]
 
 
-def is_v4(s: Column) -> Column:
-    return s.rlike(rf"^{_V4}$")
+_IS_V4 = f"s RLIKE {sql_text(f'^{_V4}$')}"
+# IPv4 text in the lambda variable s to a number.
+_V4_NUM = ("transform(array(split(s, '[.]')), p -> try_cast(p[0] AS bigint) * 16777216 + "
+           "try_cast(p[1] AS bigint) * 65536 + try_cast(p[2] AS bigint) * 256 + try_cast(p[3] AS bigint))[0]")
+_NUM = f"s -> CASE WHEN {_IS_V4} THEN {_V4_NUM} END"
 
+# IPv6: a dotted tail becomes two groups, "::" is filled up, leading zeros go.
+_TAIL = f"regexp_extract(b, {sql_text(f'({_V4})$')}, 1)"
+_LOW = ("transform(array(" + _TAIL + "), t -> lower(CASE WHEN t = '' THEN b ELSE concat("
+        "substr(b, 1, length(b) - length(t)), transform(array(split(t, '[.]')), p -> concat("
+        "hex(cast(p[0] AS int) * 256 + cast(p[1] AS int)), ':', hex(cast(p[2] AS int) * 256 + cast(p[3] AS int))))[0]"
+        ") END))[0]")
 
-def ip_v4_num(col: Column | str) -> Column:
-    """IPv4 text to a LONG, NULL for anything else."""
-
-    def number(part: Column) -> Column:
-        total = F.lit(0).cast("long")
-        for i in range(4):
-            total = total * 256 + F.get(part, i).try_cast("long")
-        return total
-
-    return let(strip(col), lambda s: F.when(is_v4(s), let(F.split(s, r"\."), number)))
-
-
-def _v6_groups(s: Column) -> Column:
-    """The eight groups of a valid IPv6 text, lower case without leading zeros, else NULL."""
-
-    def groups(text: Column) -> Column:
-        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
 
-    def filled(left: Column, right: Column) -> Column:
-        missing = F.lit(8) - F.size(left) - F.size(right)
-        return F.when(missing >= 1, F.concat(
-            left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right))
+def _side(text: str) -> str:
+    return f"transform(array({text}), h -> CASE WHEN h = '' THEN cast(array() AS array<string>) ELSE split(h, ':') END)[0]"
 
-    def expand(low: Column) -> Column:
-        gap = F.instr(low, "::")
-        return F.when(gap == 0, F.split(low, ":")).otherwise(
-            let(groups(F.substring(low, F.lit(1), gap - 1)), lambda left: let(
-                groups(F.substring(low, gap + 2, F.length(low))), lambda right: filled(left, right))))
 
-    def checked(whole: Column) -> Column:
-        ok = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike(rf"^{_HEX}$"))
-        return F.when(ok, F.transform(whole, lambda g: F.regexp_replace(g, r"^0+(?=.)", "")))
+_FILLED = (f"transform(array(named_struct('l', {_side('substr(w, 1, instr(w, chr(58) || chr(58)) - 1)')}, "
+           f"'r', {_side('substr(w, instr(w, chr(58) || chr(58)) + 2)')})), q -> CASE WHEN size(q.l) + size(q.r) < 8 "
+           "THEN concat(q.l, array_repeat('0', greatest(8 - size(q.l) - size(q.r), 0)), q.r) END)[0]")
+_WHOLE = f"transform(array({_LOW}), w -> CASE WHEN instr(w, '::') = 0 THEN split(w, ':') ELSE {_FILLED} END)[0]"
+_GROUPS = (f"transform(array({_WHOLE}), g -> CASE WHEN size(g) = 8 AND forall(g, x -> x RLIKE '^[0-9a-f]{{1,4}}$') "
+           "THEN transform(g, x -> regexp_replace(x, '^0+(?=.)', '')) END)[0]")
+# The first longest run of two or more zero groups becomes "::".
+_RUNS = " ".join(
+    f"WHEN j RLIKE '^(.*?):0(?::0){{{n - 1}}}:(.*)$' THEN "
+    f"regexp_replace(j, '^(.*?):0(?::0){{{n - 1}}}:(.*)$', '$1::$2')" for n in range(8, 1, -1))
+_TEXT = (f"regexp_replace(regexp_replace(transform(array(concat(':', array_join({_GROUPS}, ':'), ':')), "
+         f"j -> CASE {_RUNS} ELSE j END)[0], '^:(?!:)', ''), '(?<!:):$', '')")
+_BARE = "transform(array(regexp_replace(s, '%[^%/]+$', '')), b -> {})[0]"
+_CANON = (f"s -> CASE WHEN {_IS_V4} THEN s WHEN contains(s, ':') THEN concat({_BARE.format(_TEXT)}, "
+          "regexp_extract(s, '%[^%/]+$', 0)) END")
+_HEX32 = (f"s -> CASE WHEN contains(s, ':') THEN {_BARE.format(f'array_join(transform({_GROUPS}, x -> lpad(x, 4, chr(48))), chr(45))')} END")
 
-    tail = F.regexp_extract(s, rf"({_V4})$", 1)
-    hexed = let(ip_v4_num(tail), lambda n: F.concat(
-        F.substring(s, F.lit(1), F.length(s) - F.length(tail)),
-        F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535))))))
-    low = F.lower(F.when(tail != "", hexed).otherwise(s))
-    return let(let(low, expand), checked)
 
-
-def _v6_text(groups: Column) -> Column:
-    """Shortest form: the first longest run of two or more zero groups becomes ``::``."""
-
-    def shorten(padded: Column) -> Column:
-        branch = None
-        for run in range(8, 1, -1):
-            zeros = rf"^(.*?):0(?::0){{{run - 1}}}:(.*)$"
-            value = F.regexp_replace(padded, zeros, "$1::$2")
-            branch = (F.when(padded.rlike(zeros), value) if branch is None
-                      else branch.when(padded.rlike(zeros), value))
-        return branch.otherwise(padded)
-
-    padded = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
-    out = let(padded, shorten)
-    return F.regexp_replace(F.regexp_replace(out, r"^:(?!:)", ""), r"(?<!:):$", "")
+def ip_v4_num(col: Column | str) -> Column:
+    """IPv4 text to a LONG, NULL for anything else."""
+    return let_sql(strip(c(col).cast("string")), _NUM)
 
 
 def ip_canonical(col: Column | str) -> Column:
     """Canonical text of an IPv4 or IPv6 address, NULL if it is none (scl_ip)."""
-
-    def canon(s: Column) -> Column:
-        scope = F.regexp_extract(s, r"%[^%/]+$", 0)
-        bare = F.substring(s, F.lit(1), F.length(s) - F.length(scope))
-        return F.when(is_v4(s), s).when(
-            s.contains(":"), F.concat(_v6_text(_v6_groups(bare)), scope))
-
-    return let(strip(c(col).cast("string")), canon)
+    return let_sql(strip(c(col).cast("string")), _CANON)
 
 
 def ip_version(col: Column | str) -> Column:
@@ -108,9 +79,7 @@ def ip_version(col: Column | str) -> Column:
 
 def ip_v6_hex(col: Column | str) -> Column:
     """IPv6 as 32 hex digits, whose text order is the numeric order; NULL for anything else."""
-    s = F.regexp_replace(strip(c(col).cast("string")), r"%[^%/]+$", "")
-    return let(s, lambda a: F.when(a.contains(":"), F.array_join(
-        F.transform(_v6_groups(a), lambda g: F.lpad(g, 4, "0")), "")))
+    return F.replace(let_sql(strip(c(col).cast("string")), _HEX32), F.lit("-"), F.lit(""))
 
 
 def _in_v4(n: Column, blocks: list[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .base import c, let, lookup, strip
+from .base import c, let_sql, lookup, sql_text, strip
 from .tables import PRI_LABELS, SEVERITY_ALIAS, SEVERITY_NUMBER, STORE_SEVERITY
 
 
@@ -20,20 +20,25 @@ def severity_num(col: Column | str) -> Column:
     )
 
 
+def _sql_map(table: dict) -> str:
+    return "map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in table.items()) + ")"
+
+
+_STEPS = [(3, "info"), (5, "low"), (7, "medium"), (9, "high"), (10, "critical"), (19, "info"), (44, "low"),
+          (64, "medium"), (84, "high"), (100, "critical")]
+_OF_NUMBER = "CASE " + " ".join(f"WHEN n <= {top} THEN '{name}'" for top, name in _STEPS) + " END"
+_NAMED = f"coalesce(try_element_at({_sql_map(SEVERITY_ALIAS)}, t), t)"
+_UES = (
+    "t -> CASE WHEN t RLIKE '^[0-9]+$' THEN transform(array(cast(least(try_cast(t AS double), 100.0D) AS int)), "
+    f"n -> named_struct('label', {_OF_NUMBER}, 'number', n))[0] "
+    f"ELSE transform(array(try_element_at({_sql_map(SEVERITY_NUMBER)}, {_NAMED})), "
+    f"n -> named_struct('label', CASE WHEN n IS NOT NULL THEN {_NAMED} END, 'number', n))[0] END"
+)
+
+
 def severity_ues(col: Column | str) -> Column:
     """struct<label, number> of any severity-like text, both NULL if unknown (scl_severity_ues)."""
-
-    def canon(text: Column) -> Column:
-        digits = text.rlike(r"^\d+$")
-        number = F.least(text.try_cast("double"), F.lit(100.0)).cast("int")
-        named = F.coalesce(lookup(SEVERITY_ALIAS, text), text)
-        return F.struct(
-            F.when(digits, severity_num(number))
-            .when(named.isin(list(SEVERITY_NUMBER)), named).alias("label"),
-            F.when(digits, number).otherwise(lookup(SEVERITY_NUMBER, named)).alias("number"),
-        )
-
-    return let(F.lower(strip(c(col).cast("string"))), canon)
+    return let_sql(F.lower(strip(c(col).cast("string"))), _UES)
 
 
 def severity_store(col: Column | str) -> Column:

@@ -8,98 +8,83 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .base import c, let, lookup, strip
+from .base import c, let_sql, sql_text, strip
 
 _MONTHS = {m: f"{i:02d}" for i, m in enumerate(
     "jan feb mar apr may jun jul aug sep oct nov dec".split(), start=1)}
+_MONTH_MAP = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in _MONTHS.items()) + ")"
 
 _DAY = r"\d{4}-\d{2}-\d{2}"
 _CLOCK = r"\d{2}:\d{2}:\d{2}"
 
 
-def _epoch(s: Column) -> Column:
-    """Micros since 1970 of epoch text in seconds, millis, micros or nanos."""
-    number = s.try_cast("decimal(38,9)")
-
-    def scaled(factor: str) -> Column:
-        return (number * F.lit(factor).cast("decimal(12,6)")).cast("decimal(38,6)").try_cast("bigint")
-
-    return (
-        F.when(s.rlike(r"^\d{9,10}(\.\d+)?$"), scaled("1000000"))
-        .when(s.rlike(r"^\d{13}(\.\d+)?$"), scaled("1000"))
-        .when(s.rlike(r"^\d{16}$"), scaled("1"))
-        .when(s.rlike(r"^\d{19}$"), scaled("0.001"))
-    )
-
-
-def _month(name: Column) -> Column:
-    return lookup(_MONTHS, F.lower(name))
-
-
-def _pad(day: Column) -> Column:
-    return F.lpad(day, 2, "0")
-
-
-def _iso_text(s: Column, year: Column, part: Column) -> Column:
-
-    def p(i: int) -> Column:
-        return F.get(part, i)
-
-    def stamp(y, mo, d, clock) -> Column:
-        return F.concat(y, F.lit("-"), mo, F.lit("-"), _pad(d), F.lit("T"), clock)
-
-    def clock(i: int) -> Column:
-        return F.concat(_pad(p(i)), F.lit(":"), p(i + 1), F.lit(":"), p(i + 2))
-
-    dotted = F.replace(s, F.lit(","), F.lit("."))
-    z = F.lit("Z")
-    return (
-        F.when(s.rlike(rf"^{_DAY}[Tt ]{_CLOCK}([.,]\d{{1,9}})?$"), F.concat(dotted, z))
-        .when(s.rlike(rf"^{_DAY}[Tt ]{_CLOCK}([.,]\d{{1,9}})? ?(Z|[+-]\d{{2}}:?\d{{2}})$"), dotted)
-        .when(s.rlike(rf"^{_DAY}$"), F.concat(s, F.lit("T00:00:00Z")))
-        .when(s.rlike(rf"^{_DAY}[Tt ]\d{{2}}:\d{{2}}$"), F.concat(s, F.lit(":00Z")))
-        .when(s.rlike(rf"^\d{{4}}/\d{{2}}/\d{{2}} {_CLOCK}$"),
-              F.concat(F.replace(s, F.lit("/"), F.lit("-")), z))
-        .when(s.rlike(rf"^\d{{1,2}}/[A-Za-z]{{3}}/\d{{4}}:{_CLOCK} [+-]\d{{4}}$"),
-              F.concat(stamp(p(2), _month(p(1)), p(0), clock(3)), F.substring(s, -5, 5)))
-        .when(s.rlike(rf"^[A-Za-z]{{3}} \d{{1,2}} \d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}$"),
-              F.concat(stamp(p(2), _month(p(0)), p(1), clock(3)), z))
-        .when(s.rlike(rf"^[A-Za-z]{{3}} \d{{1,2}} \d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}:\d{{1,6}}$"),
-              F.concat(stamp(p(2), _month(p(0)), p(1), clock(3)), F.lit("."), p(6), z))
-        .when(s.rlike(rf"^[A-Za-z]{{3}} \d{{1,2}} \d{{1,2}}:\d{{2}}:\d{{2}}$"),
-              F.concat(stamp(year, _month(p(0)), p(1), clock(2)), z))
-        .when(s.rlike(rf"^[A-Za-z]{{3}} [A-Za-z]{{3}} \d{{1,2}} {_CLOCK} \d{{4}}$"),
-              F.concat(stamp(p(6), _month(p(1)), p(2), clock(3)), z))
-        .when(s.rlike(r"^\d{14}$"),
-              F.regexp_replace(s, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z"))
-        .when(s.rlike(r"^\d{8}$"),
-              F.regexp_replace(s, r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3T00:00:00Z"))
-        .when(s.rlike(r"^\d{8}T\d{6}Z?$"),
-              F.regexp_replace(s, r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)Z?$", "$1-$2-$3T$4:$5:$6Z"))
-        .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$"),
-              F.concat(stamp(p(2), _pad(p(0)), p(1), clock(3)), z))
-        .when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}:\d{2}$"),
-              F.concat(stamp(p(2), _pad(p(1)), p(0), clock(3)), z))
-    )
-
-
-def parse_ts(col: Column | str, year: int | Column | None = None) -> Column:
+def _month(i: int) -> str:
+    return f"try_element_at({_MONTH_MAP}, lower(p[{i}]))"
+
+
+def _stamp(year: str, month: str, day: str, clock: int) -> str:
+    """ISO text from pieces of the split ``p``."""
+    return (f"concat({year}, '-', {month}, '-', lpad({day}, 2, '0'), 'T', lpad(p[{clock}], 2, '0'), ':', "
+            f"p[{clock + 1}], ':', p[{clock + 2}])")
+
+
+def _shapes(year: str) -> list[tuple[str, str]]:
+    """(pattern, ISO-8601 text with zone) of every accepted shape; ``s`` is the text, ``p`` its pieces."""
+    name = "[A-Za-z]{3}"
+    return [
+        (rf"{_DAY}[Tt ]{_CLOCK}([.,]\d{{1,9}})?", "concat(replace(s, ',', '.'), 'Z')"),
+        (rf"{_DAY}[Tt ]{_CLOCK}([.,]\d{{1,9}})? ?(Z|[+-]\d{{2}}:?\d{{2}})", "replace(s, ',', '.')"),
+        (_DAY, "concat(s, 'T00:00:00Z')"),
+        (rf"{_DAY}[Tt ]\d{{2}}:\d{{2}}", "concat(s, ':00Z')"),
+        (rf"\d{{4}}/\d{{2}}/\d{{2}} {_CLOCK}", "concat(replace(s, '/', '-'), 'Z')"),
+        (rf"\d{{1,2}}/{name}/\d{{4}}:{_CLOCK} [+-]\d{{4}}",
+         f"concat({_stamp('p[2]', _month(1), 'p[0]', 3)}, right(s, 5))"),
+        (rf"{name} \d{{1,2}} \d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}",
+         f"concat({_stamp('p[2]', _month(0), 'p[1]', 3)}, 'Z')"),
+        (rf"{name} \d{{1,2}} \d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}:\d{{1,6}}",
+         f"concat({_stamp('p[2]', _month(0), 'p[1]', 3)}, '.', p[6], 'Z')"),
+        (rf"{name} \d{{1,2}} \d{{1,2}}:\d{{2}}:\d{{2}}",
+         f"concat({_stamp(year, _month(0), 'p[1]', 2)}, 'Z')"),
+        (rf"{name} {name} \d{{1,2}} {_CLOCK} \d{{4}}",
+         f"concat({_stamp('p[6]', _month(1), 'p[2]', 3)}, 'Z')"),
+        (r"\d{14}", "concat(substr(s, 1, 4), '-', substr(s, 5, 2), '-', substr(s, 7, 2), 'T', "
+                    "substr(s, 9, 2), ':', substr(s, 11, 2), ':', substr(s, 13, 2), 'Z')"),
+        (r"\d{8}(T\d{6}Z?)?", "concat(substr(s, 1, 4), '-', substr(s, 5, 2), '-', substr(s, 7, 2), 'T', "
+                              "coalesce(nullif(substr(s, 10, 2), ''), '00'), ':', "
+                              "coalesce(nullif(substr(s, 12, 2), ''), '00'), ':', "
+                              "coalesce(nullif(substr(s, 14, 2), ''), '00'), 'Z')"),
+        (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}",
+         f"concat({_stamp('p[2]', 'lpad(p[0], 2, chr(48))', 'p[1]', 3)}, 'Z')"),
+        (r"\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}:\d{2}",
+         f"concat({_stamp('p[2]', 'lpad(p[1], 2, chr(48))', 'p[0]', 3)}, 'Z')"),
+    ]
+
+
+# Epoch text: digits -> factor to microseconds.
+_EPOCH = [(r"\d{9,10}(\.\d+)?", "1000000"), (r"\d{13}(\.\d+)?", "1000"), (r"\d{16}", "1"), (r"\d{19}", "0.001")]
+
+
+def _matches(pattern: str) -> str:
+    return f"s RLIKE {sql_text('^' + pattern + '$')}"
+
+
+def _body(year: str) -> str:
+    epoch = " ".join(
+        f"WHEN {_matches(p)} THEN timestamp_micros(try_cast(try_cast(s AS decimal(38,9)) * {k} AS bigint))"
+        for p, k in _EPOCH)
+    iso = " ".join(f"WHEN {_matches(p)} THEN {v}" for p, v in _shapes(year))
+    split = "transform(array(split(s, '[ /:\\\\-]')), p -> CASE " + iso + " END)[0]"
+    return f"s -> CASE {epoch} WHEN s RLIKE '[0-9]' THEN try_cast({split} AS timestamp) END"
+
+
+def parse_ts(col: Column | str, year: int | None = None) -> Column:
     """Log timestamp text to TIMESTAMP; garbage gives NULL (scl_parse_ts).
 
     ``year`` completes syslog times that carry none; without it the current year is taken.
     """
-    if year is None:
-        y = F.year(F.current_timestamp()).cast("string")
-    else:
-        y = (year if isinstance(year, Column) else F.lit(str(year))).cast("string")
+    y = "cast(year(current_timestamp()) AS string)" if year is None else sql_text(str(year))
     s = F.regexp_replace(strip(c(col).cast("string")), r"\s+", " ")
-
-    def stamp(s: Column) -> Column:
-        numeric = s.rlike(r"^\d{9,}(\.\d+)?$") & ~s.rlike(r"^\d{14}$")
-        iso = let(F.split(s, r"[ /:\-]"), lambda part: _iso_text(s, y, part))
-        return F.when(numeric, F.timestamp_micros(_epoch(s))).otherwise(iso.try_cast("timestamp"))
-
-    return let(s, stamp)
+    return let_sql(s, _body(y))
 
 
 def iso_ms(col: Column | str) -> Column:

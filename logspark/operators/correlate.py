@@ -165,7 +165,8 @@ def _evidence_item() -> Column:
 def firings(events: DataFrame, params: Params = Params(),
             patterns: tuple[str, ...] = PATTERNS) -> tuple[DataFrame, DataFrame]:
     """(what fires after the cooldown, its evidence rows)."""
-    base = flagged(events)
+    # Read several times below; the flags come from the whole event text, this table does not carry it.
+    base = materialize(flagged(events), "flagged")
     over_source = tuple(x for x in patterns if x != REPEATED)
     branches = []
     if over_source:

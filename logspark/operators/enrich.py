@@ -81,14 +81,16 @@ def enr_geo(events: DataFrame, ranges: DataFrame, ipv6: bool = False) -> DataFra
         events = geo_join(events, ranges, side)
         if ipv6:
             events = geo_join_v6(events, ranges, side)
-    ues = F.col("ues")
+    parts = []
     for side in SIDES:
         ip = F.col(f"ues.{side}.ip")
         known = present(ip).isNotNull()
-        ues = (ues.withField(f"geo.{side}.country", F.when(known, F.col(f"geo_{side}.country")))
-               .withField(f"geo.{side}.city", F.when(known, F.col(f"geo_{side}.city")))
-               .withField(f"geo.{side}.internal", F.when(known, F.coalesce(ip_internal(ip), F.lit(False)))))
-    return events.withColumn("ues", ues).drop("geo_source", "geo_destination")
+        parts.append(F.struct(
+            F.when(known, F.col(f"geo_{side}.country")).alias("country"),
+            F.when(known, F.col(f"geo_{side}.city")).alias("city"),
+            F.when(known, F.coalesce(ip_internal(ip), F.lit(False))).alias("internal")).alias(side))
+    return events.withColumn("ues", F.col("ues").withField("geo", F.struct(*parts))).drop(
+        "geo_source", "geo_destination")
 
 
 # --- threat indicators -----------------------------------------------------------------------
@@ -211,8 +213,8 @@ def enr_threat(events: DataFrame, feed: DataFrame) -> DataFrame:
         F.coalesce(lookup(SEVERITY_NUMBER, label), F.lit(10)) < F.col("_score"))
     by_number = {n: k for k, n in SEVERITY_NUMBER.items()}
     ues = (F.col("ues")
-           .withField("threat.matched", F.when(hit, F.col("_matched")).otherwise(F.col("ues.threat.matched")))
-           .withField("threat.score", F.when(hit, F.col("_score")).otherwise(F.col("ues.threat.score")))
+           .withField("threat", F.when(hit, F.struct(
+               F.col("_matched").alias("matched"), F.col("_score").alias("score"))).otherwise(F.col("ues.threat")))
            .withField("tags", F.when(hit, F.concat(F.coalesce(
                F.col("ues.tags"), F.array().cast("array<string>")), F.array(F.lit("threat-intel"))))
                .otherwise(F.col("ues.tags")))
@@ -257,9 +259,8 @@ def enr_ip(events: DataFrame) -> DataFrame:
     for side in SIDES:
         ip = F.col(f"ues.{side}.ip")
         canonical = ip_canonical(ip)
-        ues = (ues.withField(f"{side}.ip", F.coalesce(canonical, ip))
-               .withField(f"{side}.ip_version", let(canonical, lambda a: F.when(
-                   a.contains(":"), 6).when(a.isNotNull(), 4))))
+        ues = ues.withField(side, F.col(f"ues.{side}").withField("ip", F.coalesce(canonical, ip)).withField(
+            "ip_version", let(canonical, lambda a: F.when(a.contains(":"), 6).when(a.isNotNull(), 4))))
     return events.withColumn("ues", ues)
 
 

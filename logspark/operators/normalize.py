@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.base import group, let, lit_map, present, strip
+from ..functions.base import built, group, let, lit_map, present, strip
 from ..functions.convert import TYPE_OF, convert, value_map
 from ..functions.paths import as_text
 from ..functions.severity import pri_label, severity_ues
@@ -215,6 +215,11 @@ def _field(target: str) -> str:
 
 def by_spec(df: DataFrame, specs: tuple[Spec, ...], year) -> tuple[DataFrame, list[str]]:
     """Adds ``_m`` (values), ``_spec_lineage`` and ``_spec_warnings`` of the effective spec."""
+    cols, targets = built(("by_spec", repr(specs), year), lambda: _by_spec(specs, year))
+    return df.withColumns(cols), targets
+
+
+def _by_spec(specs: tuple[Spec, ...], year) -> tuple[dict[str, Column], list[str]]:
     compiled = {s.id: compile_spec(s, year) for s in specs}
     targets = sorted({t for x in compiled.values() for t in x.values})
 
@@ -231,11 +236,9 @@ def by_spec(df: DataFrame, specs: tuple[Spec, ...], year) -> tuple[DataFrame, li
                     for sid, x in compiled.items() if x.lineage}, f"array<{LINEAGE_STRUCT}>")
     warnings = pick({sid: F.array_compact(F.array(*x.warnings))
                      for sid, x in compiled.items() if x.warnings}, "array<string>")
-    df = df.withColumns({
-        "_m": F.struct(*values) if values else F.struct(F.lit(None).alias("none")),
-        "_spec_lineage": lineage, "_spec_warnings": warnings,
-    })
-    return df, targets
+    cols = {"_m": F.struct(*values) if values else F.struct(F.lit(None).alias("none")),
+            "_spec_lineage": lineage, "_spec_warnings": warnings}
+    return cols, targets
 
 
 # --- inference -------------------------------------------------------------------------------
@@ -346,7 +349,7 @@ def normalize_parsed(df: DataFrame, specs: tuple[Spec, ...] = (), pipeline_id: s
     for target in [*INFER_TARGETS, *spec_targets]:
         pre.setdefault(target, m(target))
     df = df.withColumn("_pre", F.struct(*[v.alias(_field(t)) for t, v in pre.items()]))
-    df = df.withColumn("_cand", infer_candidates(F.col("_low_bag"), year))
+    df = df.withColumn("_cand", built(("infer", year), lambda: infer_candidates(F.col("_low_bag"), year)))
     taken = F.array_compact(F.array(*[
         F.when(F.col("_pre").getField(_field(t)).isNotNull(), F.lit(t)) for t in INFER_TARGETS]))
     df = df.withColumn("_taken", taken)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.base import strip
+from ..functions.base import built, strip
 from . import attributes as A
 from .detect import CEF_HEAD, LEEF_HEAD, detect_format, is_json, is_xml
 from .extract import (
@@ -76,12 +76,12 @@ def choose(raw: Column, specs: tuple[Spec, ...], exclude: tuple[str, ...] = ())
 
 def select_parser(df: DataFrame, specs: tuple[Spec, ...] = (), col: str = "raw") -> DataFrame:
     """Adds ``pick`` (par_select)."""
-    return df.withColumn("pick", choose(F.col(col), specs))
+    return df.withColumn("pick", built(("choose", col, repr(specs)), lambda: choose(F.col(col), specs)))
 
 
 def fallback_parser(df: DataFrame, col: str = "raw") -> DataFrame:
     """Where nothing was picked: the detected format decides, free text goes to plain (par_fallback)."""
-    det = F.when(F.col("pick").isNull(), detect_format(F.col(col)))
+    det = built(("detect", col), lambda: F.when(F.col("pick").isNull(), detect_format(F.col(col))))
     return df.withColumn("detection", det).withColumn(
         "parser",
         F.coalesce(F.col("pick.parser"),
@@ -122,26 +122,30 @@ def parse_chain(df: DataFrame, specs: tuple[Spec, ...] = (), col: str = "raw") -
     A syslog body is parsed once more; syslog itself is left out of that second choice.
     """
     df = fallback_parser(select_parser(df, specs, col), col)
-    df = df.withColumn("_outer", extract_with(F.col(col), F.col("parser"), F.col("pick.spec"), specs))
+    key = (col, repr(specs))
+    df = df.withColumn("_outer", built(("outer", *key), lambda: extract_with(
+        F.col(col), F.col("parser"), F.col("pick.spec"), specs)))
     body = F.col("_outer.sub_raw")
     df = df.withColumn("_sub", F.when(strip(body) != "", body))
-    df = df.withColumn("_pick2", F.when(F.col("_sub").isNotNull(), choose(F.col("_sub"), specs, ("syslog",))))
+    df = df.withColumn("_pick2", built(("pick2", *key), lambda: F.when(
+        F.col("_sub").isNotNull(), choose(F.col("_sub"), specs, ("syslog",)))))
     # An unpicked body falls back by its format; the built-in CSV case needs two lines and
     # everything else that has no pick is free text.
-    df = df.withColumn(
-        "_parser2", F.when(F.col("_sub").isNotNull(), F.coalesce(
-            F.col("_pick2.parser"),
-            F.when(detect_format(F.col("_sub"))["format"].isin([f for f in PRIORITY if f != "syslog"]),
-                   detect_format(F.col("_sub"))["format"]),
-            F.lit("plain"))))
+    df = df.withColumn("_det2", built(("detect2",), lambda: F.when(
+        F.col("_sub").isNotNull() & F.col("_pick2").isNull(), detect_format(F.col("_sub"))["format"])))
+    df = df.withColumn("_parser2", F.when(F.col("_sub").isNotNull(), F.coalesce(
+        F.col("_pick2.parser"),
+        F.when(F.col("_det2").isin([f for f in PRIORITY if f != "syslog"]), F.col("_det2")),
+        F.lit("plain"))))
     inner_formats = tuple(f for f in EXTRACTORS if f != "syslog")
-    df = df.withColumn("_inner", F.when(F.col("_sub").isNotNull(), extract_with(
-        F.col("_sub"), F.col("_parser2"), F.col("_pick2.spec"), specs, inner_formats)))
+    df = df.withColumn("_inner", built(("inner", *key), lambda: F.when(
+        F.col("_sub").isNotNull(), extract_with(
+            F.col("_sub"), F.col("_parser2"), F.col("_pick2.spec"), specs, inner_formats))))
     useful = F.col("_inner").isNotNull() & (
         (F.size(F.col("_inner.attrs")) > 0) | (F.coalesce(F.col("_inner.message"), F.lit("")) != ""))
     return (
         df.withColumn("parsed", F.when(useful, _merge("_outer", "_inner")).otherwise(F.col("_outer")))
         .withColumn("spec", F.coalesce(F.when(useful, F.col("_pick2.spec")), F.col("pick.spec")))
         .withColumn("parser_chain", F.when(useful, F.array(F.col("_parser2"))))
-        .drop("pick", "_outer", "_sub", "_pick2", "_parser2", "_inner")
+        .drop("pick", "_outer", "_sub", "_pick2", "_det2", "_parser2", "_inner")
     )
