@@ -1 +1,101 @@
-"""To come."""
+"""Streaming twins, run over what the tables hold now."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import logviews as V
+from ..session import new_dir
+from ..sources.lines import stream_lines
+from ..streaming import jobs as J
+from ..streaming.correlation import read_cases, stream_correlate
+from .alerting import _SESSIONS
+from .base import event_rows, line_view, ms, query
+from .correlation import ALL_SQL, PARAMS, _case_cols
+
+
+def _stream(spark, sf):
+    return (spark.readStream.schema(event_rows(spark, sf).schema).option("pathGlobFilter", "events.parquet")
+            .parquet(sf))
+
+
+_CLOSED = "(SELECT max(ms) FROM ev) - 600000"
+
+
+@query("str_activity", f"WITH {{EV}} SELECT ms // 3600000 * 3600000 AS bucket, count(*) AS n FROM ev GROUP BY 1 HAVING ms // 3600000 * 3600000 + 3600000 <= {_CLOSED}".replace(
+    "HAVING ms // 3600000 * 3600000 + 3600000", "HAVING min(ms) // 3600000 * 3600000 + 3600000"))
+def str_activity(spark, sf):
+    e = V.events(_stream(spark, sf)).select(F.col("ues.event_time").alias("t"))
+    return J.run_to_table(J.stream_activity(e, "t"), spark, "activity").select(ms("bucket").alias("bucket"), "n")
+
+
+@query("str_sessions", _SESSIONS.replace("{GAP}", "7199999") + f""" SELECT fp AS fingerprint, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS group_size
+  FROM s GROUP BY fp, sid HAVING max(ms) + 7200000 <= {_CLOSED}""")
+def str_sessions(spark, sf):
+    f = V.fields(_stream(spark, sf)).filter(F.col("kind").isin("error", "purchase"))
+    alerts = f.select(
+        F.when(F.col("kind") == "error", "security-failure").otherwise("high-severity").alias("rule"),
+        F.col("src").alias("source_ip"), F.col("t").alias("created_at"),
+        F.concat(F.lit("Normalized action="), "act", F.lit(", outcome=n/a.")).alias("reason"))
+    s = J.run_to_table(J.stream_sessions(alerts, "7200 seconds"), spark, "sessions")
+    return s.select("fingerprint", ms("first_seen").alias("first_ms"), ms("last_seen").alias("last_ms"), "group_size")
+
+
+@query("str_dedup", "SELECT count(DISTINCT user_id * 10 + length(event_type)) AS n FROM events")
+def str_dedup(spark, sf):
+    s = _stream(spark, sf).withColumn("t", F.col("ts").cast("timestamp")).withColumn(
+        "k", F.col("user_id") * 10 + F.length("event_type")).select("t", "k")
+    return J.run_to_table(J.stream_dedup(s, ["k"], "t", "60 days"), spark, "dedup").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _line_files(spark, sf, n: int = 4):
+    path = new_dir(spark, "lines")
+    line_view(spark, sf, "kv").select("raw").repartition(n).write.text(path)
+    return path
+
+
+@query("str_backpressure", "WITH {EV} SELECT {KV} AS raw FROM ev")
+def str_backpressure(spark, sf):
+    """One file per micro-batch; nothing is dropped."""
+    return J.run_to_table(stream_lines(spark, _line_files(spark, sf), max_files=1).select("raw"), spark, "slow")
+
+
+@query("str_pipeline", "WITH {EV} SELECT src, usr, act, ms, sha256({KV}) AS h FROM ev")
+def str_pipeline(spark, sf):
+    out = new_dir(spark, "pipeline")
+    q = J.start_pipeline(
+        stream_lines(spark, _line_files(spark, sf), max_files=2), (),
+        {"events": lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")},
+        new_dir(spark, "pipeline-checkpoint"), {"availableNow": True}, 2024)
+    q.awaitTermination()
+    e = spark.read.parquet(out)
+    return e.select(F.col("ues.source.ip").alias("src"), F.col("ues.user.name").alias("usr"), F.col("ues.action").alias("act"),
+                    ms("ues.event_time").alias("ms"), F.col("trace.raw_hash").alias("h"))
+
+
+@query("str_stats", "SELECT count(*) AS received, count(*) AS parsed, 0 AS with_warnings FROM events")
+def str_stats(spark, sf):
+    """The counters that the query progress reports, summed over the micro-batches."""
+    e = J.stream_stats(V.events(_stream(spark, sf)), "counters")
+    q = (e.select(F.col("trace.trace_id").alias("tid")).writeStream.format("parquet").option("path", new_dir(spark, "stats"))
+         .option("checkpointLocation", new_dir(spark, "stats-checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    seen = [p.observedMetrics["counters"] for p in q.recentProgress if "counters" in p.observedMetrics]
+    total = [sum(getattr(m, n) or 0 for m in seen) for n in ("received", "parsed", "with_warnings")]
+    return spark.createDataFrame([tuple(total)], "received bigint, parsed bigint, with_warnings bigint")
+
+
+def _correlated(spark, sf):
+    """The events in three files in time order, one per micro-batch."""
+    ev, path, out = event_rows(spark, sf), new_dir(spark, "ordered"), new_dir(spark, "live")
+    for a, b in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-03-01")):
+        ev.filter((F.col("ts") >= a) & (F.col("ts") < b)).coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = stream_correlate(V.events(s), out, new_dir(spark, "live-checkpoint"), PARAMS, trigger={"availableNow": True})
+    q.awaitTermination()
+    return read_cases(spark, out)
+
+
+@query("str_live_correlate", ALL_SQL)
+def str_live_correlate(spark, sf):
+    return _case_cols(_correlated(spark, sf))
