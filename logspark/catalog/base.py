@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import logviews as V
 from ..operators.normalize import normalize_logs
 from ..operators.specs import as_specs
-from ..session import utc
+from ..session import materialize, utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,5 +85,10 @@ def normalized(spark: SparkSession, sf_dir: str, fmt: str | None = None, specs=F
     return normalize_logs(line_view(spark, sf_dir, fmt), specs, year=2024)
 
 
+def stored(spark: SparkSession, sf_dir: str, fmt: str | None = None, specs=FLOW) -> DataFrame:
+    """Normalized events as a written table, the usual input of queries over events."""
+    return materialize(normalized(spark, sf_dir, fmt, specs), "events")
+
+
 def ms(col: Column | str) -> Column:
     return F.unix_millis(F.col(col) if isinstance(col, str) else col)

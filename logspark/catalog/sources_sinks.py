@@ -8,7 +8,7 @@ from ..session import new_dir
 from ..sinks import files as S, tables as T
 from ..sources import history as H, lines as L
 from ..streaming.jobs import run_to_table
-from .base import event_fields, event_rows, event_view, line_view, ms, normalized, query, table
+from .base import event_fields, event_rows, event_view, line_view, ms, query, stored, table
 
 
 def _kind_files(spark, sf):
@@ -184,7 +184,7 @@ def snk_relational_raw(spark, sf):
 @query("snk_relational_lineage", """WITH {EV} SELECT unnest(['source.ip','source.port','user.name','network.bytes_out']) AS normalized_field,
   unnest([src, CAST(sport AS VARCHAR), usr, CAST(nbytes AS VARCHAR)]) AS normalized_value, sha256({KV}) AS raw_hash FROM ev""")
 def snk_relational_lineage(spark, sf):
-    rows = T.to_tables(normalized(spark, sf, "kv", ()))[2]
+    rows = T.to_tables(stored(spark, sf, "kv", ()))[2]
     return rows.filter(F.col("normalized_field").isin("source.ip", "source.port", "user.name", "network.bytes_out")).select(
         "normalized_field", "normalized_value", "raw_hash")
 

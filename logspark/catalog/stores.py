@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dedup as D
 from ..plans import queries as Q
 from ..sinks.tables import flatten_events
-from .base import event_fields, event_rows, event_view, ms, normalized, query, table
+from .base import event_fields, event_rows, event_view, ms, query, stored, table
 
 
 def _tid():
@@ -79,7 +79,7 @@ def qry_event_by_trace(spark, sf):
 @query("qry_lineage", """WITH {EV} SELECT {KV} AS raw, sha256({KV}) AS hash, unnest(['srcip','user']) AS original_field,
   unnest([src, usr]) AS normalized_value FROM ev""")
 def qry_lineage(spark, sf):
-    rows = Q.lineage_of(normalized(spark, sf, "kv", ()))
+    rows = Q.lineage_of(stored(spark, sf, "kv", ()))
     return rows.filter(F.col("original_field").isin("srcip", "user")).select("raw", "hash", "original_field", "normalized_value")
 
 
@@ -87,15 +87,15 @@ def qry_lineage(spark, sf):
 def jn_lineage(spark, sf):
     from ..operators.normalize import lineage
 
-    n = normalized(spark, sf, "kv", ())
+    n = stored(spark, sf, "kv", ())
     flat = n.select(F.col("trace.trace_id").alias("trace_id"), F.col("ues.source.ip").alias("src"))
     rows = lineage(n).filter(F.col("original_field").isin("srcip", "user"))
     return Q.events_with_lineage(flat, rows).select("src", "original_field")
 
 
-@query("agg_lineage_confidence", "WITH {EV} SELECT event_id, CAST(8 + (outc IS NOT NULL)::INT AS INTEGER) AS mapped_fields, 0.78 AS confidence FROM ev")
+@query("agg_lineage_confidence", "WITH {EV} SELECT event_id, CAST(7 + (outc IS NOT NULL)::INT AS INTEGER) AS mapped_fields, 0.78 AS confidence FROM ev")
 def agg_lineage_confidence(spark, sf):
-    n = normalized(spark, sf, "kv", ())
+    n = stored(spark, sf, "kv", ())
     c = Q.lineage_confidence(n)
     ids = n.select("key_id", F.col("trace.trace_id").alias("trace_id"))
     return c.join(ids, "trace_id").select(F.col("key_id").alias("event_id"), "mapped_fields", "confidence")
