@@ -132,7 +132,6 @@ def par_vendor_specs(spark, sf):
                      F.lit('"GET /x HTTP/1.1" 200 12 "-" "curl"'))
     pan = F.concat(t("yyyy/MM/dd HH:mm:ss"), F.lit(",001,TRAFFIC,"), "act", F.lit(",informational,"), "src", F.lit(","),
                    "dst", F.lit(",4000,443,rule1,web,99,1,2,3,"), "usr", F.lit(",in,out,6,any"))
-    squid = F.concat(F.floor(ms("t") / 1000).cast("string"), F.lit(".000   120  45.1 TCP_"))
     squid = F.concat(F.floor(ms("t") / 1000).cast("string"), F.lit(".000 120 "), "src", F.when(
         deny, " TCP_DENIED/403").otherwise(" TCP_MISS/200"), F.lit(" 512 GET http://a.example/ "), "usr",
         F.lit(" DIRECT/1.2.3.4 text/html"))
@@ -229,7 +228,7 @@ def nrm_defaults(spark, sf):
 
 @query("nrm_lineage", """WITH {EV} SELECT event_id, 'srcip' AS source_from, src AS source_value, 1.0 AS source_conf,
   'offline key inference' AS inferred_by, 0.78 AS inferred_conf,
-  CASE WHEN act = 'deny' THEN 0.5 END AS derived_conf, CAST(14 AS INTEGER) AS n FROM ev""")
+  CASE WHEN act = 'deny' THEN 0.5 END AS derived_conf, CAST(15 AS INTEGER) AS n FROM ev""")
 def nrm_lineage(spark, sf):
     def rec(field):
         return F.get(F.filter("trace.lineage", lambda r: r["normalized_field"] == field), 0)
@@ -237,7 +236,7 @@ def nrm_lineage(spark, sf):
     def derived(r):
         return (r["normalized_field"] == "outcome") & (r["extraction_method"] == "derived regex")
 
-    # Mapping 7, taxonomy 1, derived 3 + 1 for a denial, inference 3 + 1 for an outcome not derived.
+    # Mapping 7, taxonomy 1, derived 3 + 1 for a denial, inference 4 + 1 for an outcome not derived.
     n = F.size("trace.lineage") - F.when(F.col("ues.action") == "deny", 1).otherwise(0) - F.when(
         (F.col("ues.action") != "deny") & F.col("ues.outcome").isNotNull(), 1).otherwise(0)
     return _kv(spark, sf).select(

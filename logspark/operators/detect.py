@@ -37,7 +37,7 @@ def looks_like_csv(raw: Column | str) -> Column:
     """At least two non-empty rows of one width of two or more (det_csv_shape)."""
     raw = c(raw)
     rows = F.filter(F.split(raw, r"\r\n|\r|\n"), lambda r: F.regexp_replace(r, r'[\s,"]', "") != "")
-    widths = F.array_distinct(F.transform(rows, csv_width))
+    widths = F.array_distinct(F.transform(rows, lambda r: csv_width(r)))
     return raw.contains(",") & (F.size(rows) >= 2) & (F.size(widths) == 1) & (F.get(widths, 0) >= 2)
 
 
