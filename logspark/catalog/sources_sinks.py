@@ -24,7 +24,8 @@ def _kind_files(spark, sf):
     return path
 
 
-_KIND = F.regexp_extract("address", "kind=([a-z]+)", 1)
+def _kind():
+    return F.regexp_extract("address", "kind=([a-z]+)", 1)
 
 
 @query("src_lines", "WITH {EV} SELECT {KV} AS raw FROM ev")
@@ -34,7 +35,7 @@ def src_lines(spark, sf):
 
 @query("src_dir_glob", "WITH {EV} SELECT {KV} AS raw, kind FROM ev")
 def src_dir_glob(spark, sf):
-    return L.read_lines(spark, _kind_files(spark, sf), pattern="*.txt", recursive=True).select("raw", _KIND.alias("kind"))
+    return L.read_lines(spark, _kind_files(spark, sf), pattern="*.txt", recursive=True).select("raw", _kind().alias("kind"))
 
 
 @query("src_tail", "WITH {EV} SELECT {KV} AS raw FROM ev")
@@ -49,20 +50,20 @@ _OFFSETS = """o AS (SELECT kind, event_id, {KV} AS raw, coalesce(sum(strlen({KV}
 
 @query("src_byte_offset", f"WITH {{EV}}, {_OFFSETS} SELECT kind, raw, raw_offset FROM o")
 def src_byte_offset(spark, sf):
-    return L.read_positions(spark, _kind_files(spark, sf), recursive=True).select(_KIND.alias("kind"), "raw", "raw_offset")
+    return L.read_positions(spark, _kind_files(spark, sf), recursive=True).select(_kind().alias("kind"), "raw", "raw_offset")
 
 
 @query("src_file_tail_n", "WITH {EV} SELECT kind, raw FROM (SELECT kind, {KV} AS raw, row_number() OVER (PARTITION BY kind ORDER BY event_id DESC) AS n FROM ev) WHERE n <= 7")
 def src_file_tail_n(spark, sf):
     rows = L.read_positions(spark, _kind_files(spark, sf), recursive=True)
-    return L.tail_lines(rows, 7).select(_KIND.alias("kind"), "raw")
+    return L.tail_lines(rows, 7).select(_kind().alias("kind"), "raw")
 
 
 @query("srt_fill_across_files", """WITH {EV}, t AS (SELECT kind, event_id, {KV} AS raw, row_number() OVER (PARTITION BY kind ORDER BY event_id DESC) AS n FROM ev)
   SELECT kind, raw FROM t WHERE n <= 30 ORDER BY kind, event_id LIMIT 30""")
 def srt_fill_across_files(spark, sf):
     rows = L.read_positions(spark, _kind_files(spark, sf), recursive=True)
-    return L.fill_limit(L.tail_lines(rows, 30), 30).select(_KIND.alias("kind"), "raw")
+    return L.fill_limit(L.tail_lines(rows, 30), 30).select(_kind().alias("kind"), "raw")
 
 
 @query("src_payload_lines", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, md5(l[i]) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i

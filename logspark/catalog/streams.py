@@ -93,9 +93,16 @@ def _correlated(spark, sf):
     s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
     q = stream_correlate(V.events(s), out, new_dir(spark, "live-checkpoint"), PARAMS, trigger={"availableNow": True})
     q.awaitTermination()
-    return read_cases(spark, out)
+    return out
+
+
+@query("str_state_expiry", f"WITH {{EV}} SELECT tid AS trace_id, src AS source FROM ev WHERE ms >= (SELECT max(ms) FROM ev) - {PARAMS.window * 1000}")
+def str_state_expiry(spark, sf):
+    """What the last micro-batch carries over: the trailing window of every source, nothing older."""
+    state = spark.read.parquet(f"{_correlated(spark, sf)}/state/tail")
+    return state.filter(F.col("batch") == state.agg(F.max("batch")).first()[0]).select("trace_id", "source")
 
 
 @query("str_live_correlate", ALL_SQL)
 def str_live_correlate(spark, sf):
-    return _case_cols(_correlated(spark, sf))
+    return _case_cols(read_cases(spark, _correlated(spark, sf)))

@@ -3,56 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import (
+    ArrayType, BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructType, TimestampType,
+)
 
 from .functions.paths import leaves
 
 SCHEMA_VERSION = "1.0.0"
 
-_MATCH = "array<struct<field:string,indicator:string,type:string,severity:string,feed:string>>"
-_GEO = "struct<country:string,city:string,internal:boolean>"
-
-UES_DDL = f"""
-schema_version string, event_id string, event_time timestamp, event_time_epoch_ms bigint,
-ingest_time timestamp, event_kind string, category string, type string, action string,
-outcome string, severity int, severity_label string, message string, service string,
-source struct<ip:string,port:int,host:string,zone:string,user:string,mac:string,ip_version:int>,
-destination struct<ip:string,port:int,host:string,zone:string,service:string,ip_version:int>,
-user struct<name:string,domain:string>,
-network struct<transport:string,protocol:string,direction:string,session_id:string,
-  application:string,bytes_in:bigint,bytes_out:bigint,packets:bigint,duration:double>,
-http struct<method:string,url:string,host:string,user_agent:string,referrer:string,
-  status_code:int,bytes:bigint>,
-dns struct<query:string,answer:string>,
-file struct<name:string,path:string,hash:string>,
-process struct<name:string,command_line:string,pid:int>,
-device struct<host:string,vendor:string,product:string,version:string,zone:string,interface:string>,
-threat struct<matched:{_MATCH},score:int>,
-geo struct<source:{_GEO},destination:{_GEO}>,
-labels map<string,string>, tags array<string>, ext map<string,string>
-"""
-
-META_DDL = """
-pipeline_id string, pipeline_version string, parser string, format string, parse_status string,
-source_type string, source_address string, source_transport string, parser_chain array<string>,
-detection struct<format:string,confidence:double,reason:string>, warnings array<string>,
-received_time timestamp, agent_id string, agent_fingerprint string
-"""
-
-LINEAGE_STRUCT = (
-    "struct<normalized_field:string,normalized_value:string,original_field:string,"
-    "original_value:string,mapping_rule:string,extraction_method:string,confidence:double,"
-    "parser:string,raw_hash:string>"
-)
+_BASIC = {"string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType(),
+          "boolean": BooleanType(), "timestamp": TimestampType()}
+TEXTS = ArrayType(StringType())
+PAIRS = MapType(StringType(), StringType())
+
+
+def record(text: str = "", **nested) -> StructType:
+    """A struct from ``"type: name name; type: name"`` and named nested types."""
+    out = StructType()
+    for part in filter(None, (p.strip() for p in text.split(";"))):
+        kind, names = part.split(":")
+        for name in names.split():
+            out.add(name, _BASIC[kind.strip()])
+    for name, dtype in nested.items():
+        out.add(name, dtype)
+    return out
+
+
+_GEO = record("string: country city; boolean: internal")
+
+UES: StructType = record(
+    """string: schema_version event_id; timestamp: event_time; bigint: event_time_epoch_ms; timestamp: ingest_time;
+    string: event_kind category type action outcome; int: severity; string: severity_label message service""",
+    source=record("string: ip; int: port; string: host zone user mac; int: ip_version"),
+    destination=record("string: ip; int: port; string: host zone service; int: ip_version"),
+    user=record("string: name domain"),
+    network=record("string: transport protocol direction session_id application; "
+                   "bigint: bytes_in bytes_out packets; double: duration"),
+    http=record("string: method url host user_agent referrer; int: status_code; bigint: bytes"),
+    dns=record("string: query answer"), file=record("string: name path hash"),
+    process=record("string: name command_line; int: pid"),
+    device=record("string: host vendor product version zone interface"),
+    threat=record(matched=ArrayType(record("string: field indicator type severity feed"))).add("score", IntegerType()),
+    geo=record(source=_GEO, destination=_GEO), labels=PAIRS, tags=TEXTS, ext=PAIRS)
+
+META: StructType = record(
+    "string: pipeline_id pipeline_version parser format parse_status source_type source_address source_transport",
+    parser_chain=TEXTS, detection=record("string: format; double: confidence; string: reason"), warnings=TEXTS,
+    received_time=TimestampType(), agent_id=StringType(), agent_fingerprint=StringType())
+
+LINEAGE = record("string: normalized_field normalized_value original_field original_value mapping_rule "
+                 "extraction_method; double: confidence; string: parser raw_hash")
+LINEAGE_STRUCT = LINEAGE.simpleString()
 
-TRACE_DDL = f"""
-trace_id string, correlation_id string, raw_hash string, raw_size bigint, raw_offset bigint,
-algorithm string, status string, lineage array<{LINEAGE_STRUCT}>
-"""
+TRACE: StructType = record(
+    "string: trace_id correlation_id raw_hash; bigint: raw_size raw_offset; string: algorithm status",
+    lineage=ArrayType(LINEAGE))
 
-UES: StructType = _parse_datatype_string(f"ues struct<{UES_DDL}>")[0].dataType
-META: StructType = _parse_datatype_string(f"m struct<{META_DDL}>")[0].dataType
-TRACE: StructType = _parse_datatype_string(f"t struct<{TRACE_DDL}>")[0].dataType
 EVENT = StructType().add("ues", UES).add("meta", META).add("trace", TRACE).add("raw", "string")
 
 UES_LEAVES = dict(leaves(UES))
