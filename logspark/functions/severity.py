@@ -45,7 +45,8 @@ def severity_store(col: Column | str) -> Column:
     """0-100 number on the storage scale (scl_severity_store)."""
     text = F.lower(strip(c(col).cast("string")))
     number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), text.try_cast("double"))
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)).cast("int")
+    # least() and greatest() skip NULL, so text that is no number must not reach them.
+    clamped = F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)).cast("int"))
     return F.coalesce(lookup(STORE_SEVERITY, text), clamped, F.lit(0))
 
 

@@ -458,5 +458,5 @@ def normalize_logs(df: DataFrame, specs: tuple[Spec, ...] = (), pipeline_id: str
 def lineage(events: DataFrame) -> DataFrame:
     """One row per written field (nrm_lineage)."""
     return (events.select(F.col("trace.trace_id").alias("trace_id"),
-                          F.posexplode("trace.lineage").alias("pos", "l"))
-            .select("trace_id", "pos", "l.*"))
+                          F.posexplode_outer("trace.lineage").alias("pos", "l"))
+            .filter("l IS NOT NULL").select("trace_id", "pos", "l.*"))

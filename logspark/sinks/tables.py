@@ -61,8 +61,8 @@ def to_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("trace.trace_id").alias("trace_id"), raw_hash.alias("sha256"),
         F.octet_length("raw").cast("bigint").alias("raw_size"), F.col("raw").alias("raw_payload"),
         F.col("meta.received_time").alias("received_time"))
-    rows = events.select(F.col("trace.trace_id").alias("trace_id"), F.explode("trace.lineage").alias("l"))
-    return main, raw, rows.select("trace_id", "l.*")
+    rows = events.select(F.col("trace.trace_id").alias("trace_id"), F.explode_outer("trace.lineage").alias("l"))
+    return main, raw, rows.filter("l IS NOT NULL").select("trace_id", "l.*")
 
 
 def replace_lineage(stored: DataFrame, fresh: DataFrame) -> DataFrame:
