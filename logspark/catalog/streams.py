@@ -30,7 +30,7 @@ def str_activity(spark, sf):
 
 
 @query("str_sessions", _SESSIONS.replace("{GAP}", "7199999") + f""" SELECT fp AS fingerprint, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS group_size
-  FROM s GROUP BY fp, sid HAVING max(ms) + 7200000 <= {_CLOSED}""")
+  FROM s GROUP BY fp, sid HAVING max(ms) + 7200000 <= (SELECT max(ms) FROM s) - 600000""")
 def str_sessions(spark, sf):
     f = V.fields(_stream(spark, sf)).filter(F.col("kind").isin("error", "purchase"))
     alerts = f.select(
