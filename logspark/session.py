@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,14 +17,31 @@ def utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the workers once a session, so that they find it from any folder."""
+    if getattr(spark.sparkContext, "_logspark_shipped", None) is None:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="logspark-ship-")) / "logspark_package.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for f in sorted(root.rglob("*")):
+                if f.suffix in (".py", ".yaml", ".csv"):
+                    out.write(f, f"{root.name}/{f.relative_to(root)}")
+        spark.sparkContext.addPyFile(str(archive))
+        spark.sparkContext._logspark_shipped = str(archive)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is used.
+    Only a local master may do without that setting (tests, a laptop): a temporary folder is used then. On a cluster
+    each machine would have its own, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = getattr(spark.sparkContext, "_logspark_scratch", None)
         if named is None:
