@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, shards, token_counts, token_files
+from . import bpe, decontaminate, neardup, quality, shards, token_counts, token_files, toxicity
 from .common import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -20,6 +20,39 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("token_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    judged = toxicity.score(docs, model)
+    return judged.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.phrase_matches(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+  b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+  bs AS (SELECT item_id, w, least(10, len(w)) AS l, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM b WHERE len(w) > 0),
+  bw AS (SELECT DISTINCT item_id, l, array_to_string(w[k:k + l - 1], ' ') AS win FROM bs),
+  ds AS (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, (SELECT DISTINCT l FROM bw) AS ls WHERE len(w) >= l),
+  dw AS (SELECT doc_id, l, s, array_to_string(w[s:s + l - 1], ' ') AS win FROM ds),
+  h AS (SELECT doc_id, item_id, s, l FROM dw JOIN bw USING (l, win)),
+  p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + l)) AS pos FROM h) GROUP BY doc_id),
+  i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
+""".replace("\\\\", "\\")
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     return placed.select("doc_id", F.col("shard_bytes").alias("size"),
@@ -39,5 +72,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_tokenizers.path(TOKENIZER), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_shards, op7_token_counts, op8_token_files)}
-ORACLES: dict[str, str] = {}
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(read(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_decontaminate, op5_shards, op7_token_counts,
+                                  op8_token_files, op9_neardup, op10_quality)}
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL}
