@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, neardup, quality, shards, token_counts, token_files, toxicity
+from . import bpe, decontaminate, language, neardup, quality, shards, token_counts, token_files, toxicity, transcripts
 from .common import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -53,6 +53,25 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
 """.replace("\\\\", "\\")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by text, markup, address and host; every document by text and its source in place of a host."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    names, model = language.fit_text(docs)
+    pages = language.page_evidence(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rows = language.union([docs.select("doc_id", "text", F.col("source").alias("host")),
+                           pages.select("page_id", "text", "declared", "host", "suffix")])
+    found = language.identify(rows, names, model)
+    return found.select("doc_id", "page_id", "declared", "host", "suffix", "text_lang", "lang", F.round("probability", 6).alias("probability"),
+                        (F.col("probability") >= 0.5).alias("kept"))
+
+
+def op6_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    raw = transcripts.write_up(turns)
+    model = transcripts.fit(raw.filter(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0))
+    return transcripts.parse(raw, model)
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     return placed.select("doc_id", F.col("shard_bytes").alias("size"),
@@ -73,7 +92,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.deduplicate(read(spark, sf_dir, "documents"))
+    return neardup.deduplicate(read(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +100,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_decontaminate, op5_shards, op7_token_counts,
-                                  op8_token_files, op9_neardup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_decontaminate, op4_language, op5_shards,
+                                  op6_transcripts, op7_token_counts, op8_token_files, op9_neardup, op10_quality)}
 ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL}

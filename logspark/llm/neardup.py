@@ -87,13 +87,14 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 2048) ->
     return (_mix(low) >> np.uint64(48)).astype("<u2")
 
 
-def _key(doc: str, text: str) -> Column:
-    return F.when(F.col(doc).isNotNull(), F.xxhash64(doc)).otherwise(F.xxhash64(F.lit("null"), text_of(text)))
+def row_key(doc: str = "doc_id", text: str = "text") -> Column:
+    """A number for a row's document number and text."""
+    return F.xxhash64(F.coalesce(F.col(doc).cast("string"), F.lit("null")), text_of(text))
 
 
 def signed(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Per document: number, row key, set size, class (a hash of the set; null for an empty one), signature."""
-    rows = df.select(F.col(doc).cast("long").alias("doc"), _key(doc, text).alias("key"), text_of(text).alias("text"))
+    rows = df.select(F.col(doc).cast("long").alias("doc"), row_key(doc, text).alias("key"), text_of(text).alias("text"))
 
     def make():
         import hashlib
@@ -164,7 +165,7 @@ def _small(df: DataFrame) -> DataFrame:
 def sets_of(df: DataFrame, classes: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
     """The shingle sets of the wanted classes, from the text of one document each: cls, n, shingles (packed)."""
     reps = materialize(classes.join(wanted, "cls", "left_semi").select("key", F.col("cls").alias("want")), "wanted")
-    rows = df.select(_key(doc, text).alias("key"), text_of(text).alias("text")).join(_small(reps), "key").select("want", "text")
+    rows = df.select(row_key(doc, text).alias("key"), text_of(text).alias("text")).join(_small(reps), "key").select("want", "text")
 
     def make():
         import hashlib
@@ -294,7 +295,7 @@ def links(df: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text
 
 
 def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = 64) -> DataFrame:
-    """Per document: its number, ``n_shingles``, ``component_id`` and ``kept``.
+    """Per document: its number, ``n_shingles``, ``component_id``, ``kept`` and ``row_key`` (see there).
 
     Documents are linked if their sets of five-word shingles have 100 * common >= 75 * union; ``component_id`` is the least number
     that links lead to, ``kept`` marks the document of that number. Texts without words have no shingles, are linked with
@@ -307,7 +308,7 @@ def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", bucket:
     least = with_components(docs.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc")), comps)
     name = least.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = materialize(least.select("cls", "comp").join(name, "comp").select("cls", "component_id"), "named")
-    full = docs.filter("cls IS NOT NULL").join(named, "cls").select("doc", "n", "component_id")
-    out = full.union(docs.filter("cls IS NULL").select("doc", "n", F.col("doc").alias("component_id")))
+    full = docs.filter("cls IS NOT NULL").join(named, "cls").select("doc", "n", "component_id", "key")
+    out = full.union(docs.filter("cls IS NULL").select("doc", "n", F.col("doc").alias("component_id"), "key"))
     return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), "component_id",
-                      F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
+                      F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"), F.col("key").alias("row_key"))
