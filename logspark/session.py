@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = getattr(spark.sparkContext, "_logspark_scratch", None)
