@@ -113,7 +113,9 @@ def par_plain(spark, sf):
 
 @query("par_vendor_specs", """WITH {EV} SELECT event_id,
   ['cisco-asa','fortigate-traffic','nginx-access','paloalto-panos','squid-proxy','sshd-auth'][CAST(event_id % 6 AS INTEGER) + 1] AS parser,
-  src, CASE event_id % 6 WHEN 2 THEN NULL WHEN 4 THEN (CASE act WHEN 'deny' THEN 'deny' ELSE 'allow' END) ELSE act END AS act,
+  src, CASE WHEN event_id % 6 NOT IN (2, 4, 5) THEN dst END AS dst, CASE WHEN event_id % 6 > 1 THEN usr END AS usr,
+  CASE event_id % 6 WHEN 2 THEN NULL WHEN 4 THEN (CASE act WHEN 'deny' THEN 'deny' ELSE 'allow' END) ELSE act END AS act,
+  CASE event_id % 6 WHEN 0 THEN 4000 WHEN 5 THEN 5000 WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE sport END AS sport,
   ms // 1000 * 1000 AS ms FROM ev""")
 def par_vendor_specs(spark, sf):
     f = event_fields(spark, sf)
@@ -122,29 +124,32 @@ def par_vendor_specs(spark, sf):
     def t(p: str):
         return F.date_format("t", p)
 
-    asa = F.concat(F.lit("<166>"), t("MMM d yyyy HH:mm:ss"), F.lit(": %ASA-6-302013: "), F.when(deny, F.concat(
-        F.lit("Deny TCP src outside:"), "src", F.lit("/4000 dst inside:"), "dst", F.lit("/22 by access-group"))
-    ).otherwise(F.concat(F.lit("Built inbound TCP connection 7 for DMZ:"), "dst", F.lit("/443 to OUT:"), "src",
-                         F.lit("/4000"))))
-    forti = F.concat(t("'date='yyyy-MM-dd' time='HH:mm:ss"), F.lit(" devname=fw1 srcip="), "src", F.lit(" dstip="), "dst",
-                     F.lit(" action="), F.when(deny, "deny").otherwise("accept"), F.lit(" level=notice"))
+    port = F.col("sport").cast("string")
+    asa = F.concat(F.lit("<166>"), t("MMM d yyyy HH:mm:ss"), F.lit(" edge : "), F.when(deny, F.concat(
+        F.lit("%ASA-4-106023: Deny tcp src outside:"), "src", F.lit("/4000 dst inside:"), "dst", F.lit('/22 by access-group "in" [0x0, 0x0]'))
+    ).otherwise(F.concat(F.lit("%ASA-6-302013: Built inbound TCP connection 7 for outside:"), "src", F.lit("/4000 ("), "src",
+                         F.lit("/4000) to dmz:"), "dst", F.lit("/443 ("), "dst", F.lit("/443)"))))
+    forti = F.concat(t("'date='yyyy-MM-dd' time='HH:mm:ss"), F.lit(' devname="fw1" logid="0000000013" type="traffic" subtype="forward" level="notice" srcip='),
+                     "src", F.lit(" srcport="), port, F.lit(" dstip="), "dst", F.lit(" dstport=443 action="), F.when(deny, "deny").otherwise("accept"))
     nginx = F.concat("src", F.lit(" - "), "usr", t("' ['dd/MMM/yyyy:HH:mm:ss' +0000] '"),
                      F.lit('"GET /x HTTP/1.1" 200 12 "-" "curl"'))
-    pan = F.concat(t("yyyy/MM/dd HH:mm:ss"), F.lit(",001,TRAFFIC,"), "act", F.lit(",informational,"), "src", F.lit(","),
-                   "dst", F.lit(",4000,443,rule1,web,99,1,2,3,"), "usr", F.lit(",in,out,6,any"))
-    squid = F.concat(F.floor(ms("t") / 1000).cast("string"), F.lit(".000 120 "), "src", F.when(
+    stamp = t("yyyy/MM/dd HH:mm:ss")
+    pan = F.concat_ws(",", F.lit("1"), stamp, F.lit("0017,TRAFFIC,end,1"), stamp, "src", "dst", F.lit("0.0.0.0,0.0.0.0,rule1"), "usr",
+                      F.lit(",web-browsing,vsys1,trust,untrust,eth1,eth2,default,1,99,1"), port, F.lit("443,0,0,0x0,tcp"), "act",
+                      F.lit("300,100,200,4"), stamp, F.lit("2,any"))
+    squid = F.concat(F.floor(ms("t") / 1000).cast("string"), F.lit(".000    120 "), "src", F.when(
         deny, " TCP_DENIED/403").otherwise(" TCP_MISS/200"), F.lit(" 512 GET http://a.example/ "), "usr",
-        F.lit(" DIRECT/1.2.3.4 text/html"))
+        F.lit(" HIER_DIRECT/192.0.2.4 text/html"))
     sshd = F.concat(F.lit("<38>"), t("MMM d HH:mm:ss"), F.lit(" host1 sshd[99]: "), F.when(
-        deny, "Failed password for ").otherwise("Accepted password for "), "usr", F.lit(" from "), "src",
+        deny, "Failed password for invalid user ").otherwise("Accepted publickey for "), "usr", F.lit(" from "), "src",
         F.lit(" port 5000 ssh2"))
     raw = F.get(F.array(asa, forti, nginx, pan, squid, sshd), (F.col("event_id") % 6).cast("int"))
     lines = V.spread(f.select(F.col("event_id").alias("key_id"), F.col("event_id").alias("line_no"), raw.alias("raw")),
                      "key_id")
-    specs = tuple(s for s in load_specs() if not s.id.startswith("demo"))
-    out = N.normalize_logs(lines, specs, year=2024)
-    return out.select(_id(), F.col("meta.parser").alias("parser"), F.col("ues.source.ip").alias("src"),
-                      F.col("ues.action").alias("act"), ms("ues.event_time").alias("ms"))
+    out = N.normalize_logs(lines, load_specs(), year=2024)
+    return out.select(_id(), F.col("meta.parser").alias("parser"), F.col("ues.source.ip").alias("src"), F.col("ues.destination.ip").alias("dst"),
+                      F.col("ues.user.name").alias("usr"), F.col("ues.action").alias("act"), F.col("ues.source.port").alias("sport"),
+                      ms("ues.event_time").alias("ms"))
 
 
 # --- normalization ---------------------------------------------------------------------------

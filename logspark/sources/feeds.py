@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.base import present, strip
 from ..functions.ip import ip_canonical, ip_v4_num, ip_v6_hex
 
-PACKAGED = Path(__file__).resolve().parent.parent / "feeds"
-
 
 def _rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """CSV rows with a header of any case; missing trailing fields are NULL."""
