@@ -10,7 +10,7 @@ from ..plans import queries as Q
 from .base import event_fields, event_view, ms, query
 
 HOURS6 = 21_600
-PARAMS = C.Params(window=HOURS6, brute_window=HOURS6, group_window=HOURS6)
+PARAMS = C.Params(window=HOURS6, brute_window=HOURS6, group_window=HOURS6, history=200)
 _W = f"PARTITION BY src ORDER BY ms RANGE BETWEEN {HOURS6 * 1000} PRECEDING AND CURRENT ROW"
 _WA = f"PARTITION BY src, act ORDER BY ms RANGE BETWEEN {HOURS6 * 1000} PRECEDING AND CURRENT ROW"
 
@@ -148,7 +148,7 @@ def win_recent_count(spark, sf):
   SELECT tid AS firing, unnest(l) AS evidence FROM r WHERE kind = 'signup'""")
 def win_recent_evidence(spark, sf):
     f = _flagged(spark, sf)
-    return W.recent_evidence(f, F.col("kind") == "signup", F.col("bad"), ["src"], "t", "tid", HOURS6, 5).select("firing", "evidence")
+    return W.recent_evidence(f, F.col("kind") == "signup", F.col("bad"), ["src"], "t", "tid", HOURS6, 5, cap=200).select("firing", "evidence")
 
 
 @query("win_failed_history", """WITH {EV} SELECT tid, CAST(len(l[-20:]) AS INTEGER) AS n, l[-20:][1] AS first_ms FROM (
@@ -179,7 +179,7 @@ def win_latest_per_key(spark, sf):
 def jn_case_events(spark, sf):
     e = event_view(spark, sf)
     c = C.cor_bruteforce_success(e, PARAMS)
-    n = Q.case_events(c, e)
+    n = Q.case_events(c, e, 8)
     return n.join(c.select("correlation_id", F.col("trigger_trace_id").alias("fired_by")), "correlation_id").select(
         "fired_by", "pos", "trace_id", "action")
 
@@ -188,7 +188,7 @@ def jn_case_events(spark, sf):
   SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM x)""")
 def qry_trace_graph(spark, sf):
     e = event_view(spark, sf)
-    return Q.trace_graph(C.cor_bruteforce_success(e, PARAMS), e).select("trace_id", "next_trace_id")
+    return Q.trace_graph(C.cor_bruteforce_success(e, PARAMS), e, 8).select("trace_id", "next_trace_id")
 
 
 @query("qry_cases", _ONE + " SELECT src AS source_ip, ms FROM x ORDER BY ms DESC LIMIT 5")

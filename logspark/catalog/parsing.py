@@ -105,12 +105,24 @@ def par_syslog(spark, sf):
                     F.col("p.event_time_raw").alias("t"))
 
 
-@query("par_plain", "SELECT doc_id, md5(substr(trim(text, E' \\t\\r\\n\\x0b\\x0c'), 1, 2000)) AS h FROM documents")
+@query("par_plain", "SELECT doc_id, md5(trim(text, E' \\t\\r\\n\\x0b\\x0c')) AS h FROM documents")
 def par_plain(spark, sf):
     p = table(spark, sf, "documents").withColumn("p", EXTRACTORS["plain"]("text"))
     return p.select("doc_id", F.md5(F.col("p.message").cast("binary")).alias("h"))
 
 
+@query("par_json_deep", """WITH {EV} SELECT event_id, src, usr, CASE WHEN event_id % 3 = 0 THEN 'a.b.c.d.e.f.srcip' ELSE 'srcip' END AS key FROM ev""")
+def par_json_deep(spark, sf):
+    """Addresses seven levels deep."""
+    f = event_fields(spark, sf)
+    leaf = F.concat(F.lit('{"srcip":"'), "src", F.lit('","note":"{{","user":"'), "usr", F.lit('"}'))
+    deep = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":{"f":'), leaf, F.lit("}}}}}}"))
+    raw = f.select("event_id", F.when(F.col("event_id") % 3 == 0, deep).otherwise(leaf).alias("raw"))
+    p = raw.withColumn("p", EXTRACTORS["json"]("raw"))
+    at = lambda end: F.get(F.filter("p.attrs", lambda x: x["key"].endswith(end)), 0)
+    return p.select("event_id", at("srcip")["value"].alias("src"), at("user")["value"].alias("usr"), at("srcip")["key"].alias("key"))
+
+
 @query("par_vendor_specs", """WITH {EV} SELECT event_id,
   ['cisco-asa','fortigate-traffic','nginx-access','paloalto-panos','squid-proxy','sshd-auth'][CAST(event_id % 6 AS INTEGER) + 1] AS parser,
   src, CASE WHEN event_id % 6 NOT IN (2, 4, 5) THEN dst END AS dst, CASE WHEN event_id % 6 > 1 THEN usr END AS usr,
@@ -310,7 +322,7 @@ _KV_FIELDS = """SELECT unnest(['timestamp','srcip','dstip','srcport','dstport','
   CASE key WHEN 'outcome' THEN (SELECT count(*) FROM ev WHERE outc IS NOT NULL) ELSE (SELECT count(*) FROM ev) END AS n,
   target, type FROM k""")
 def agg_profile_fields(spark, sf):
-    return profile.profile_fields(parse_chain(line_view(spark, sf, "kv")))
+    return profile.profile_fields(parse_chain(line_view(spark, sf, "kv")), 25)
 
 
 @query("agg_ts_coverage", """WITH {EV} SELECT count(*) FILTER (WHERE fmt <> 'csv') AS timestamps, count(*) AS total FROM ev""")

@@ -59,6 +59,12 @@ def src_file_tail_n(spark, sf):
     return L.tail_lines(rows, 7).select(_kind().alias("kind"), "raw")
 
 
+@query("src_file_tail_long", "WITH {EV} SELECT kind, raw FROM (SELECT kind, {KV} AS raw, row_number() OVER (PARTITION BY kind ORDER BY event_id DESC) AS n FROM ev) WHERE n <= 1500")
+def src_file_tail_long(spark, sf):
+    rows = L.read_positions(spark, _kind_files(spark, sf), recursive=True)
+    return L.tail_lines(rows, 1500).select(_kind().alias("kind"), "raw")
+
+
 @query("srt_fill_across_files", """WITH {EV}, t AS (SELECT kind, event_id, {KV} AS raw, row_number() OVER (PARTITION BY kind ORDER BY event_id DESC) AS n FROM ev)
   SELECT kind, raw FROM t WHERE n <= 30 ORDER BY kind, event_id LIMIT 30""")
 def srt_fill_across_files(spark, sf):

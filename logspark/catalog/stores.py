@@ -42,12 +42,22 @@ def set_dedup_receipt(spark, sf):
 
 
 # --- sorts and pages -------------------------------------------------------------------------
-@query("srt_recent_page", "WITH {EV} SELECT tid, ms FROM ev ORDER BY ms DESC, tid LIMIT 200 OFFSET 200")
+@query("srt_recent_page", "WITH {EV} SELECT tid, ms FROM ev ORDER BY ms DESC, tid LIMIT 5000 OFFSET 5000")
 def srt_recent_page(spark, sf):
     e = event_view(spark, sf)
     return Q.page(e, [F.col("ues.event_time").desc(), F.col("trace.trace_id")], 5000, 2).select(_tid(), ms("ues.event_time").alias("ms"))
 
 
+@query("srt_page_after", "WITH {EV} SELECT tid, ms FROM ev ORDER BY ms DESC, tid LIMIT 300 OFFSET 300")
+def srt_page_after(spark, sf):
+    """The second page by the last row of the first."""
+    e = event_view(spark, sf)
+    time, tie = F.col("ues.event_time"), F.col("trace.trace_id")
+    last = Q.page_after(e, time, tie, 300).agg(F.min_by(F.struct(time.alias("t"), tie.alias("i")), F.struct(
+        time, -F.substring(tie, 2, 12).cast("bigint"))).alias("x")).first().x
+    return Q.page_after(e, time, tie, 300, (last.t, last.i)).select(_tid(), ms("ues.event_time").alias("ms"))
+
+
 @query("srt_default_query", """WITH {EV} SELECT ms, cat AS category, act AS action, src AS source_ip, usr AS "user" FROM ev ORDER BY ms DESC, tid LIMIT 40""")
 def srt_default_query(spark, sf):
     return Q.recent(flatten_events(event_view(spark, sf)), 40).select(
@@ -107,6 +117,11 @@ def qry_verify(spark, sf):
     return Q.verify(e).select("trace_id", "verified")
 
 
+@query("qry_export_all", "WITH {EV} SELECT tid, ms FROM ev")
+def qry_export_all(spark, sf):
+    return Q.export(event_view(spark, sf)).select(_tid(), ms("ues.event_time").alias("ms"))
+
+
 @query("qry_export", "WITH {EV} SELECT tid FROM ev ORDER BY ms DESC, tid LIMIT 3000")
 def qry_export(spark, sf):
     return Q.export(event_view(spark, sf), 3000).select(_tid())
@@ -142,7 +157,7 @@ def agg_suspicious(spark, sf):
 @query("agg_shared_source", """WITH {EV} SELECT src AS source_ip, count(*) AS attempts, CAST(least(40 + count(*) * 6, 92) AS INTEGER) AS risk_score,
   CASE WHEN count(*) >= 6 THEN 'high' ELSE 'medium' END AS severity FROM ev GROUP BY src HAVING count(*) > 1 ORDER BY min(ms), src LIMIT 6""")
 def agg_shared_source(spark, sf):
-    return Q.shared_source(event_view(spark, sf)).select("source_ip", "attempts", "risk_score", "severity")
+    return Q.shared_source(event_view(spark, sf), 6).select("source_ip", "attempts", "risk_score", "severity")
 
 
 def _beats(spark, sf):

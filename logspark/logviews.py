@@ -18,12 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a table that comes in fewer files than there are cores.
-
-    Large tables have enough input splits and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deals a narrow table out by a key before lines are made of it, in as many parts as a shuffle has; parsing is far
+    dearer than moving it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _by_type(default: str | None, **values: str) -> Column:

@@ -26,7 +26,7 @@ class Params:
     group_threshold: int = 3
     brute_threshold: int = 5
     cooldown: int = 600
-    history: int = 200
+    history: int | None = None  # events of a source looked back over; none: all of the window
 
 
 FAILURES, REPEATED, SSH = "brute-force-failures", "repeated-failures", "ssh-brute-force"
@@ -144,7 +144,8 @@ def _repeated(base: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     keys = ["source", "_fa"]
     s = s.withColumn("r", running(F.lit(True), keys, "trace_id"))
     s = s.withColumn("w", before_window("r", keys, p.group_window))
-    n = F.least(F.col("r") - F.col("w"), F.lit(p.history))
+    n = F.col("r") - F.col("w")
+    n = n if p.history is None else F.least(n, F.lit(p.history))
     role = F.concat(F.lit("sec:"), F.col("_fa"))
     fire = _fire(REPEATED, ~F.col("fail") & (n >= p.group_threshold),
                  F.concat(F.col("source"), F.lit(":"), F.col("_fa")), n, role,

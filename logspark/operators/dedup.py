@@ -21,11 +21,12 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """First row per non-empty key; rows without a key all stay (set_dedup_event).
 
     The aggregate keeps one position per key and combines on the map side, so copies of one key
-    never meet in one task as whole rows.
+    never meet in one task as whole rows. Of rows equal in key and order any one stays.
     """
     has = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
     first = df.filter(has).groupBy(key).agg(F.min(order).alias(order))
-    return df.filter(has).join(first, [key, order], "left_semi").unionByName(df.filter(~has))
+    return (df.filter(has).join(first, [key, order], "left_semi").dropDuplicates([key])
+            .unionByName(df.filter(~has)))
 
 
 def claim_receipts(items: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:

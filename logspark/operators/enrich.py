@@ -200,7 +200,7 @@ def enr_threat(events: DataFrame, feed: DataFrame) -> DataFrame:
     matched = F.array_compact(F.array(
         entry("source.ip", F.col("ues.source.ip"), "hit_source"),
         entry("destination.ip", F.col("ues.destination.ip"), "hit_destination"),
-        entry("http.host", F.substring(host, 1, 120), "hit_host"),
+        entry("http.host", host, "hit_host"),
         entry("http.url", url_host("ues.http.url"), "hit_url"),
         entry("message", F.col("hit_text_indicator"), "hit_text")))
     events = events.withColumn("_matched", matched)
@@ -281,7 +281,7 @@ def classify_text(col: Column | str) -> Column:
 
 def enr_classify(events: DataFrame) -> DataFrame:
     """Action synonym, outcome, category and type where they are missing."""
-    text = F.substring(F.concat_ws(" ", present(F.col("ues.message")), present(F.col("raw"))), 1, 4000)
+    text = F.concat_ws(" ", present(F.col("ues.message")), present(F.col("raw")))
     # The text is bound in a projection of its own so that the word tests share it.
     events = events.withColumn("_text", text)
     t = F.col("_text")

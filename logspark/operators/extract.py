@@ -40,7 +40,7 @@ def with_lower(bag: Column, body) -> Column:
 
 def par_plain(raw: Column | str, options: dict | None = None) -> Column:
     """The whole line as message."""
-    return parsed(message=F.substring(strip(raw), 1, 2000))
+    return parsed(message=strip(raw))
 
 
 # --- syslog ----------------------------------------------------------------------------------
@@ -75,13 +75,13 @@ def par_syslog(raw: Column | str, options: dict | None = None) -> Column:
     new = parsed(
         attrs=_named(("syslog.app", _dash(g(5))), ("syslog.proc", _dash(g(6))),
                      ("syslog.msgid", _dash(g(7))), ("syslog.sdata", present(g(8)))),
-        message=F.substring(g(9), 1, 512), event_time_raw=_dash(g(3)), host=_dash(g(4)),
+        message=g(9), event_time_raw=_dash(g(3)), host=_dash(g(4)),
         pri=g(1).try_cast("int"), sub_raw=g(9))
     old = parsed(
         attrs=_named(("syslog.tag", present(h(4))), ("syslog.pid", present(h(5)))),
-        message=F.substring(h(6), 1, 512), event_time_raw=h(2), host=h(3),
+        message=h(6), event_time_raw=h(2), host=h(3),
         pri=h(1).try_cast("int"), sub_raw=h(6))
-    odd = parsed(message=F.substring(line, 1, 512), sub_raw=line,
+    odd = parsed(message=line, sub_raw=line,
                  warnings=[F.lit("unrecognized syslog envelope")])
     return F.when(line.rlike(IS_5424), new).when(line.rlike(IS_3164), old).otherwise(odd)
 
@@ -114,19 +114,26 @@ def _open_objects(entries: Column) -> Column:
     return F.flatten(F.transform(entries, members))
 
 
-def json_bag(raw: Column, depth: int = 4) -> Column:
-    """Flat attributes of a JSON object. Objects nested deeper than ``depth`` stay JSON text."""
-    entries = F.map_entries(F.from_json(raw, "map<string,variant>"))
-    for _ in range(depth):
-        entries = let(entries, lambda e: F.when(
-            F.exists(e, lambda p: _is_object(p["value"])), _open_objects(e)).otherwise(e))
+def json_bag(raw: Column, depth: int | None = None) -> Column:
+    """Flat attributes of a JSON object, however deep, or with objects below ``depth`` as JSON text.
+
+    A line can't nest deeper than it has opening braces; one level is opened a step, and steps with nothing left
+    to open leave the entries as they are.
+    """
+    levels = F.length(raw) - F.length(F.replace(raw, F.lit("{"), F.lit("")))
+    if depth is not None:
+        levels = F.least(levels, F.lit(depth + 1))
+    first = F.map_entries(F.from_json(raw, "map<string,variant>"))
+    step = F.when(levels > 1, F.sequence(F.lit(2), levels)).otherwise(F.array().cast("array<int>"))
+    entries = F.aggregate(step, first.cast(_VARIANTS), lambda e, _: F.when(
+        F.exists(e, lambda p: _is_object(p["value"])), _open_objects(e)).otherwise(e))
     return A.dedup(F.transform(entries, lambda p: A.pair(p["key"], p["value"].cast("string"))))
 
 
 def par_json(raw: Column | str, options: dict | None = None) -> Column:
     """Flattened JSON object, or the array text under ``items``."""
     line = strip(raw)
-    depth = int((options or {}).get("depth", 4))
+    depth = (options or {}).get("depth")
     bag = F.when(line.startswith("["), F.array(A.pair(F.lit("items"), line))).otherwise(
         json_bag(line, depth))
     return with_lower(F.coalesce(bag, A.empty_bag()), lambda bag, low: parsed(
@@ -405,7 +412,7 @@ def par_xml(raw: Column | str, options: dict | None = None) -> Column:
         plain = F.filter(bag, lambda p: ~p["value"].startswith('["'))
         words = F.array_join(F.transform(F.slice(plain, 1, 6), lambda p: p["value"]), " ")
         return parsed(
-            attrs=bag, message=F.substring(words, 1, 300),
+            attrs=bag, message=words,
             event_time_raw=A.first_of(low, ["timestamp", "eventtime", "time", "date", "datetime"]),
             warnings=[F.when(~is_xml(line), F.lit("xml parse error"))])
 
@@ -445,7 +452,7 @@ def par_regex(raw: Column | str, options: dict | None = None) -> Column:
         bag = _named(*[(n, g(n)) for n in names], *extra) if extra else bag
         value = parsed(
             attrs=bag,
-            message=F.coalesce(g("msg"), g("message"), F.substring(strip(raw), 1, 400)),
+            message=F.coalesce(g("msg"), g("message"), strip(raw)),
             event_time_raw=g(time_group) if time_group else F.lit(None),
             host=F.coalesce(g("host"), g("hostname"), g("devname")),
             pri=F.regexp_replace(g("pri"), r"^[<>]+|[<>]+$", "").try_cast("int"))

@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 
-HISTORY = 200
-
 
 # --- slices and running counts ---------------------------------------------------------------
 def sliced(df: DataFrame, ts: str, seconds: int, windows_per_slice: int = 2) -> DataFrame:
@@ -45,15 +43,17 @@ def before_window(total: str, keys: list[str], seconds: int) -> Column:
     return F.coalesce(old, F.lit(0))
 
 
-def before_history(total: str, keys: list[str], tie: str, cap: int) -> Column:
-    """Running count as it stood ``cap`` rows ago."""
+def before_history(total: str, keys: list[str], tie: str, cap: int | None) -> Column:
+    """Running count as it stood ``cap`` rows ago; without a cap nothing is left out."""
+    if cap is None:
+        return F.lit(0).cast("bigint")
     w = Window.partitionBy(*keys, "_slice").orderBy("_ms", tie)
     return F.coalesce(F.lag(total, cap).over(w), F.lit(0))
 
 
 def recent_count(df: DataFrame, flag: Column, keys: list[str], ts: str, tie: str, seconds: int,
-                 cap: int = HISTORY, name: str = "n") -> DataFrame:
-    """Flagged rows of the key in the trailing ``seconds``, looking back over at most ``cap`` rows
+                 cap: int | None = None, name: str = "n") -> DataFrame:
+    """Flagged rows of the key in the trailing ``seconds``, looking back over all rows or at most ``cap``
     (win_recent_count).
 
     Both limits cut off a prefix, so the count is the running total minus the larger prefix.
@@ -67,7 +67,7 @@ def recent_count(df: DataFrame, flag: Column, keys: list[str], ts: str, tie: str
 
 
 def recent_evidence(df: DataFrame, firing: Column, flag: Column, keys: list[str], ts: str, tie: str,
-                    seconds: int, k: int, cap: int = HISTORY) -> DataFrame:
+                    seconds: int, k: int, cap: int | None = None) -> DataFrame:
     """(firing tie, evidence tie, pos) of the last k flagged rows up to each firing row
     (win_recent_evidence).
 
@@ -88,7 +88,7 @@ def recent_evidence(df: DataFrame, firing: Column, flag: Column, keys: list[str]
 
 
 def failed_history(df: DataFrame, flag: Column, keys: list[str], ts: str, tie: str,
-                   seconds: int = 300, k: int = 20) -> DataFrame:
+                   seconds: int, k: int) -> DataFrame:
     """Times of the last k flagged rows within the window at every flagged row
     (win_failed_history). The frame is k rows wide, so a list never grows past k."""
     s = sliced(df.filter(flag), ts, seconds)

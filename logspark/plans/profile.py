@@ -26,15 +26,15 @@ def profile_parsers(parsed: DataFrame) -> DataFrame:
             .orderBy(F.col("n").desc(), "parser"))
 
 
-def profile_fields(parsed: DataFrame, top: int = 25) -> DataFrame:
-    """Most frequent fields with suggested target and guessed type (agg_profile_fields)."""
+def profile_fields(parsed: DataFrame, top: int | None = None) -> DataFrame:
+    """Fields, all or the ``top`` most frequent, with suggested target and guessed type (agg_profile_fields)."""
     # The outer form: for a plain explode the optimizer derives a filter on the array and pushes a
     # copy of the whole extraction below itself.
     pairs = parsed.select(F.explode_outer("parsed.attrs").alias("a")).select("a.key", "a.value").filter(
         "key IS NOT NULL")
     n = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("sample"))
     targets = {k: t for k, (t, _) in INFERENCE.items()}
-    return top_k(n, top).select(
+    return (n if top is None else top_k(n, top)).select(
         "key", "n", F.coalesce(lookup(targets, F.lower("key")), F.lit("<target.path>")).alias("target"),
         guess_type("sample").alias("type"))
 

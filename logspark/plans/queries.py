@@ -11,13 +11,20 @@ from ..operators.windows import latest
 
 
 # --- sorts, pages, top-k ---------------------------------------------------------------------
-def page(df: DataFrame, order: list[Column], limit: int = 100, number: int = 1,
-         max_limit: int = 200) -> DataFrame:
-    """One page in the given order (srt_recent_page); the limit is clamped."""
-    limit = max(1, min(int(limit), max_limit))
+def page(df: DataFrame, order: list[Column], limit: int = 100, number: int = 1) -> DataFrame:
+    """One page in the given order (srt_recent_page). All earlier pages are passed over: for far pages use
+    ``page_after``."""
     return df.orderBy(*order).offset((max(1, int(number)) - 1) * limit).limit(limit)
 
 
+def page_after(df: DataFrame, time: Column, tie: Column, limit: int, last: tuple | None = None) -> DataFrame:
+    """The page, newest first, that follows the row with the given (time, tie); the first page without one
+    (srt_page_after). The filter reaches the scan, so no page costs more than another."""
+    if last is not None:
+        df = df.filter((time < F.lit(last[0])) | ((time == F.lit(last[0])) & (tie > F.lit(last[1]))))
+    return df.orderBy(time.desc(), tie).limit(limit)
+
+
 def events(df: DataFrame, limit: int = 100, number: int = 1) -> DataFrame:
     """qry_events"""
     return page(df, [F.col("ues.event_time").desc(), F.col("trace.trace_id")], limit, number)
@@ -51,9 +58,10 @@ def top_k(df: DataFrame, n: int, count: str = "n", tie: str = "key") -> DataFram
     return df.orderBy(F.col(count).desc(), F.col(tie)).limit(n)
 
 
-def export(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """qry_export"""
-    return df.orderBy(F.col("ues.event_time").desc(), F.col("trace.trace_id")).limit(min(limit, 10_000))
+def export(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest first, all or the first ``limit`` (qry_export)."""
+    out = df.orderBy(F.col("ues.event_time").desc(), F.col("trace.trace_id"))
+    return out if limit is None else out.limit(limit)
 
 
 # --- lookups ---------------------------------------------------------------------------------
@@ -126,11 +134,11 @@ def shared_fields(df: DataFrame, trace_id: str) -> DataFrame:
             .agg(F.array_sort(F.collect_set("field")).alias("shared")))
 
 
-def case_events(cases: DataFrame, df: DataFrame, limit: int = 8) -> DataFrame:
-    """Case to its first ``limit`` event nodes, from the events or else from the evidence
+def case_events(cases: DataFrame, df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Case to its event nodes, all or the first ``limit``, from the events or else from the evidence
     (jn_case_events)."""
-    nodes = cases.select("correlation_id", F.posexplode(F.slice("trace_ids", 1, limit)).alias("pos", "trace_id"),
-                         "evidence")
+    ids = F.col("trace_ids") if limit is None else F.slice("trace_ids", 1, limit)
+    nodes = cases.select("correlation_id", F.posexplode(ids).alias("pos", "trace_id"), "evidence")
     nodes = nodes.withColumn("_e", F.get(F.filter(
         "evidence", lambda e: e["trace_id"] == F.col("trace_id")), 0)).drop("evidence")
     ev = df.select(F.col("trace.trace_id").alias("trace_id"),
@@ -141,9 +149,8 @@ def case_events(cases: DataFrame, df: DataFrame, limit: int = 8) -> DataFrame:
                     F.coalesce("_t", F.col("_e.ts")).alias("event_time"))
 
 
-def trace_graph(cases: DataFrame, df: DataFrame, limit: int = 8) -> DataFrame:
-    """Edges between consecutive event nodes of a case (qry_trace_graph). A case has at most
-    ``limit`` nodes."""
+def trace_graph(cases: DataFrame, df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Edges between consecutive event nodes of a case (qry_trace_graph), of all nodes or the first ``limit``."""
     n = case_events(cases, df, limit)
     w = Window.partitionBy("correlation_id").orderBy("pos")
     return n.withColumn("next_trace_id", F.lead("trace_id").over(w))
@@ -179,12 +186,13 @@ def count_suspicious(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(suspicious()).alias("suspicious"), F.count(F.lit(1)).alias("total"))
 
 
-def shared_source(df: DataFrame, limit: int = 6) -> DataFrame:
-    """Sources with several events: count, risk, severity; the first ``limit`` by first event
+def shared_source(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sources with several events: count, risk, severity; all, or the first ``limit`` by first event
     (agg_shared_source). The events of such a source are found by ``shared_source_members``."""
     g = (df.filter("ues.source.ip IS NOT NULL").groupBy(F.col("ues.source.ip").alias("source_ip"))
          .agg(F.count(F.lit(1)).alias("attempts"), F.min("ues.event_time").alias("first_seen")))
-    top = g.filter("attempts > 1").orderBy("first_seen", "source_ip").limit(limit)
+    top = g.filter("attempts > 1")
+    top = top if limit is None else top.orderBy("first_seen", "source_ip").limit(limit)
     n = F.col("attempts")
     return top.select(
         F.concat(F.lit("local-"), "source_ip").alias("correlation_id"), "source_ip", "attempts",

@@ -79,8 +79,7 @@ def archive_manifest(rows: DataFrame, block: list[str] | None = None) -> DataFra
 def raw_store_rows(events: DataFrame) -> DataFrame:
     """Raw text with year, month, day, source and a safe name (snk_raw_store)."""
     def safe(col: Column) -> Column:
-        return F.substring(F.regexp_replace(
-            F.coalesce(F.when(col != "", col), F.lit("unknown")), r"[^A-Za-z0-9_.-]+", "_"), 1, 80)
+        return F.regexp_replace(F.coalesce(F.when(col != "", col), F.lit("unknown")), r"[^A-Za-z0-9_.-]+", "_")
 
     t = F.coalesce("meta.received_time", "ues.ingest_time")
     return events.select(

@@ -83,14 +83,13 @@ def tail_lines(df: DataFrame, n: int, file: str = "address", order: str = "raw_o
     The rank filter is applied per input partition before the shuffle, so at most n rows of a
     file leave a task.
     """
-    n = max(1, min(int(n), 500))
     rank = F.row_number().over(Window.partitionBy(file).orderBy(F.col(order).desc()))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def fill_limit(lines: DataFrame, limit: int, file: str = "address", order: str = "raw_offset") -> DataFrame:
     """Files in name order until ``limit`` lines are reached (srt_fill_across_files)."""
-    return lines.orderBy(file, order).limit(max(1, min(int(limit), 500)))
+    return lines.orderBy(file, order).limit(limit)
 
 
 def explode_payload(df: DataFrame, col: str) -> DataFrame:

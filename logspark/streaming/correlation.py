@@ -2,7 +2,7 @@
 
 Each micro-batch is joined with the short history it needs and goes through the batch operators,
 so stream and batch give the same cases. What carries over is written per batch id: the trailing
-events of each source (at most 200 and not older than the window) and the last firing of each
+events of each source (not older than the window, and at most ``history`` if that is set) and the last firing of each
 fingerprint (not older than three cooldowns). A replayed batch reads the same predecessor and
 writes the same result.
 """
@@ -24,12 +24,11 @@ class LiveCorrelation:
         self.path, self.params, self.late, self.ttl = path.rstrip("/"), params, late_seconds, ttl
 
     def _state(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
+        """What batch ``batch_id`` carried over. Only the first batch has no predecessor: any other state that can't be
+        read stops the query, else its windows and cooldowns would be forgotten."""
         if batch_id < 0:
             return None
-        try:
-            return spark.read.parquet(f"{self.path}/state/{name}/batch={batch_id}")
-        except Exception:  # the first batch of a query has no predecessor
-            return None
+        return spark.read.parquet(f"{self.path}/state/{name}/batch={batch_id}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, p = batch.sparkSession, self.params
@@ -69,13 +68,15 @@ class LiveCorrelation:
         horizon = max(p.window, p.brute_window, p.group_window)
         fresh = work if top is None else work.filter(
             F.col("ts") >= F.lit(top) - F.expr(f"INTERVAL {horizon} SECONDS"))
-        rank = F.row_number().over(Window.partitionBy("source").orderBy(F.col("ts").desc(), F.col("trace_id").desc()))
-        tail = fresh.withColumn("_rank", rank).filter(F.col("_rank") <= p.history).drop("_rank")
-        # Denied events keep a history of their own per (source, action).
-        rank2 = F.row_number().over(Window.partitionBy("source", "action").orderBy(
-            F.col("ts").desc(), F.col("trace_id").desc()))
-        denied = fresh.filter("sec").withColumn("_rank", rank2).filter(F.col("_rank") <= p.history).drop("_rank")
-        tail = tail.unionByName(denied).dropDuplicates(["trace_id"]).withColumn("_new", F.lit(False))
+        tail = fresh
+        if p.history is not None:
+            newest = [F.col("ts").desc(), F.col("trace_id").desc()]
+            rank = F.row_number().over(Window.partitionBy("source").orderBy(*newest))
+            # Denied events keep a history of their own per (source, action).
+            rank2 = F.row_number().over(Window.partitionBy("source", "action").orderBy(*newest))
+            tail = fresh.withColumn("_rank", rank).filter(F.col("_rank") <= p.history).drop("_rank").unionByName(
+                fresh.filter("sec").withColumn("_rank", rank2).filter(F.col("_rank") <= p.history).drop("_rank"))
+        tail = tail.dropDuplicates(["trace_id"]).withColumn("_new", F.lit(False))
         tail.write.mode("overwrite").parquet(f"{self.path}/state/tail/batch={batch_id}")
         last = latest(fired_all, ["fingerprint"], ["ts", "trace_id"])
         if top is not None:
