@@ -276,7 +276,7 @@ def nrm_integrity(spark, sf):
   'normalization error: bad ' || lang AS warning FROM documents""")
 def nrm_failure(spark, sf):
     d = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("key_id"), F.col("text").alias("raw"), F.concat(F.lit("bad "), "lang").alias("error"),
+        F.col("doc_id").alias("key_id"), F.col("doc_id").alias("line_no"), F.col("text").alias("raw"), F.concat(F.lit("bad "), "lang").alias("error"),
         F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("received_time"))
     e = N.failure_events(d, "error")
     return e.select(F.col("key_id").alias("doc_id"), F.col("meta.parse_status").alias("status"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_dir
 from ..sinks import files as S, tables as T
+from ..operators.normalize import with_integrity, with_source_columns
 from ..sources import history as H, lines as L
 from ..streaming.jobs import run_to_table
 from .base import event_fields, event_rows, event_view, line_view, ms, query, stored, table
@@ -33,6 +34,19 @@ def src_lines(spark, sf):
     return L.read_lines(spark, _kind_files(spark, sf), recursive=True).select("raw")
 
 
+@query("src_line_ids", "SELECT 2 * count(*) AS n, 2 * count(*) AS ids, 2 * count(*) AS same FROM events")
+def src_line_ids(spark, sf):
+    """Files with every line twice: as many ids as lines, and the same ones in a second read."""
+    path = new_dir(spark, "twice")
+    line_view(spark, sf, "kv").select(F.explode(F.array_repeat("raw", 2)).alias("value")).write.text(path)
+
+    def ids(read):
+        return with_integrity(with_source_columns(L.read_lines(spark, path))).select("trace_id", F.lit(read).alias("read"))
+
+    seen = ids(1).unionByName(ids(2)).groupBy("trace_id").agg(F.count_if(F.col("read") == 1).alias("a"), F.count_if(F.col("read") == 2).alias("b"))
+    return seen.agg(F.sum("a").alias("n"), F.count_if(F.col("a") > 0).alias("ids"), F.sum(F.when(F.col("a") == F.col("b"), F.col("b"))).alias("same"))
+
+
 @query("src_dir_glob", "WITH {EV} SELECT {KV} AS raw, kind FROM ev")
 def src_dir_glob(spark, sf):
     return L.read_lines(spark, _kind_files(spark, sf), pattern="*.txt", recursive=True).select("raw", _kind().alias("kind"))

@@ -48,9 +48,11 @@ def str_dedup(spark, sf):
     return J.run_to_table(J.stream_dedup(s, ["k"], "t", "60 days"), spark, "dedup").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _line_files(spark, sf, n: int = 4):
+def _line_files(spark, sf, n: int = 4, copies: int = 1):
     path = new_dir(spark, "lines")
-    line_view(spark, sf, "kv").select("raw").repartition(n).write.text(path)
+    raw = line_view(spark, sf, "kv").select("raw")
+    raw = raw if copies == 1 else raw.select(F.explode(F.array_repeat("raw", copies)).alias("raw"))
+    raw.repartition(n).write.text(path)
     return path
 
 
@@ -73,6 +75,42 @@ def str_pipeline(spark, sf):
                     ms("ues.event_time").alias("ms"), F.col("trace.raw_hash").alias("h"))
 
 
+@query("str_trace_ids", "SELECT 3 * count(*) AS n, 3 * count(*) AS ids FROM events")
+def str_trace_ids(spark, sf):
+    """Every line three times in a file: each is an event of its own."""
+    out = new_dir(spark, "copies")
+    q = J.start_pipeline(stream_lines(spark, _line_files(spark, sf, copies=3), max_files=2), (), {
+        "events": lambda df, i: df.select("trace").write.mode("overwrite").parquet(f"{out}/batch={i}")},
+        new_dir(spark, "copies-checkpoint"), {"availableNow": True}, 2024)
+    q.awaitTermination()
+    return spark.read.parquet(out).agg(F.count("*").alias("n"), F.count_distinct("trace.trace_id").alias("ids"))
+
+
+@query("str_sink_status", "SELECT 'events' AS sink, true AS ok, 4 AS batches, count(*) AS stored FROM events UNION ALL SELECT 'late', true, 4, count(*) FROM events")
+def str_sink_status(spark, sf):
+    """A sink that refuses every batch the first time; a retry fills it from what the other one stored."""
+    out, status, refuse = new_dir(spark, "sinks"), new_dir(spark, "status"), [True]
+
+    def to(name):
+        def sink(df, i):
+            if name == "late" and refuse[0]:
+                raise OSError("not now")
+            df.select("trace").write.mode("overwrite").parquet(f"{out}/{name}/batch={i}")
+        return sink
+
+    sinks = {n: to(n) for n in ("events", "late")}
+    q = J.start_pipeline(stream_lines(spark, _line_files(spark, sf), max_files=1), (), sinks, new_dir(spark, "sinks-checkpoint"),
+                         {"availableNow": True}, 2024, status)
+    q.awaitTermination()
+    assert J.sink_status(spark, status).filter("NOT ok").count() == 4
+    refuse[0] = False
+    J.retry_failed(spark, status, lambda i: spark.read.parquet(f"{out}/events/batch={i}"), sinks)
+    n = [spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("sink"), "trace.trace_id") for name in sinks]
+    stored = n[0].unionByName(n[1]).groupBy("sink").agg(F.count_distinct("trace_id").alias("stored"))
+    return J.sink_status(spark, status).groupBy("sink", "ok").agg(F.count("*").alias("batches")).join(stored, "sink").select(
+        "sink", "ok", F.col("batches").cast("int").alias("batches"), "stored")
+
+
 @query("str_stats", "SELECT count(*) AS received, count(*) AS parsed, 0 AS with_warnings FROM events")
 def str_stats(spark, sf):
     """The counters that the query progress reports, summed over the micro-batches."""

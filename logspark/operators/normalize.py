@@ -26,9 +26,11 @@ from .specs import Spec
 
 SOURCE_COLUMNS = {
     "source_type": "string", "address": "string", "transport": "string", "raw_offset": "bigint",
-    "received_time": "timestamp", "line_no": "bigint", "agent_id": "string",
+    "received_time": "timestamp", "block": "bigint", "line_no": "bigint", "agent_id": "string",
     "agent_fingerprint": "string",
 }
+# One of these must tell lines of the same text apart.
+POSITIONS = ("raw_offset", "line_no", "agent_fingerprint")
 INFER_CONFIDENCE = 0.78
 
 
@@ -41,8 +43,10 @@ def with_source_columns(df: DataFrame) -> DataFrame:
 def with_integrity(df: DataFrame) -> DataFrame:
     """SHA-256 and byte length of the raw line, and a trace id that a replay repeats
     (nrm_integrity)."""
-    place = F.concat_ws("|", F.col("source_type"), F.col("address"),
-                        F.coalesce(F.col("raw_offset"), F.col("line_no")).cast("string"))
+    spot = F.when(F.col("raw_offset").isNotNull(), F.col("raw_offset").cast("string")).otherwise(
+        F.concat_ws(":", F.col("block").cast("string"), F.col("line_no").cast("string")))
+    place = F.concat_ws("|", *[F.coalesce(x, F.lit("")) for x in (
+        F.col("source_type"), F.col("address"), spot, F.col("agent_fingerprint"))])
     return df.withColumns({
         "raw_hash": F.sha2(F.col("raw"), 256),
         "raw_size": F.octet_length(F.col("raw")).cast("bigint"),
@@ -51,6 +55,13 @@ def with_integrity(df: DataFrame) -> DataFrame:
     })
 
 
+def positioned(df: DataFrame) -> DataFrame:
+    """The lines, if their source says where each one stood; equal lines would share an id otherwise."""
+    if not set(POSITIONS) & set(df.columns):
+        raise ValueError(f"lines need one of the columns {', '.join(POSITIONS)}")
+    return df
+
+
 def template(text: str, attrs: Column) -> Column:
     """``{name}`` replaced by the attribute; an unknown name stays as it is (nrm_template)."""
     parts = re.split(r"(\{[^{}]+\})", text)
@@ -421,7 +432,7 @@ def normalize_parsed(df: DataFrame, specs: tuple[Spec, ...] = (), pipeline_id: s
 def failure_events(df: DataFrame, error_col: str, pipeline_id: str = "logspark",
                    as_of: Column | None = None) -> DataFrame:
     """Lines that could not be normalized, as events that keep the raw text (nrm_failure)."""
-    df = with_integrity(with_source_columns(df))
+    df = with_integrity(with_source_columns(positioned(df)))
     now = ms_precision(F.coalesce(as_of if as_of is not None else F.col("received_time"),
                                   F.current_timestamp()))
     ues = build(UES, {
@@ -450,7 +461,7 @@ def normalize_logs(df: DataFrame, specs: tuple[Spec, ...] = (), pipeline_id: str
     One row out per non-blank row in, the raw text unchanged. The plan is a chain of projections
     without a shuffle.
     """
-    df = with_integrity(with_source_columns(df.filter(strip(F.col("raw")) != "")))
+    df = with_integrity(with_source_columns(positioned(df).filter(strip(F.col("raw")) != "")))
     return normalize_parsed(parse_chain(df, specs), specs, pipeline_id, year=year,
                             strict_reference=strict_reference)
 

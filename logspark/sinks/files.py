@@ -127,7 +127,7 @@ def fan_out(batch: DataFrame, batch_id: int, sinks: dict[str, Callable[[DataFram
                 sink(batch, batch_id)
                 counts[name] = "ok"
             except Exception as error:  # the other sinks must still get the batch
-                counts[name] = f"failed: {type(error).__name__}"
+                counts[name] = f"failed: {type(error).__name__}: {error}"
     finally:
         batch.unpersist()
     return counts

@@ -11,7 +11,17 @@ def _with_file(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("value").alias("raw"), F.lit("file").alias("source_type"),
         F.col("_metadata.file_path").alias("address"), F.lit("file").alias("transport"),
-        F.col("_metadata.file_modification_time").alias("received_time"))
+        F.col("_metadata.file_modification_time").alias("received_time"),
+        F.col("_metadata.file_block_start").alias("block"))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds line_no, a row's place in its task; with file and block it names a line.
+
+    No shuffle, and the same for every read with the same splits. ``read_positions`` has byte offsets, which don't depend
+    on those.
+    """
+    return df.withColumn("line_no", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str | None = None,
@@ -21,7 +31,7 @@ def read_lines(spark: SparkSession, path: str, pattern: str | None = None,
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    df = _with_file(reader.text(path))
+    df = numbered(_with_file(reader.text(path)))
     raw = F.rtrim(F.col("raw"), F.lit("\r"))
     return df.withColumn("raw", raw).filter(strip(F.col("raw")) != "")
 
@@ -29,7 +39,8 @@ def read_lines(spark: SparkSession, path: str, pattern: str | None = None,
 def stream_lines(spark: SparkSession, path: str, max_files: int = 100, pattern: str | None = None,
                  latest_first: bool = False) -> DataFrame:
     """The streaming form (src_tail). The checkpoint holds what has been read; ``max_files`` bounds
-    a micro-batch and nothing is dropped (str_backpressure)."""
+    a micro-batch and nothing is dropped (str_backpressure). Lines are numbered in the micro-batch
+    (``numbered``), as a stream can't number them."""
     reader = (spark.readStream.option("maxFilesPerTrigger", max_files)
               .option("latestFirst", str(latest_first).lower()))
     if pattern:

@@ -12,22 +12,55 @@ from ..operators.normalize import normalize_logs
 from ..operators.specs import Spec
 from ..session import new_dir
 from ..sinks.files import fan_out
+from ..sources.lines import numbered
 
 
 def start_pipeline(lines: DataFrame, specs: tuple[Spec, ...],
                    sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str,
-                   trigger: dict | None = None, year: int | None = None) -> StreamingQuery:
+                   trigger: dict | None = None, year: int | None = None, status: str | None = None) -> StreamingQuery:
     """Raw lines to all sinks (str_pipeline). Sinks get the batch id, so a sink that writes below
-    it is idempotent on a replay."""
-    events = normalize_logs(lines, specs, year=year)
+    it is idempotent on a replay.
 
+    What became of each sink and batch is written to the table ``status`` (see ``sink_status``), and ``retry_failed`` sends a
+    batch again; without that table a batch with a failed sink stops the query, and the checkpoint repeats it.
+    """
     def batch(df: DataFrame, batch_id: int) -> None:
-        fan_out(df, batch_id, sinks)
-
-    return (events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        df = df if {"line_no", "raw_offset"} & set(df.columns) else numbered(df)
+        done = fan_out(normalize_logs(df, specs, year=year), batch_id, sinks)
+        if status is not None:
+            rows = [(batch_id, name, got == "ok", None if got == "ok" else got) for name, got in done.items()]
+            df.sparkSession.createDataFrame(rows, STATUS).coalesce(1).write.mode("overwrite").parquet(f"{status}/batch={batch_id}")
+        elif bad := {name: got for name, got in done.items() if got != "ok"}:
+            raise RuntimeError(f"batch {batch_id}: {bad}")
+
+    return (lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 second"})).start())
 
 
+STATUS = "batch_id bigint, sink string, ok boolean, error string"
+
+
+def sink_status(spark: SparkSession, status: str) -> DataFrame:
+    """One row per micro-batch and sink: whether it took the batch, and the error if not."""
+    return spark.read.schema(STATUS).parquet(f"{status}/batch=*")
+
+
+def retry_failed(spark: SparkSession, status: str, stored: Callable[[int], DataFrame],
+                 sinks: dict[str, Callable[[DataFrame, int], None]]) -> int:
+    """Sends each batch to the sinks that refused it, from where it is ``stored``; returns how many still fail."""
+    failed = [(r.batch_id, r.sink) for r in sink_status(spark, status).filter("NOT ok").collect()]
+    left = 0
+    for batch_id in sorted({b for b, _ in failed}):
+        names = [s for b, s in failed if b == batch_id]
+        done = fan_out(stored(batch_id), batch_id, {n: sinks[n] for n in names})
+        kept = sink_status(spark, status).filter(F.col("batch_id") == batch_id).collect()
+        rows = [(batch_id, r.sink, r.ok or done.get(r.sink) == "ok", None if r.ok or done.get(r.sink) == "ok" else done.get(r.sink))
+                for r in kept]
+        spark.createDataFrame(rows, STATUS).coalesce(1).write.mode("overwrite").parquet(f"{status}/batch={batch_id}")
+        left += sum(not r[2] for r in rows)
+    return left
+
+
 def stream_activity(events: DataFrame, ts: str, window: str = "1 hour", slide: str | None = None,
                     watermark: str = "10 minutes") -> DataFrame:
     """Events per bucket (str_activity); a slide makes the buckets overlap."""
