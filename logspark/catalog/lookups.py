@@ -212,10 +212,59 @@ def enr_classify_text(spark, sf):
     return d.filter(~F.col("text").rlike("(?i)(c2|http|tcp|udp|icmp|connection|session|firewall|acl)")).select("doc_id", "category")
 
 
+@query("jn_geo_ranges_nested", """WITH {EV} SELECT tid, CASE WHEN event_id % 256 BETWEEN 64 AND 95 THEN 'inner' WHEN event_id % 256 < 128 THEN
+    (CASE WHEN event_id % 256 < 64 THEN 'outer' END) END AS src_country, false AS src_internal,
+  CASE event_id % 4 WHEN 0 THEN 'wide' WHEN 1 THEN 'narrow' WHEN 2 THEN NULL ELSE NULL END AS dst_country, event_id % 4 = 3 AS dst_internal FROM ev""")
+def jn_geo_ranges_nested(spark, sf):
+    """Nested ranges of both families: the last range that starts at or before the address decides."""
+    ranges = geo_ranges(spark.createDataFrame([
+        ("8.8.8.0", "8.8.8.127", "outer", ""), ("8.8.8.64", "8.8.8.95", "inner", ""),
+        ("2600::", "26ff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "wide", ""), ("2600:1::", "2600:1:ffff:ffff:ffff:ffff:ffff:ffff", "narrow", ""),
+    ], "start string, end string, country string, city string"))
+    n = F.regexp_extract("trace.trace_id", r"0*(\d+)$", 1).cast("bigint")
+    v6 = F.element_at(F.array(*map(F.lit, ("2600:0:5::1", "2600:1:5::1", "2607::1", "fd00::1"))), (n % 4 + 1).cast("int"))
+    e = event_view(spark, sf)
+    ues = F.col("ues")
+    e = e.withColumn("ues", ues.withField("source", ues["source"].withField("ip", F.concat(F.lit("8.8.8."), (n % 256).cast("string"))))
+                     .withField("destination", ues["destination"].withField("ip", v6)))
+    g = E.enr_geo(e, ranges)
+    return g.select(F.col("trace.trace_id").alias("tid"), F.col("ues.geo.source.country").alias("src_country"),
+                    F.col("ues.geo.source.internal").alias("src_internal"), F.col("ues.geo.destination.country").alias("dst_country"),
+                    F.col("ues.geo.destination.internal").alias("dst_internal"))
+
+
+_LONG = """f AS (SELECT 'lot ' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' of ' || lower(p_brand) END AS indicator, p_partkey AS ord FROM part),
+  t AS (SELECT tid, 'saw lot ' || p_partkey || ' of ' || lower(p_brand) || ' at ' || src AS text FROM ev JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part))"""
+
+
+@query("jn_threat_string_long", f"""WITH {{EV}}, {_LONG} SELECT tid, indicator FROM (SELECT tid, min_by(indicator, ord) AS indicator FROM t JOIN f ON contains(text, indicator) GROUP BY tid)""")
+def jn_threat_string_long(spark, sf):
+    """As many indicators as there are parts."""
+    part = table(spark, sf, "part")
+    lot = F.concat(F.lit("lot "), F.col("p_partkey").cast("string"))
+    name = F.concat(lot, F.lit(" of "), F.lower("p_brand"))
+    feed = threat_indicators(part.select(F.when(F.col("p_partkey") % 3 == 0, lot).otherwise(name).alias("indicator"), F.lit("t").alias("type"),
+                                         F.lit("high").alias("severity"), F.lit("f").alias("source"), F.col("p_partkey").alias("ord")))
+    n = F.regexp_extract("trace.trace_id", r"0*(\d+)$", 1).cast("bigint")
+    e = event_view(spark, sf).withColumn("_k", n % part.count()).join(part.select(F.col("p_partkey").alias("_k"), name.alias("_n")), "_k")
+    e = e.withColumn("ues", F.col("ues").withField("message", F.concat(F.lit("Saw "), F.upper("_n"), F.lit(" at "), "ues.source.ip")))
+    return E.threat_string(e, feed).filter("hit_text IS NOT NULL").select(F.col("trace.trace_id").alias("tid"), F.col("hit_text_indicator").alias("indicator"))
+
+
+@query("enr_classify_late", "WITH {EV} SELECT tid, CASE WHEN event_id % 2 = 0 THEN 'failure' ELSE 'success' END AS outc FROM ev")
+def enr_classify_late(spark, sf):
+    """The word that decides stands after 6 000 characters."""
+    n = F.regexp_extract("trace.trace_id", r"0*(\d+)$", 1).cast("bigint")
+    message = F.concat(F.repeat(F.lit("lorem "), 1000), F.when(n % 2 == 0, "login failed").otherwise("login succeeded"))
+    e = event_view(spark, sf).withColumn("ues", F.col("ues").withField("outcome", F.lit(None).cast("string")).withField(
+        "message", message)).withColumn("raw", message)
+    return E.enr_classify(e).select(F.col("trace.trace_id").alias("tid"), F.col("ues.outcome").alias("outc"))
+
+
 @query("enr_order", _THREAT + """ SELECT tid, score, CAST(CASE WHEN severity = 85 THEN 90 ELSE severity END AS INTEGER) AS severity,
   'verified' AS status, ms FROM t""")
 def enr_order(spark, sf):
-    e = E.enrich(event_view(spark, sf), _geo(spark, sf), _feed(spark, sf), enabled={"geo": False})
+    e = E.enrich(event_view(spark, sf), _geo(spark, sf), _feed(spark, sf))
     return e.select(F.col("trace.trace_id").alias("tid"), F.col("ues.threat.score").alias("score"),
                     F.col("ues.severity").alias("severity"), F.col("trace.status").alias("status"), ms("ues.event_time").alias("ms"))
 

@@ -61,22 +61,45 @@ def geo_join(events: DataFrame, ranges: DataFrame, side: str, bucket: int = 16)
     return out.withColumnRenamed("_g4", f"geo_{side}").drop("_ip", "_k", "_b", "_lo", "_hi")
 
 
-def geo_join_v6(events: DataFrame, ranges: DataFrame, side: str, digits: int = 4) -> DataFrame:
-    """The IPv6 form: 32 hex digits compare like numbers, the block is the leading digits."""
-    def block(col: str) -> Column:
+def disjoint_ranges_v6(ranges: DataFrame) -> DataFrame:
+    """The IPv6 form: 32 hex digits compare like numbers. ``_next`` is where the next range starts."""
+    best = (ranges.filter("lo6 IS NOT NULL").groupBy("lo6")
+            .agg(F.max(F.struct("hi6", "country", "city")).alias("r")).select("lo6", "r.*"))
+    best = best.withColumn("top", F.substring("lo6", 1, 8))
+    heads = best.groupBy("top").agg(F.min("lo6").alias("head")).withColumn("pre", F.substring("top", 1, 4))
+    firsts = heads.groupBy("pre").agg(F.min("head").alias("first"))
+    firsts = firsts.withColumn("one", F.lit(1)).withColumn(
+        "next_first", F.lead("first").over(Window.partitionBy("one").orderBy("pre"))).select("pre", "next_first")
+    heads = heads.join(firsts, "pre").withColumn("next_head", F.coalesce(
+        F.lead("head").over(Window.partitionBy("pre").orderBy("top")), "next_first")).select("top", "next_head")
+    nxt = F.lead("lo6").over(Window.partitionBy("top").orderBy("lo6"))
+    return best.withColumn("_next", nxt).join(heads, "top").select(
+        "lo6", "hi6", F.coalesce("_next", "next_head", F.lit("g")).alias("_next"), "country", "city")
+
+
+def geo_join_v6(events: DataFrame, ranges: DataFrame, side: str) -> DataFrame:
+    """The IPv6 form of ``geo_join``: narrow ranges are listed under the 32-bit blocks they touch, wide ones under the
+    16-bit blocks. An address meets at most one range."""
+    def block(col: str | Column, digits: int) -> Column:
         return F.conv(F.substring(col, 1, digits), 16, 10).cast("bigint")
 
-    v6 = ranges.filter("lo6 IS NOT NULL").withColumn("_b", F.explode(F.sequence(block("lo6"), block("hi6"))))
-    v6 = v6.select("_b", F.col("lo6").alias("_lo"), F.col("hi6").alias("_hi"),
-                   F.struct("country", "city").alias("_g6"))
+    cut = disjoint_ranges_v6(ranges).withColumn("_hi", F.least("hi6", "_next"))
+    wide = block("_hi", 8) - block("lo6", 8) > 4096
     out = events.withColumn("_ip", ip_v6_hex(F.col(f"ues.{side}.ip")))
-    out = out.withColumn("_k", block("_ip"))
-    out = out.join(v6, (F.col("_k") == F.col("_b")) & F.col("_ip").between(F.col("_lo"), F.col("_hi")), "left")
-    return out.withColumn(f"geo_{side}", F.coalesce(f"geo_{side}", "_g6")).drop("_ip", "_k", "_b", "_lo", "_hi", "_g6")
-
-
-def enr_geo(events: DataFrame, ranges: DataFrame, ipv6: bool = False) -> DataFrame:
-    """Internal flag and country/city of both addresses."""
+    for digits, these in ((8, cut.filter(~wide)), (4, cut.filter(wide))):
+        listed = these.withColumn("_hi_block", F.when(F.col("_next") == "g", block("hi6", digits)).otherwise(block("_hi", digits)))
+        listed = listed.select(
+            F.explode(F.sequence(block("lo6", digits), "_hi_block")).alias("_b"), F.col("lo6").alias("_lo"),
+            F.col("hi6").alias("_end"), F.col("_next").alias("_stop"), F.struct("country", "city").alias("_g6"))
+        out = out.withColumn("_k", block("_ip", digits))
+        inside = F.col("_ip").between(F.col("_lo"), F.col("_end")) & (F.col("_ip") < F.col("_stop"))
+        out = out.join(listed, (F.col("_k") == F.col("_b")) & inside, "left")
+        out = out.withColumn(f"geo_{side}", F.coalesce(f"geo_{side}", "_g6")).drop("_k", "_b", "_lo", "_end", "_stop", "_g6")
+    return out.drop("_ip")
+
+
+def enr_geo(events: DataFrame, ranges: DataFrame, ipv6: bool = True) -> DataFrame:
+    """Internal flag and country/city of both addresses, of either family."""
     for side in SIDES:
         events = geo_join(events, ranges, side)
         if ipv6:
@@ -142,49 +165,54 @@ def threat_domain(events: DataFrame, feed: DataFrame) -> DataFrame:
     return events.drop("_host", "_uhost")
 
 
-CHUNK = 500
+GRAM = 4
 
 
-def _first_indicator(text: Column, chunks: list[list]) -> Column:
-    """Earliest feed entry contained in a text: NULL or struct<indicator, type, severity, feed>."""
-    def scan(t: Column) -> Column:
-        found = []
-        for chunk in chunks:
-            entries = F.array(*[F.struct(
-                F.lit(r["indicator"]).alias("indicator"), F.lit(r["type"]).alias("type"),
-                F.lit(r["severity"]).alias("severity"), F.lit(r["feed"]).alias("feed")) for r in chunk])
-            found.append(F.get(F.filter(entries, lambda e: t.contains(e["indicator"])), 0))
-        return F.coalesce(*found)
+def _grams(text: Column, n: int) -> Column:
+    """All runs of n characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
-    return let(text, scan)
 
+def text_hits(texts: DataFrame, feed: DataFrame) -> DataFrame:
+    """text -> earliest string indicator of the feed contained in it: ord, indicator, m; for distinct texts.
 
-def string_chunks(feed: DataFrame) -> list[list]:
-    """String indicators in feed order. They become constants of the plan, in pieces, so the text
-    column is tested where it lies and is never joined or shuffled."""
-    rows = feed.filter("kind = 'string'").select("indicator", "type", "severity", "feed", "ord").collect()
-    rows = [r.asDict() for r in sorted(rows, key=lambda r: r["ord"])]
-    return [rows[i:i + CHUNK] for i in range(0, len(rows), CHUNK)]
+    Each indicator is listed under one run of GRAM characters of its own (the one of least hash, so that a common
+    beginning doesn't gather them), shorter ones under themselves. Texts are listed under all their runs, joined by
+    equality, and what meets is compared in full. Feeds of any size work alike; nothing of them reaches the driver.
+    """
+    strings = feed.filter("kind = 'string'").select("indicator", "ord", F.struct("type", "severity", "feed").alias("m"))
+    found = []
+    for n in range(1, GRAM + 1):
+        these = strings.filter(F.length("indicator") >= n if n == GRAM else F.length("indicator") == n)
+        if n < GRAM and these.isEmpty():
+            continue
+        keyed = these.withColumn("_gram", F.array_min(F.transform(_grams(F.col("indicator"), n), lambda g: F.struct(
+            F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+        listed = texts.select("text", F.explode(_grams(F.col("text"), n)).alias("_gram"))
+        found.append(listed.join(keyed, "_gram").filter(F.col("text").contains(F.col("indicator"))))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("text").agg(F.min("ord").alias("ord"), F.min_by(F.struct("indicator", "m"), "ord").alias("x")).select(
+        "text", "ord", "x.indicator", "x.m")
 
 
 def threat_string(events: DataFrame, feed: DataFrame) -> DataFrame:
     """Adds hit_text struct<type, severity, feed> and hit_text_indicator (jn_threat_string).
 
     The values come from the first text with a hit; the shown indicator is the earliest feed entry
-    found in the message, user agent or URL.
+    found in the message, user agent or URL. Only events with a hit are on the side that is joined back.
     """
-    chunks = string_chunks(feed)
-    if not chunks:
-        return events.withColumns({
-            "hit_text": F.lit(None).cast("struct<type:string,severity:string,feed:string>"),
-            "hit_text_indicator": F.lit(None).cast("string")})
-    texts = [F.lower(F.col(f"ues.{p}")) for p in ("http.user_agent", "file.name", "message", "http.url")]
-    first = F.coalesce(*[_first_indicator(t, chunks) for t in texts])
-    shown = _first_indicator(F.concat_ws("\n", texts[2], texts[0], texts[3]), chunks)
-    return events.withColumn("_hit", first).withColumns({
-        "hit_text": F.when(F.col("_hit").isNotNull(), F.struct("_hit.type", "_hit.severity", "_hit.feed")),
-        "hit_text_indicator": F.when(F.col("_hit").isNotNull(),
-                                     F.coalesce(shown["indicator"], F.lit("unknown")))}).drop("_hit")
+    fields = ("http.user_agent", "file.name", "message", "http.url")
+    texts = events.select(F.col("trace.trace_id").alias("_id"), F.posexplode(F.array(
+        *[F.lower(F.col(f"ues.{p}")) for p in fields])).alias("pos", "text")).filter("text <> ''")
+    hits = texts.join(text_hits(texts.select("text").distinct(), feed), "text")
+    per_event = hits.groupBy("_id").agg(
+        F.min_by("m", "pos").alias("hit_text"),
+        F.min_by(F.when(F.col("pos") != 1, F.col("indicator")), F.when(F.col("pos") != 1, F.col("ord"))).alias("_shown"))
+    return (events.join(per_event, F.col("trace.trace_id") == F.col("_id"), "left")
+            .withColumn("hit_text_indicator", F.when(F.col("hit_text").isNotNull(), F.coalesce("_shown", F.lit("unknown"))))
+            .drop("_id", "_shown"))
 
 
 def enr_threat(events: DataFrame, feed: DataFrame) -> DataFrame:
@@ -231,16 +259,16 @@ def lookup_values(values: DataFrame, geo: DataFrame, feed: DataFrame, col: str =
     then domain, then contained string."""
     v = values.withColumn(col, strip(F.col(col)))
     shaped = v.withColumn("ues", F.struct(F.struct(F.col(col).alias("ip")).alias("source")))
-    shaped = geo_join(shaped, geo, "source").drop("ues")
+    shaped = geo_join_v6(geo_join(shaped, geo, "source"), geo, "source").drop("ues")
     ips = _of_kind(feed, "ip", "hit_ip")
     shaped = shaped.join(ips, F.col(col) == F.col("_ind"), "left").drop("_ind")
     hosts = shaped.select(F.lower(col).alias("host")).filter("host <> ''").distinct()
     hits = host_hits(hosts, feed).select(F.col("host").alias("_h"), F.col("m").alias("hit_host"))
     shaped = shaped.join(hits, F.lower(col) == F.col("_h"), "left").drop("_h")
-    chunks = string_chunks(feed)
-    text = (_first_indicator(F.lower(col), chunks).dropFields("indicator") if chunks
-            else F.lit(None).cast("struct<type:string,severity:string,feed:string>"))
-    hit = F.coalesce("hit_ip", "hit_host", text)
+    found = text_hits(shaped.select(F.lower(col).alias("text")).filter("text <> ''").distinct(), feed).select(
+        F.col("text").alias("_t"), F.col("m").alias("hit_text"))
+    shaped = shaped.join(found, F.lower(col) == F.col("_t"), "left").drop("_t")
+    hit = F.coalesce("hit_ip", "hit_host", "hit_text")
     return shaped.select(*values.columns, F.col("geo_source.country").alias("country"),
                          F.col("geo_source.city").alias("city"), hit.alias("hit"))
 
