@@ -2,24 +2,22 @@
 
 DataFrame functions only. The index stores, for every word that occurs in a benchmark, where it stands in the
 training documents. A test window is looked up from its rarest words: their lists, shifted by the words' places in the
-window, are intersected; what is left is compared word by word with the document.
+window, are intersected; the rest is compared with the whole window, by its hash.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from .common import ascii_lower, text_of
 
 #: Fixed value: everything that separates words once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A side of at most so many rows is broadcast; beyond it the join is shuffled. Rows are small (ids, or one word).
+#: A side of at most so many narrow rows is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
-#: The same for rows that carry an item's words.
-BROADCAST_WORDS = 5_000_000
 
 
 def words(text: Column) -> Column:
@@ -62,33 +60,35 @@ def build_index(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: st
 
 
 def windows(items: DataFrame, index: Index, length: int = 10, lists: int = 2) -> DataFrame:
-    """Each item's windows that may occur, with the places of their ``lists`` rarest words: item, k, len, terms.
+    """The different windows that may occur: win (hash of the words), len, items, terms.
 
-    ``terms`` is an array of (n, j, term_id), rarest first; a window with a word that no document has is left out.
+    ``items`` are the numbers, as strings, of those that have the window; ``terms`` the window's ``lists`` rarest words as
+    (n, o, term_id), rarest first, o their place in it. A window with a word that no document has is left out.
     """
     sized = items.withColumn("len", F.least(F.lit(length), F.size("item_words")))
-    at = sized.select("item", "len", "item_words", F.explode(F.sequence(F.lit(0), F.size("item_words") - F.col("len"))).alias("k"))
-    cells = at.select("item", "len", "k", F.posexplode(F.expr("slice(item_words, k + 1, len)")).alias("o", "term"))
+    at = sized.select(F.col("item_id").cast("string").alias("item"), "len", "item_words", F.explode(
+        F.sequence(F.lit(0), F.size("item_words") - F.col("len"))).alias("k"))
+    every = at.select("item", "len", F.expr("slice(item_words, k + 1, len)").alias("w")).withColumn("win", F.xxhash64("w"))
+    every = every.groupBy("win").agg(F.first("len").alias("len"), F.first("w").alias("w"), F.collect_set("item").alias("items"))
+    cells = every.select("win", "len", "items", F.posexplode("w").alias("o", "term"))
     rare = (cells.withColumn("term_id", F.xxhash64("term")).join(index.frequency, "term_id", "left")
-            .groupBy("item", "k", "len").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.array_sort(F.collect_list(
-                F.struct("n", (F.col("k") + F.col("o")).alias("j"), "term_id"))).alias("all")))
-    return materialize(rare.filter("least > 0").select("item", "k", "len", F.slice("all", 1, lists).alias("terms")), "windows")
+            .groupBy("win").agg(F.first("len").alias("len"), F.first("items").alias("items"), F.min(F.coalesce("n", F.lit(0))).alias("least"),
+                                F.array_sort(F.collect_list(F.struct("n", "o", "term_id"))).alias("all")))
+    return materialize(rare.filter("least > 0").select("win", "len", "items", F.slice("all", 1, lists).alias("terms")), "windows")
 
 
 def candidates(index: Index, wins: DataFrame) -> DataFrame:
-    """Alignments (doc, item, d) on which the two rarest words of some window both stand: item word j at d + j."""
+    """Places (doc, start, win, len) where the two rarest words of a window both stand as far apart as in the window."""
     first, second = F.col("terms")[0], F.get("terms", F.lit(1))
-    pairs = materialize(wins.select("item", first["j"].alias("j1"), first["term_id"].alias("term_id"), second["j"].alias("j2"),
-                                    second["term_id"].alias("term2")).distinct(), "pairs")
-    n = pairs.count()
-    anchors = pairs.select("item", "j1", "term_id").distinct()
-    found = index.postings.join(small(anchors, count=n), "term_id").select(
-        "doc", "item", "j1", (F.col("pos") - F.col("j1")).alias("d"))
-    asked = found.join(small(pairs.drop("term_id"), count=n), ["item", "j1"]).select(
-        "doc", "item", "d", F.col("term2").alias("term_id"), (F.col("d") + F.col("j2")).alias("pos"))
-    rare = index.postings.join(small(pairs.select(F.col("term2").alias("term_id")).distinct(), count=n), "term_id", "left_semi")
+    n = wins.count()
+    asked = index.postings.join(small(wins.select("win", "len", first["term_id"].alias("term_id"), first["o"].alias("o1"), second["o"].alias("o2"),
+                                                  second["term_id"].alias("term2")), count=n), "term_id").select(
+        "doc", (F.col("pos") - F.col("o1")).alias("start"), "win", "len", F.col("term2").alias("term_id"),
+        (F.col("pos") - F.col("o1") + F.col("o2")).alias("pos")).filter("start >= 0")
+    rare = index.postings.join(small(wins.select(second["term_id"].alias("term_id")).distinct(), count=n), "term_id", "left_semi")
     both = asked.filter("term_id IS NOT NULL").join(rare, ["term_id", "doc", "pos"], "left_semi")
-    return both.select("doc", "item", "d").union(asked.filter("term_id IS NULL").select("doc", "item", "d")).distinct()
+    found = ["doc", "start", "win", "len"]
+    return both.select(found).union(asked.filter("term_id IS NULL").select(found)).distinct()
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -96,54 +96,50 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", t
     """Adds to each document ``n_words``, ``n_hit``, ``items`` (sorted item numbers as strings) and ``hits``.
 
     Words are runs of digits, letters a-z (A-Z are lower-cased) and characters beyond ASCII. A window is ``length``
-    consecutive words of an item, or the whole item if it has fewer but at least one; ``hits`` has a (start, len, item_id)
-    for each place where a window stands in the document, whole and in order; ``n_hit`` counts the document's words inside
-    any. Null texts have no words; null item numbers hit but are not listed; equal benchmark rows count once and equal
-    documents each. An empty benchmark leaves all documents clean. Other columns are kept, same-named ones replaced.
+    consecutive words of an item, or the whole item if it has fewer but at least one; ``hits`` has a (start, len, items)
+    for each place where a window stands in the document, whole and in order, as the hash of all its words shows; ``n_hit``
+    counts the document's words inside any. Null texts have no words; null item numbers hit but are not listed; equal
+    benchmark rows count once and equal documents each. An empty benchmark leaves all documents clean. Other columns are
+    kept, same-named ones replaced.
     """
     items = benchmark_items(benchmark, item, item_text)
     index = build_index(docs, items, doc, text)
-    hit = candidates(index, windows(items, index, length))
-    listed = materialize(hit.join(items, "item").groupBy("doc").agg(
-        F.collect_list(F.struct("d", "item_id", "item_words")).alias("_aligned")).withColumnRenamed("doc", "_doc"), "aligned")
-    n_words = listed.agg(F.sum(F.expr("aggregate(_aligned, 0L, (a, x) -> a + size(x.item_words))"))).first()[0] or 0
+    wins = windows(items, index, length)
+    found = candidates(index, wins)
+    listed = materialize(found.join(small(wins.select("win", "items")), "win").groupBy("doc").agg(
+        F.collect_list(F.struct("start", "len", "items", "win")).alias("_found")).withColumnRenamed("doc", "_doc"), "found")
+    n = listed.agg(F.sum(F.size("_found"))).first()[0] or 0
     rows = docs.drop("n_words", "n_hit", "items", "hits").withColumn("_doc", doc_key(doc, text))
-    joined = rows.join(small(listed, BROADCAST_WORDS, n_words), "_doc", "left").withColumn("_words", words(text_of(text)))
-    n, one = F.size("_words"), f"least({length}, size(c.item_words))"
-    starts = (f"CASE WHEN least(size(c.item_words) - {one}, size(_words) - {one} - c.d) >= greatest(0, -c.d) THEN "
-              f"filter(sequence(greatest(0, -c.d), least(size(c.item_words) - {one}, size(_words) - {one} - c.d)), k -> "
-              f"slice(_words, c.d + k + 1, {one}) = slice(c.item_words, k + 1, {one})) ELSE array() END")
-    hits = F.expr(f"flatten(transform(coalesce(_aligned, array()), c -> transform({starts}, "
-                  f"k -> struct(c.d + k AS start, {one} AS len, c.item_id AS item_id))))")
+    joined = rows.join(small(listed, 200_000, n), "_doc", "left").withColumn("_words", words(text_of(text)))
+    hits = F.expr("filter(coalesce(_found, array()), c -> c.start + c.len <= size(_words) AND xxhash64(slice(_words, c.start + 1, c.len)) = c.win)")
     return (joined.withColumn("hits", hits)
-            .withColumn("n_words", n.cast("long"))
+            .withColumn("n_words", F.size("_words").cast("long"))
             .withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.expr(
                 "transform(hits, h -> sequence(h.start, h.start + h.len - 1))")))).cast("long"))
-            .withColumn("items", F.array_sort(F.array_compact(F.array_distinct(
-                F.expr("transform(hits, h -> CAST(h.item_id AS STRING))")))))
-            .drop("_doc", "_words", "_aligned"))
+            .withColumn("items", F.array_sort(F.array_distinct(F.flatten(F.expr("transform(hits, h -> h.items)")))))
+            .withColumn("hits", F.expr("transform(hits, h -> struct(h.start, h.len, h.items))"))
+            .drop("_doc", "_words", "_found"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 3, doc: str = "doc_id", text: str = "text",
                       item: str = "item_id", item_text: str = "text", length: int = 10) -> DataFrame:
     """Places where a window's two rarest words stand in a document at most ``slop`` words from their distance in the window.
 
-    Returns item_id, k (the window's start in the item), doc (see ``doc_key``), start (where the window would begin by its
-    rarest word) and off (how far the second word is from its place). Finds what was changed by a few words inserted, left
-    out or swapped between them. One-word windows have no second word and are not asked.
+    Returns items (that have the window), win, doc (see ``doc_key``), start (where the window would begin by its rarest word) and
+    off (how far the second word is from its place). Finds what was changed by a few words inserted, left out or swapped
+    between them. One-word windows have no second word and are not asked.
     """
     items = benchmark_items(benchmark, item, item_text)
     index = build_index(docs, items, doc, text)
     wins = windows(items, index, length).filter(F.size("terms") > 1).select(
-        "item", "k", F.col("terms")[0].alias("a"), F.col("terms")[1].alias("b"))
+        "win", "items", F.col("terms")[0].alias("a"), F.col("terms")[1].alias("b"))
     wide = 2 * slop + 1
     asked = index.postings.join(small(wins), F.col("term_id") == F.col("a.term_id")).select(
-        "item", "k", "doc", (F.col("pos") - F.col("a.j") + F.col("k")).alias("start"), F.col("b.term_id").alias("term_id"),
-        (F.col("pos") - F.col("a.j") + F.col("b.j")).alias("want"))
+        "win", "items", "doc", (F.col("pos") - F.col("a.o")).alias("start"), F.col("b.term_id").alias("term_id"),
+        (F.col("pos") - F.col("a.o") + F.col("b.o")).alias("want"))
     asked = asked.withColumn("cell", F.explode(F.array_distinct(F.array(
         F.floor((F.col("want") - slop) / wide), F.floor((F.col("want") + slop) / wide)))))
     rare = index.postings.join(small(wins.select(F.col("b.term_id").alias("term_id")).distinct()), "term_id", "left_semi")
     near = asked.join(rare.withColumn("cell", F.floor(F.col("pos") / wide)), ["term_id", "doc", "cell"]).filter(
         F.abs(F.col("pos") - F.col("want")) <= slop)
-    return near.join(items.select("item", "item_id"), "item").select(
-        "item_id", "k", "doc", "start", (F.col("pos") - F.col("want")).alias("off")).distinct()
+    return near.select("items", "win", "doc", "start", (F.col("pos") - F.col("want")).alias("off")).distinct()
