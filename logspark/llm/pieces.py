@@ -5,30 +5,31 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
-import regex
-
-#: Fixed value: the split pattern of byte-level BPE.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters whose class may differ between Unicode versions or regex libraries; texts with one go to the
-#: library whole. Fixed ranges that are settled: Latin, Greek, Cyrillic, punctuation, kana, Han, Hangul, emoji.
-UNSETTLED = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏΑ-ΡΣ-ϿЀ-ҁҊ-ԯ"
+#: The split of byte-level BPE for texts of settled characters, in terms of Python's own classes.
+SPLIT = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+#: Any character but those whose class (letter, number, space or none) is the same in all Unicode versions and libraries:
+#: Latin, Greek, Cyrillic, punctuation, signs, kana, Han, Hangul, emoji. A text with one is encoded by the library whole.
+UNSETTLED = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ϿЀ-ҁҊ-ԯ"
                        "‐-‧‰-⁞₠-₿←-⇿ぁ-ゖァ-ヺ"
                        "一-龥가-힣\U0001f300-\U0001f64f]")
+#: Texts are worked on in groups of about so many characters.
+GROUP = 1 << 20
 
 
 class Encoder(dict):
-    """Maps a pre-token to its packed ids; a missing one is encoded and kept, up to ``room`` entries.
+    """Maps a pre-token to its packed ids. Those not known yet are encoded together and kept, up to ``room`` entries.
 
-    Texts with a special token's string or an unsettled character, and all texts of a tokenizer that is not plain
-    byte-level BPE, are encoded by the library whole, so results are always the library's.
+    Texts with a special token's string or an unsettled character, and all texts of a tokenizer that is not plain byte-level
+    BPE, are encoded by the library whole, so results are always the library's.
     """
 
-    def __init__(self, path: str, width: int = 4, room: int = 400_000):
+    def __init__(self, path: str, width: int = 4, room: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.path, self.room, self.code = path, room, {2: "H", 4: "I"}[width]
+        self.room, self.code = room, {2: "H", 4: "I"}[width]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -39,7 +40,6 @@ class Encoder(dict):
                       and not pre.get("add_prefix_space", True))
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(special) if special else r"(?!)")
-        self.split = regex.compile(SPLIT).findall
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -47,42 +47,74 @@ class Encoder(dict):
     def pack(self, ids: list[int]):
         return array(self.code, ids).tobytes()
 
+    def total(self, packed) -> bytes:
+        return b"".join(packed)
+
+    def forget(self) -> None:
+        self.clear()
+
     def __missing__(self, piece: str):
-        if len(self) >= self.room:
-            self.clear()
         got = self[piece] = self.pack(self.whole(piece))
         return got
 
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes unknown pre-tokens in two texts: those with a leading blank need nothing between them, others a line end.
+
+        The library tells which pre-token each id belongs to. If it doesn't split the text as expected, nothing is learned, and
+        each pre-token is encoded by itself when asked for.
+        """
+        spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        bare = [p for p in pieces if not p[0].isspace()]
+        for names, between, step in ((spaced, "", 1), (bare, "\n", 2)):
+            if names:
+                got = self.tokenizer.encode(between.join(names), add_special_tokens=False)
+                ids, words = got.ids, got.word_ids
+                starts = [i for i in range(len(words)) if not i or words[i] != words[i - 1]] + [len(ids)]
+                if len(starts) - 1 == len(names) * step - step + 1:
+                    for k, name in enumerate(names):
+                        self[name] = self.pack(ids[starts[k * step]:starts[k * step + 1]])
+
     def by_pieces(self, text: str) -> bool:
         return self.plain and not self.special.search(text) and not UNSETTLED.search(text)
 
-    def ids(self, text: str) -> bytes:
-        """Packed ids of a whole text, native byte order."""
-        if self.by_pieces(text):
-            return b"".join(map(self.__getitem__, self.split(text)))
-        return self.pack(self.whole(text))
+    def encode(self, texts: list[str]) -> Iterator:
+        """Packed ids of each whole text (native byte order)."""
+        group, size = [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator:
+        split = [SPLIT.findall(t) if self.by_pieces(t) else None for t in texts]
+        wanted = set().union(*[p for p in split if p is not None])
+        if len(self) > self.room:
+            self.forget()
+        self.learn(wanted.difference(self))
+        for t, p in zip(texts, split):
+            yield self.pack(self.whole(t)) if p is None else self.total(map(self.__getitem__, p))
 
 
 class Counter(Encoder):
-    """Maps a pre-token to its number of tokens, looking first into a table of frequent ones."""
+    """Maps a pre-token to its number of tokens; begins with a table of frequent ones, and never gives that up."""
 
-    def __init__(self, path: str, frequent: dict[str, int], room: int = 400_000):
-        super().__init__(path, room=room)
+    def __init__(self, path: str, frequent: dict[str, int], room: int = 700_000):
+        super().__init__(path, room=room + len(frequent))
         self.frequent = frequent
         self.update(frequent)
 
     def pack(self, ids: list[int]) -> int:
         return len(ids)
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= self.room + len(self.frequent):
-            self.clear()
-            self.update(self.frequent)
-        got = self[piece] = len(self.whole(piece))
-        return got
+    def total(self, packed) -> int:
+        return sum(packed)
 
-    def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, self.split(text))) if self.by_pieces(text) else len(self.whole(text))
+    def forget(self) -> None:
+        self.clear()
+        self.update(self.frequent)
 
 
 _KEPT: dict = {}
@@ -95,7 +127,7 @@ def encoder(path: str, width: int) -> Encoder:
     return _KEPT[path, width]
 
 
-def counter(path: str, tag, frequent) -> Counter:
+def counter(path: str, tag: str, frequent) -> Counter:
     """The worker process's counter for one broadcast table; the former table's counter is given up."""
     if _KEPT.get("tag") != (path, tag):
         _KEPT["tag"], _KEPT["counter"] = (path, tag), Counter(path, frequent())

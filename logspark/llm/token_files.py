@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import new_dir
 from . import pieces
-from .common import map_batches, text_of
+from .common import bounded_batches, map_batches, text_of
 
 #: A document of no number sorts first, as this one.
 NO_DOC = -(1 << 63)
@@ -71,10 +71,9 @@ def write(df: DataFrame, folder: str, path: str, end_id: int | None, doc: str =
                 out["offsets"].write(np.zeros(1, "<i8").tobytes())
             docs = np.array(batch.column(0).fill_null(NO_DOC), "<i8")
             lengths = np.empty(len(docs), "<i8")
-            for i, t in enumerate(batch.column(1)):
-                packed = encoder.ids(t.as_py()) + end
-                lengths[i] = len(packed) // width
-                out["ids"].write(packed)
+            for i, packed in enumerate(encoder.encode(batch.column(1).to_pylist())):
+                lengths[i] = (len(packed) + len(end)) // width
+                out["ids"].write(packed + end)
             out["offsets"].write((n_ids + np.cumsum(lengths)).astype("<i8").tobytes())
             out["docs"].write(docs.tobytes())
             n_docs, n_ids = n_docs + len(docs), n_ids + int(lengths.sum())
@@ -84,7 +83,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int | None, doc: str =
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "width": pa.array(
                 [width], pa.int32()), "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    files = (rows.repartitionByRange(parts, F.col("doc")).sortWithinPartitions("doc", "text")
+    files = (bounded_batches(rows).repartitionByRange(parts, F.col("doc")).sortWithinPartitions("doc", "text")
              .mapInArrow(run, "part int, name string, width int, n_docs long, n_ids long"))
     target = f"{folder.rstrip('/')}/manifest.parquet"
     files.write.parquet(target)
