@@ -29,14 +29,18 @@ def main() -> None:
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    times = {}
+    # Session, class loading and code generation are paid once, before anything is timed.
+    QUERIES["agg_alert_groups"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    times, build = {}, {}
     for name in sys.argv[1:] or HEADLINE:
         start = time.time()
+        df = QUERIES[name](spark, sf_dir)
+        built = time.time()
         # The noop sink computes every column of every row; a count would prune the work away.
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - start, 3)
+        df.write.format("noop").mode("overwrite").save()
+        times[name], build[name] = round(time.time() - start, 3), round(built - start, 3)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": Path(sf_dir).name.removeprefix("sf")}))
+                      "queries": times, "build": build, "sf": Path(sf_dir).name.removeprefix("sf")}))
     spark.stop()
 
 
