@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import text_of
+from .common import bounded_batches, text_of
 
 #: A white space after anything that is none: every match of the split pattern ends before it and none looks behind
 #: it, so a text may be cut there. Both classes are taken so wide that all regex libraries agree on them.
@@ -85,12 +85,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     their strings are ordinary text. Repeated rows give repeated results, an empty table an empty one; a column
     already named ``ids`` is replaced, all others are kept.
     """
-    return df.withColumn(ids, _encoder(path, pattern, block)(text_of(text)))
+    return bounded_batches(df).withColumn(ids, _encoder(path, pattern, block)(text_of(text)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_bytes", out: str = "decoded") -> DataFrame:
     """Adds the raw bytes that the ids stand for; null ids give no bytes. The bytes need not be valid UTF-8."""
-    return df.withColumn(out, _decoder(path, pattern)(F.col(ids)))
+    return bounded_batches(df).withColumn(out, _decoder(path, pattern)(F.col(ids)))
 
 
 def n_ids(ids: Column) -> Column:

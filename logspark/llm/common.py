@@ -23,6 +23,19 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Rows that cross to Python at once. Texts are a few kB on average and up to megabytes, so Spark's own ten thousand would
+#: take hundreds of MB in every worker.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows, after the session has been told to cross to Python in small batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | StructType) -> DataFrame:
     """Runs ``make()`` once a task and the function it returns once an Arrow batch.
 
@@ -43,7 +56,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
                      x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type)
                      for f, x in ((f, got[f.name]) for f in wanted)], schema=wanted)
 
-    return df.mapInArrow(run, out)
+    return bounded_batches(df).mapInArrow(run, out)
 
 
 def ascii_lower(c: Column) -> Column:

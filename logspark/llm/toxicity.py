@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import materialize
-from .common import map_batches, text_of
+from .common import bounded_batches, map_batches, text_of
 
 TOKENS = re.compile(r"\w+")
 PASSAGE = "struct<start: int, end: int, score: double, p: double>"
@@ -270,7 +270,7 @@ def score(df: DataFrame, model: Model, text: str = "text", alpha: float = 0.05)
         return pa.array(rows, pa.struct({"score": pa.float64(), "evidence": pa.float64(), "passages": pa.list_(pa.struct({
             "start": pa.int32(), "end": pa.int32(), "score": pa.float64(), "p": pa.float64()}))}))
 
-    judged = df.withColumn("_judged", judge(text_of(text)))
+    judged = bounded_batches(df).withColumn("_judged", judge(text_of(text)))
     return judged.withColumns({k: F.col(f"_judged.{k}") for k in ("score", "evidence", "passages")}).withColumn(
         "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).drop("_judged")
 
