@@ -8,7 +8,7 @@ exceeds about once in 200 000. By the pigeonhole principle such a pair has a chu
 Nothing is compared within a bucket of the index as a whole:
 
 1. Equal sets are one class. Only classes are entered.
-2. In every bucket each class is compared with the bucket's least one. Confirmed links make components.
+2. In every bucket each class is compared with one of them, in a second round with another. Confirmed links make components.
 3. Buckets whose classes are all in one component are done: a large group of near copies ends here, at one comparison a member
    and bucket. In the others, pairs of different components are compared, if the bucket has at most ``bucket`` classes.
 4. Classes that meet in larger buckets, such as documents around one common passage, are joined among themselves by exact prefix
@@ -55,7 +55,7 @@ class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word)
         return got
@@ -78,7 +78,7 @@ def shingles(text: str, hashes: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 2048) -> np.ndarray:
+def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1024) -> np.ndarray:
     """The b-bit MinHash symbols of a set."""
     low = None
     for i in range(0, len(s), block):
@@ -263,18 +263,40 @@ def prefix_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def links(df: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = 64) -> tuple[DataFrame, DataFrame]:
+def star_links(df: DataFrame, shared: DataFrame, classes: DataFrame, doc: str, text: str,
+               rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links between the classes of each bucket and one of them, another in each round; and their components.
+
+    From the second round on only classes of another component than the chosen one are compared with it, and no pair twice.
+    Each round costs one comparison for each class and bucket at most, and leaves fewer components to compare in pairs.
+    """
+    edges, done, comps = None, None, None
+    for r in range(rounds):
+        known = shared.select("bucket", "cls", "n")
+        known = known.withColumn("comp", F.col("cls")) if comps is None else materialize(with_components(known, comps), "known")
+        lead = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(
+            F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(r))).alias("lead")).filter("lo < hi")
+        spokes = known.join(lead, "bucket").filter("comp <> lead.comp").filter(similar_sizes("n", "lead.n")).select(
+            F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
+        spokes = materialize(spokes if done is None else spokes.join(done, ["a", "b"], "left_anti"), "spokes")
+        star = materialize(near_signatures(spokes, classes), "star")
+        ends = star.select(F.col("a").alias("cls")).union(star.select("b")).distinct()
+        found = confirm(star, sets_of(df, classes, ends, doc, text))
+        edges = materialize(found if edges is None else edges.union(found), "links")
+        done = spokes if done is None else done.union(spokes)
+        comps = materialize(components(edges), "components")
+    return edges, comps
+
+
+def links(df: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = 64,
+          rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and the component of each class that has a link. ``docs`` is written, from ``signed``."""
     classes = materialize(docs.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.min("key").alias("key"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes")
     keys = materialize(index_keys(classes), "index")
-    buckets = materialize(keys.groupBy("bucket").agg(F.count("*").alias("c"), F.min("cls").alias("lead")).filter("c > 1"), "buckets")
+    buckets = keys.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
     shared = materialize(keys.join(buckets, "bucket"), "shared")
-    star = materialize(near_signatures(shared.filter("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(),
-                                       classes), "star")
-    ends = star.select(F.col("a").alias("cls")).union(star.select("b")).distinct()
-    edges = materialize(confirm(star, sets_of(df, classes, ends, doc, text)), "links")
-    comps = materialize(components(edges), "components")
+    edges, comps = star_links(df, shared, classes, doc, text, rounds)
 
     known = with_components(shared.select("bucket", "cls", "n", "c"), comps)
     mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
