@@ -25,6 +25,8 @@ ROLES = ("system", "user", "assistant")
 #: States: role * 2 + (0 where a line begins a turn, 1 where it goes on); the last is before the first line.
 STATES = 2 * len(ROLES) + 1
 START = STATES - 1
+#: Where rows without a turn number stand.
+FIRST = -(1 << 62)
 #: Log probability of what can't be.
 NEVER = -1e9
 #: Words that mark a speaker at the start of a line.
@@ -158,7 +160,11 @@ def _borders(chunks: DataFrame, fan: int) -> DataFrame:
             rows.append([{"at": p["at"], "before": (s - s.max()).tolist(), "last": e} for p, s, e in zip(row, scores, ends[::-1])])
         return pa.array(rows, pa.list_(pa.struct({"at": pa.int64(), "before": pa.list_(pa.float64()), "last": pa.int32()})))
 
-    level = chunks.select("conv", F.col("chunk").alias("at"), "m")
+    least = chunks.filter(F.col("chunk") > FIRST).groupBy("conv").agg(F.min("chunk").alias("least"))
+    place = F.when(F.col("chunk") == FIRST, 0).otherwise(F.col("chunk") - F.col("least") + 1).cast("long")
+    level = materialize(chunks.join(least, "conv", "left").select("conv", "chunk", place.alias("at"), "m"), "matrices")
+    named = level.select("conv", "at", "chunk")
+    level = level.drop("chunk")
     levels = []
     while True:
         level = materialize(level.groupBy("conv", F.floor(F.col("at") / fan).alias("up")).agg(
@@ -171,7 +177,7 @@ def _borders(chunks: DataFrame, fan: int) -> DataFrame:
     for below in [*levels[-2::-1], None]:
         known = known.select("conv", F.explode(descend("parts", "before", "last")).alias("x")).select("conv", "x.*")
         if below is None:
-            return known.withColumnRenamed("at", "chunk")
+            return known.join(named, ["conv", "at"]).drop("at")
         known = below.join(known.withColumnRenamed("at", "up"), ["conv", "up"])
 
 
@@ -183,8 +189,8 @@ def parse(df: DataFrame, model: Model, conv: str = "conv_id", turn: str = "turn"
     one conversation, null turns come first, a null text is one empty line. An empty table gives an empty one.
     """
     rows = df.select(F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("conv"), F.col(conv).alias("_id"),
-                     F.coalesce(F.col(turn).cast("long"), F.lit(-(1 << 62))).alias("turn"), text_of(text).alias("text")).distinct()
-    chunks = materialize(rows.groupBy("conv", F.floor(F.col("turn") / chunk).alias("chunk")).agg(
+                     F.coalesce(F.col(turn).cast("long"), F.lit(FIRST)).alias("turn"), text_of(text).alias("text")).distinct()
+    chunks = materialize(rows.groupBy("conv", F.when(F.col("turn") == FIRST, FIRST).otherwise(F.floor(F.col("turn") / chunk)).alias("chunk")).agg(
         F.first("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parts")), "chunks")
 
     @arrow_udf("array<double>")
@@ -210,7 +216,7 @@ def parse(df: DataFrame, model: Model, conv: str = "conv_id", turn: str = "turn"
 
     borders = _borders(chunks.select("conv", "chunk", matrix("parts").alias("m")), fan)
     found = chunks.join(borders, ["conv", "chunk"]).select("_id", F.explode(decode("parts", "before", "last")).alias("x"))
-    return found.select(F.col("_id").alias(conv), F.expr(f"nullif(x.turn, {-(1 << 62)}L)").alias(turn), "x.role", "x.roles", "x.rendered")
+    return found.select(F.col("_id").alias(conv), F.expr(f"nullif(x.turn, {FIRST}L)").alias(turn), "x.role", "x.roles", "x.rendered")
 
 
 #: Ways in which ``write_up`` marks the three roles; the last leaves most markers out.
