@@ -24,12 +24,13 @@ FEATURES = {
     "x3": "ln(1 + 100 * n_dup_lines / n_words)",
     "x4": "sqrt(n_repeat_words / n_words)",
 }
-#: Spread that each feature is granted at least; added to the covariances, so that a feature that is the same in nearly all
-#: documents of a group (no symbols at all, say) doesn't make an outlier of the first document with one.
-LEEWAY = {"x0": 0.8, "x1": 0.12, "x2": 0.12, "x3": 0.5, "x4": 0.12}
+#: Spread that each feature has at least; a variance is raised to its square only where it is less, so that a feature that
+#: is the same in nearly all documents of a group (no symbols at all, say) doesn't make an outlier of the first document with
+#: one, nor the error of a mean over ten words. x4's lets a lone repeated run pass in the shortest text that the base rules pass.
+LEEWAY = {"x0": 0.8, "x1": 0.12, "x2": 0.12, "x3": 0.5, "x4": 0.088}
 DIM = len(FEATURES)
-#: Median of the chi-squared distribution with DIM degrees of freedom, and the point below which 97.5 % lie.
-CHI2_MEDIAN, CHI2_975 = 4.3515, 12.8325
+#: Median of the chi-squared distribution with DIM degrees of freedom, and the points below which 97.5 % and 99.99 % lie.
+CHI2_MEDIAN, CHI2_975, CHI2_9999 = 4.3515, 12.8325, 25.7448
 
 
 def repeated(words: list[str]) -> int:
@@ -105,7 +106,8 @@ def _estimate():
         for m, p in zip(mean.to_pylist(), product.to_pylist()):
             m, cov = np.array(m), np.zeros((DIM, DIM))
             cov[upper] = p
-            cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(m, m) + np.diag(np.square(list(LEEWAY.values())))
+            cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(m, m)
+            cov += np.diag(np.maximum(0, np.square(list(LEEWAY.values())) - np.diag(cov)))
             rows.append({"mu": m.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist()})
         return pa.array(rows, pa.struct({"mu": pa.list_(pa.float64()), "inverse": pa.list_(pa.float64())}))
 
@@ -118,14 +120,15 @@ def _distance() -> Column:
     return F.expr(" + ".join(f"{off[i]} * {off[j]} * inverse[{i * DIM + j}]" for i in range(DIM) for j in range(DIM)))
 
 
-def outliers(stats: DataFrame, share: float = 0.6, steps: int = 4, cutoff: float = 45.0, min_rows: int = 200,
+def outliers(stats: DataFrame, share: float = 0.6, steps: int = 4, cutoff: float = CHI2_9999, min_rows: int = 200,
              broadcast_groups: int = 100_000) -> DataFrame:
     """Adds ``distance`` and ``outlier`` by minimum-covariance-determinant estimates for each language and source.
 
     ``stats`` is a written table. Base-failed rows are neither estimated from nor judged (null distance). For each group the
     estimate starts from medians and median deviations; a step takes the ``share`` of the group's rows that lie nearest, and
     estimates centre and covariance from them, which never raises the determinant; the last step takes all rows within the
-    97.5 % ellipsoid. Distances are scaled so that a group's median is the chi-squared one. All of it is grouped aggregation
+    97.5 % ellipsoid. Distances are scaled so that a group's median is the chi-squared one at most. What lies beyond
+    ``cutoff`` is an outlier: of normally distributed features that is one clean row in 10 000. All of it is grouped aggregation
     of partial sums and quantile sketches over narrow rows, so a group that holds a third of all rows is no single task.
     Groups too small for estimates are pooled (see ``groups``); if even all the rest is under ``min_rows``, it is not judged.
     """
@@ -141,7 +144,7 @@ def outliers(stats: DataFrame, share: float = 0.6, steps: int = 4, cutoff: float
     mad = rows.join(side(mid), "grp").groupBy("grp").agg(
         *[F.first(f"m_{x}").alias(f"m_{x}") for x in xs],
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"s_{x}") for x in xs])
-    var = {x: F.pow(1.4826 * F.col(f"s_{x}"), 2) + LEEWAY[x] ** 2 for x in xs}
+    var = {x: F.greatest(F.pow(1.4826 * F.col(f"s_{x}"), 2), F.lit(LEEWAY[x] ** 2)) for x in xs}
     params = materialize(mad.select("grp", F.array(*[f"m_{x}" for x in xs]).alias("mu"), F.array(
         *[1 / var[x] if x == y else F.lit(0.0) for x in xs for y in xs]).alias("inverse")), "start")
     pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]

@@ -1,5 +1,6 @@
 """Decontamination, near duplicates and quality rules against plain Python."""
 
+import math
 import random
 
 
@@ -130,6 +131,19 @@ def test_outliers_of_a_group(spark):
     assert quality.judge(odd.empty(spark)).count() == 0
 
 
+def test_symbols_between_words_are_outliers(spark):
+    """'word | word | word' is rejected in a group of prose; nearly all the prose stays, one stray symbol included."""
+    draw = random.Random(5)
+    word = lambda lo, hi: "".join(draw.choice("abcdefg") for _ in range(draw.randint(lo, hi)))
+    text = lambda n, sep=" ", lo=2, hi=9: sep.join(word(lo, hi) for _ in range(n))
+    size = lambda: int(math.exp(draw.gauss(5.5, 0.8))) + 10
+    good = [(i, text(size()) + " #" * (i % 100 == 0), "en", "s") for i in range(600)]
+    bad = [(1000 + i, text(size(), " | ", 6, 12), "en", "s") for i in range(30)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.judge(df).filter("kept").collect()}
+    assert not kept & {r[0] for r in bad} and len(kept) >= 597 and {i for i in range(0, 600, 100)} <= kept
+
+
 def test_oracle_of_decontamination(spark):
     from logspark.llm.catalog import ORACLES, QUERIES
     from tests.oracle import compare, duck
