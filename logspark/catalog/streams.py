@@ -113,24 +113,26 @@ def str_sink_status(spark, sf):
 
 @query("str_stats", "SELECT count(*) AS received, count(*) AS parsed, 0 AS with_warnings FROM events")
 def str_stats(spark, sf):
-    """The counters that the query progress reports, summed over the micro-batches."""
-    e = J.stream_stats(V.events(_stream(spark, sf)), "counters")
-    q = (e.select(F.col("trace.trace_id").alias("tid")).writeStream.format("parquet").option("path", new_dir(spark, "stats"))
-         .option("checkpointLocation", new_dir(spark, "stats-checkpoint")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    seen = [p.observedMetrics["counters"] for p in q.recentProgress if "counters" in p.observedMetrics]
-    total = [sum(getattr(m, n) or 0 for m in seen) for n in ("received", "parsed", "with_warnings")]
-    return spark.createDataFrame([tuple(total)], "received bigint, parsed bigint, with_warnings bigint")
-
-
-def _correlated(spark, sf):
-    """The events in three files in time order, one per micro-batch."""
-    ev, path, out = event_rows(spark, sf), new_dir(spark, "ordered"), new_dir(spark, "live")
-    for a, b in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-03-01")):
-        ev.filter((F.col("ts") >= a) & (F.col("ts") < b)).coalesce(1).write.mode("append").parquet(path)
-    s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    q = stream_correlate(V.events(s), out, new_dir(spark, "live-checkpoint"), PARAMS, trigger={"availableNow": True})
-    q.awaitTermination()
+    """The counters of every micro-batch, written to a table and summed."""
+    total = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in ("received", "parsed", "with_warnings")]
+    return J.run_stats(V.events(_stream(spark, sf)), spark).agg(*total)
+
+
+def _correlated(spark, sf, batches: int = 3):
+    """All events in time order, in as many micro-batches of about equal size; each is spread over many files."""
+    ev, path = event_rows(spark, sf), new_dir(spark, "ordered")
+    out, checkpoint = new_dir(spark, "live"), new_dir(spark, "live-checkpoint")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    least, cuts = ev.agg(F.min(at), F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000)).first()
+    cuts = [None, *sorted({c for c in cuts or [] if c > least}), None]
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        # Rows without a time go first; nothing is left out at either end.
+        part = ev.filter(F.lit(True) if a is None else at >= a).filter(F.lit(True) if b is None else F.coalesce(at < b, F.lit(a is None)))
+        part.repartitionByRange(files, "ts").write.mode("append").parquet(path)
+        # The files since the last run are one micro-batch, in whatever order they were written.
+        s = spark.readStream.schema(ev.schema).parquet(path)
+        stream_correlate(V.events(s), out, checkpoint, PARAMS, trigger={"availableNow": True}).awaitTermination()
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.alerts import session_fingerprint
@@ -83,12 +83,25 @@ def stream_dedup(df: DataFrame, key: list[str], ts: str, watermark: str = "1 hou
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key)
 
 
+def _counters() -> list[Column]:
+    return [F.count(F.lit(1)).alias("received"),
+            F.count_if(F.col("meta.parse_status") == "parsed").alias("parsed"),
+            F.count_if(F.size("meta.warnings") > 0).alias("with_warnings")]
+
+
 def stream_stats(df: DataFrame, name: str) -> DataFrame:
-    """Counters of every micro-batch, readable from the query progress (str_stats)."""
-    return df.observe(
-        name, F.count(F.lit(1)).alias("received"),
-        F.count_if(F.col("meta.parse_status") == "parsed").alias("parsed"),
-        F.count_if(F.size("meta.warnings") > 0).alias("with_warnings"))
+    """Counters of every micro-batch, readable from the query progress, which keeps the last hundred (str_stats)."""
+    return df.observe(name, *_counters())
+
+
+def run_stats(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """Runs a stream over what is there now; a row of counters for every micro-batch, replayed ones once."""
+    path = new_dir(spark, "stats")
+    query = (stream.writeStream
+             .foreachBatch(lambda df, i: df.agg(*_counters()).write.mode("overwrite").parquet(f"{path}/batch={i}"))
+             .option("checkpointLocation", new_dir(spark, "stats-checkpoint")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema("received bigint, parsed bigint, with_warnings bigint").parquet(path)
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, label: str,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logspark import logviews as V
 from logspark.catalog import ORACLES, QUERIES
+from logspark.streaming import jobs as J
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,27 @@ def test_more_than_200_events_of_a_source_in_a_window(spark, busy, name):
     con, path = busy
     assert con.execute(ORACLES[name]).fetchall()
     assert compare(spark, con, path, name, QUERIES[name], ORACLES[name]) == ""
+
+
+@pytest.mark.parametrize("name", ["str_live_correlate", "str_state_expiry"])
+def test_live_events_of_any_date(spark, tmp_path, name):
+    rows = [(dt.datetime(year, 6, 1, 9, 0, 1) + dt.timedelta(minutes=i), kind, 16) for year in (2019, 2024, 2027)
+            for i, kind in enumerate(["error"] * 6 + ["signup", "click", "purchase"])]
+    con, path = stored(spark, tmp_path, rows)
+    assert con.execute(ORACLES[name]).fetchall()
+    assert compare(spark, con, path, name, QUERIES[name], ORACLES[name]) == ""
+
+
+def test_counters_of_more_than_100_batches(spark, tmp_path):
+    ev = V.read(spark, SF, "events")
+    ev.limit(240).repartition(120).write.parquet(str(tmp_path / "many"))
+    s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "many"))
+    got = J.run_stats(V.events(s), spark)
+    assert got.count() == 120 and got.agg(F.sum("received")).first()[0] == 240
+
+
+def test_live_events_when_half_have_the_first_time(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 5), "view", 16 * i) for i in range(60)] + [
+        (dt.datetime(2024, 1, 5, 9, i), "view", 16) for i in range(1, 50)]
+    con, path = stored(spark, tmp_path, rows)
+    assert compare(spark, con, path, "str_state_expiry", QUERIES["str_state_expiry"], ORACLES["str_state_expiry"]) == ""
