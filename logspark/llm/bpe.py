@@ -16,6 +16,9 @@ from .common import bounded_batches, text_of
 SAFE_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])")
 #: Characters of a text that are given to the library at once.
 BLOCK = 100_000
+#: A run of white space (by the Unicode property) longer than the library's backtracking may hold. The split pattern makes
+#: it one piece, less its last character if anything follows.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
 
 
 def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
@@ -47,7 +50,16 @@ def load(path: str, pattern: str):
 def encode_text(encoding, text: str, size: int = BLOCK) -> list[int]:
     if len(text) <= size:
         return encoding.encode_ordinary(text)
-    return [i for block in blocks(text, size) for i in encoding.encode_ordinary(block)]
+    ids, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        for block in blocks(text[at:run.start()], size):
+            ids += encoding.encode_ordinary(block)
+        ids += encoding._encode_single_piece(text[run.start():stop])
+        at = stop
+    for block in blocks(text[at:], size):
+        ids += encoding.encode_ordinary(block)
+    return ids
 
 
 def _encoder(path: str, pattern: str, size: int):
@@ -81,7 +93,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     """Adds the ids of a text column as little-endian unsigned 32-bit integers.
 
     Rows are independent: no shuffle, one Arrow batch in memory at a time. A null text counts as empty and gives
-    no ids; a very long text goes to the library in blocks cut at safe boundaries. Special tokens do not exist, so
+    no ids; a very long text goes to the library in blocks cut at safe boundaries, a very long run of white space as the one
+    piece that it is. Special tokens do not exist, so
     their strings are ordinary text. Repeated rows give repeated results, an empty table an empty one; a column
     already named ``ids`` is replaced, all others are kept.
     """

@@ -35,6 +35,16 @@ def test_blocks_do_not_change_ids():
         assert "".join(bpe.blocks(text, 20)) == text
 
 
+def test_very_long_runs_of_white_space():
+    encoding = bpe.load(RANKS, P.PATTERN)
+    for text in ["a" + " " * 60_000 + "b", " " * 60_000, "\t" * 60_000 + "b", "a " + " \n" * 40_000 + "\n b c", "\x1c" * 60_000 + " " * 60_000 + "\x1dz",
+                 "x\u00a0" + " " * 60_000 + "\x85y" + " " * 60_000, "x" * 200_000 + "\n" * 70_000]:
+        assert bpe.encode_text(encoding, text) == encoding.encode_ordinary(text)
+    for n in (1_000_000, 2_000_000, 3_000_000):
+        for text in (" " * n + "a", "\n" * n, "\t" * n + "b", "a b" + " " * n + "\nc"):
+            assert encoding.decode_bytes(bpe.encode_text(encoding, text)) == text.encode()
+
+
 def test_bpe_round_trip_of_odd_texts(spark):
     encoding = bpe.load(RANKS, P.PATTERN)
     done = bpe.decode(bpe.encode(odd.frame(spark), RANKS, P.PATTERN, ids="n_tokens", block=1000), RANKS, P.PATTERN, ids="n_tokens")
