@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 #: The split of byte-level BPE for texts of settled characters, in terms of Python's own classes.
 SPLIT = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+#: The same for texts of ASCII characters alone, where it is faster.
+SPLIT_ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.ASCII)
 #: Any character but those whose class (letter, number, space or none) is the same in all Unicode versions and libraries:
 #: Latin, Greek, Cyrillic, punctuation, signs, kana, Han, Hangul, emoji. A text with one is encoded by the library whole.
 UNSETTLED = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ϿЀ-ҁҊ-ԯ"
@@ -18,8 +20,15 @@ UNSETTLED = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-
 GROUP = 1 << 20
 
 
+def _shown_bytes() -> dict[int, str]:
+    """The character by which byte-level tokenizers write each byte: itself if it can be seen, else the next one from 256."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder(dict):
-    """Maps a pre-token to its packed ids. Those not known yet are encoded together and kept, up to ``room`` entries.
+    """Maps a pre-token to its packed ids. Those not known yet are encoded and kept, in two generations of ``room`` entries.
 
     Texts with a special token's string or an unsettled character, and all texts of a tokenizer that is not plain byte-level
     BPE, are encoded by the library whole, so results are always the library's.
@@ -40,6 +49,7 @@ class Encoder(dict):
                       and not pre.get("add_prefix_space", True))
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(special) if special else r"(?!)")
+        self.shown, self.merge, self.older = _shown_bytes(), self.tokenizer.model.tokenize, {}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -51,6 +61,8 @@ class Encoder(dict):
         return b"".join(packed)
 
     def forget(self) -> None:
+        """What was not asked for since the last time goes."""
+        self.older = dict(self)
         self.clear()
 
     def __missing__(self, piece: str):
@@ -58,21 +70,12 @@ class Encoder(dict):
         return got
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes unknown pre-tokens in two texts: those with a leading blank need nothing between them, others a line end.
-
-        The library tells which pre-token each id belongs to. If it doesn't split the text as expected, nothing is learned, and
-        each pre-token is encoded by itself when asked for.
-        """
-        spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        bare = [p for p in pieces if not p[0].isspace()]
-        for names, between, step in ((spaced, "", 1), (bare, "\n", 2)):
-            if names:
-                got = self.tokenizer.encode(between.join(names), add_special_tokens=False)
-                ids, words = got.ids, got.word_ids
-                starts = [i for i in range(len(words)) if not i or words[i] != words[i - 1]] + [len(ids)]
-                if len(starts) - 1 == len(names) * step - step + 1:
-                    for k, name in enumerate(names):
-                        self[name] = self.pack(ids[starts[k * step]:starts[k * step + 1]])
+        """Encodes unknown pre-tokens: the library's model merges the characters that stand for a pre-token's bytes."""
+        older, merge, shown = self.older, self.merge, self.shown
+        for piece in pieces:
+            known = older.get(piece)
+            self[piece] = known if known is not None else self.pack(
+                [token.id for token in merge(piece.encode().decode("latin-1").translate(shown))])
 
     def by_pieces(self, text: str) -> bool:
         return self.plain and not self.special.search(text) and not UNSETTLED.search(text)
@@ -89,7 +92,7 @@ class Encoder(dict):
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator:
-        split = [SPLIT.findall(t) if self.by_pieces(t) else None for t in texts]
+        split = [(SPLIT_ASCII if t.isascii() else SPLIT).findall(t) if self.by_pieces(t) else None for t in texts]
         wanted = set().union(*[p for p in split if p is not None])
         if len(self) > self.room:
             self.forget()
@@ -113,7 +116,7 @@ class Counter(Encoder):
         return sum(packed)
 
     def forget(self) -> None:
-        self.clear()
+        super().forget()
         self.update(self.frequent)
 
 
