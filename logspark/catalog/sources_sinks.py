@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import Window, functions as F
 
-from ..session import new_dir
-from ..sinks import files as S, tables as T
+from ..session import materialize, new_dir
+from ..sinks import archive, files as S, tables as T
+from ..sinks.buckets import BucketTable
 from ..operators.normalize import with_integrity, with_source_columns
-from ..sources import history as H, lines as L
+from ..sources import growing, history as H, lines as L
 from ..streaming.jobs import run_to_table
 from .base import event_fields, event_rows, event_view, line_view, ms, query, stored, table
 
@@ -36,15 +38,27 @@ def src_lines(spark, sf):
 
 @query("src_line_ids", "SELECT 2 * count(*) AS n, 2 * count(*) AS ids, 2 * count(*) AS same FROM events")
 def src_line_ids(spark, sf):
-    """Files with every line twice: as many ids as lines, and the same ones in a second read."""
+    """Files with every line twice: as many ids as lines, and the same ones after files were added, read in other splits."""
     path = new_dir(spark, "twice")
-    line_view(spark, sf, "kv").select(F.explode(F.array_repeat("raw", 2)).alias("value")).write.text(path)
+    lines = line_view(spark, sf, "kv").select(F.explode(F.array_repeat("raw", 2)).alias("value"))
+    lines.write.text(path)
 
     def ids(read):
         return with_integrity(with_source_columns(L.read_lines(spark, path))).select("trace_id", F.lit(read).alias("read"))
 
-    seen = ids(1).unionByName(ids(2)).groupBy("trace_id").agg(F.count_if(F.col("read") == 1).alias("a"), F.count_if(F.col("read") == 2).alias("b"))
-    return seen.agg(F.sum("a").alias("n"), F.count_if(F.col("a") > 0).alias("ids"), F.sum(F.when(F.col("a") == F.col("b"), F.col("b"))).alias("same"))
+    first = materialize(ids(1), "ids")
+    lines.repartition(3).write.mode("append").text(path)
+    splits = {"spark.sql.files.maxPartitionBytes": "50k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {name: spark.conf.get(name) for name in splits}
+    try:
+        for name, value in splits.items():
+            spark.conf.set(name, value)
+        second = materialize(ids(2), "ids")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    seen = first.unionByName(second).groupBy("trace_id").agg(F.count_if(F.col("read") == 1).alias("a"), F.count_if(F.col("read") == 2).alias("b"))
+    return seen.filter("a > 0").agg(F.sum("a").alias("n"), F.count("*").alias("ids"), F.sum(F.when(F.col("a") == F.col("b"), F.col("b"))).alias("same"))
 
 
 @query("src_dir_glob", "WITH {EV} SELECT {KV} AS raw, kind FROM ev")
@@ -52,8 +66,68 @@ def src_dir_glob(spark, sf):
     return L.read_lines(spark, _kind_files(spark, sf), pattern="*.txt", recursive=True).select("raw", _kind().alias("kind"))
 
 
-@query("src_tail", "WITH {EV} SELECT {KV} AS raw FROM ev")
+def _grow(spark, rows, root):
+    """Writes rows (kind, key_id, value, ended) to one file a kind below the folder, in place of the one that is there.
+
+    A file is written aside and moved, so that a repeated task changes nothing.
+    """
+    def write(batches):
+        store, folder = growing.open_store(root)
+        name = out = None
+        done = []
+
+        def close():
+            if out is not None:
+                out.close()
+                store.move(f"{folder}/.{name}", f"{folder}/{name}")
+
+        for batch in batches:
+            for kind, value, ended in zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "ended"))):
+                if f"{kind}.log" != name:
+                    close()
+                    name = f"{kind}.log"
+                    store.create_dir(folder, recursive=True)
+                    out = store.open_output_stream(f"{folder}/.{name}")
+                    done.append(name)
+                out.write(value.encode() + (b"\n" if ended else b""))
+        close()
+        yield pa.RecordBatch.from_pydict({"file": pa.array(done, pa.string())})
+
+    rows.repartition("kind").sortWithinPartitions("kind", "key_id").select("kind", "value", "ended").mapInArrow(write, "file string").collect()
+
+
+@query("src_tail", """WITH {EV}, l AS (SELECT kind, event_id, {KV} AS raw, row_number() OVER (PARTITION BY kind ORDER BY event_id) AS i, count(*) OVER (PARTITION BY kind) AS c FROM ev),
+  p AS (SELECT *, kind = 'error' AND i * 10 > c * 7 AS anew FROM l WHERE NOT (kind = 'error' AND i = c * 7 // 10))
+  SELECT kind, raw, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY kind, anew ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS raw_offset FROM p""")
 def src_tail(spark, sf):
+    """Files grow between three runs of a stream, which goes on from its checkpoint: first four tenths of the lines and half
+    of the next one, then seven tenths with the last one's end missing, then all, where one file was cut off and starts
+    anew, and a half line that never ends. The line whose end was missing when its file was cut off is never complete."""
+    root, path, checkpoint = new_dir(spark, "growing"), new_dir(spark, "tail"), new_dir(spark, "tail-checkpoint")
+    lines = line_view(spark, sf, "kv").join(event_rows(spark, sf).select(F.col("event_id").alias("key_id"), F.col("event_type").alias("kind")), "key_id")
+    by_kind = Window.partitionBy("kind")
+    lines = materialize(lines.select("kind", "key_id", F.col("raw").alias("value"), F.row_number().over(by_kind.orderBy("key_id")).alias("i"),
+                                     F.count("*").over(by_kind).alias("c")), "lines")
+    tenths, whole = F.col("i") * 10, F.col("c")
+    half = F.substring("value", 1, 20).alias("value")
+    ends = lines.groupBy("kind").agg(F.max("key_id").alias("key_id"), F.max_by("value", "key_id").alias("value"))
+    states = [
+        lines.filter(tenths <= whole * 4).withColumn("ended", F.lit(True)).select("kind", "key_id", "value", "ended").unionByName(
+            lines.filter((tenths > whole * 4) & (tenths <= whole * 4 + 10)).select("kind", "key_id", half, F.lit(False).alias("ended"))),
+        lines.filter(tenths <= whole * 7).select("kind", "key_id", "value", (tenths + 10 <= whole * 7).alias("ended")),
+        lines.filter((F.col("kind") != "error") | (tenths > whole * 7)).select("kind", "key_id", "value", F.lit(True).alias("ended")).unionByName(
+            ends.select("kind", (F.col("key_id") + 1).alias("key_id"), half, F.lit(False).alias("ended"))),
+    ]
+    for state in states:
+        _grow(spark, state, root)
+        stream = growing.tail(spark, root, "*.log", range_bytes=1 << 20)
+        (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(path).select(F.regexp_extract("address", r"([a-z]+)\.log$", 1).alias("kind"), "raw", "raw_offset")
+
+
+@query("src_tail_arrived", "WITH {EV} SELECT {KV} AS raw FROM ev")
+def src_tail_arrived(spark, sf):
     stream = L.stream_lines(spark, f"{_kind_files(spark, sf)}/*", max_files=2)
     return run_to_table(stream.select("raw"), spark, "tail")
 
@@ -171,6 +245,59 @@ def snk_raw_archive_manifest(spark, sf):
     return j.select("block", "n", (F.col("p").isNotNull() | (F.col("prev") == "")).alias("linked"))
 
 
+def _sealed(spark, sf):
+    """Events in three appends: rows, tree, manifest."""
+    path = new_dir(spark, "sealed")
+    e = event_view(spark, sf)
+    for k in range(3):
+        archive.append(e.filter(_event_id() % 3 == k), path)
+    return archive.stored(spark, path)
+
+
+def _event_id(col="trace.trace_id"):
+    return F.regexp_extract(col, r"0*(\d+)$", 1).cast("bigint")
+
+
+@query("snk_raw_archive_tree", """WITH {EV}, p AS (SELECT a.tid FROM ev a JOIN ev b ON b.event_id = a.event_id + CASE a.event_id % 100 WHEN 10 THEN 3 ELSE -3 END
+    WHERE a.event_id % 100 IN (10, 13))
+  SELECT tid, 'changed' AS problem FROM ev WHERE event_id % 100 = 7 UNION ALL SELECT tid, 'changed' FROM p
+  UNION ALL SELECT NULL, 'removed' FROM ev WHERE event_id % 100 = 8""")
+def snk_raw_archive_tree(spark, sf):
+    """What an archive of three appends says when rows were changed, removed and swapped; untouched it has nothing to say."""
+    rows, tree, sealed = _sealed(spark, sf)
+    assert archive.verify(rows, tree, sealed).isEmpty()
+    n = _event_id("trace_id")
+    swap = rows.filter((n % 100).isin(10, 13)).select((n + F.when(n % 100 == 10, 3).otherwise(-3)).alias("_id"), F.col("no").alias("_no"))
+    other = rows.withColumn("_id", n).join(swap, "_id", "left").withColumn("no", F.coalesce("_no", "no")).drop("_id", "_no")
+    other = other.filter(n % 100 != 8).withColumn("raw", F.when(n % 100 == 7, F.concat("raw", F.lit("!"))).otherwise(F.col("raw")))
+    return archive.verify(other, tree, sealed).select(F.col("trace_id").alias("tid"), "problem")
+
+
+@query("snk_raw_archive_proofs", "WITH {EV} SELECT tid, true AS ok FROM ev WHERE event_id % 20 = 0")
+def snk_raw_archive_proofs(spark, sf):
+    """Proofs that rows belong to the archive."""
+    rows, tree, sealed = _sealed(spark, sf)
+    wanted = rows.select("trace_id").filter(_event_id("trace_id") % 20 == 0)
+    return archive.proved(archive.proofs(rows, tree, wanted), sealed).select(F.col("trace_id").alias("tid"), "ok")
+
+
+@query("snk_upsert_buckets", """WITH {EV} SELECT tid, CASE WHEN event_id % 1000 = 0 THEN 'reviewed' ELSE act END AS act, nbytes FROM ev
+  UNION ALL SELECT 'new ' || tid, 'reviewed', 1 FROM ev WHERE event_id % 1000 = 0""")
+def snk_upsert_buckets(spark, sf):
+    """An update of a thousandth of the keys, sent twice, rewrites their buckets once."""
+    f = event_fields(spark, sf).select("tid", "act", "nbytes", F.col("event_id").alias("version"))
+    known = BucketTable(spark, new_dir(spark, "buckets"), ["tid"], ["version"], 256)
+    known.write(f, "first")
+    some = f.filter("version % 1000 = 0").withColumn("act", F.lit("reviewed"))
+    added = some.withColumns({"tid": F.concat(F.lit("new "), "tid"), "nbytes": F.lit(1).cast("bigint")})
+    batch = materialize(some.drop("nbytes").withColumn("nbytes", F.lit(None).cast("bigint")).unionByName(added), "batch")
+    done = known.write(batch, "second", ["act"])
+    touched = batch.select(known.bucket()).distinct().count()
+    assert done["written"] == touched and done["read"] <= touched, done
+    assert known.write(batch, "second", ["act"])["written"] == 0
+    return known.read().select("tid", "act", "nbytes")
+
+
 @query("snk_flat_events", """WITH {EV} SELECT tid AS trace_id, cat AS category, act AS action, outc AS outcome, sev AS severity, src AS source_ip,
   sport AS source_port, dst AS destination_ip, dport AS destination_port, usr AS "user", fmt AS parser FROM ev""")
 def snk_flat_events(spark, sf):
@@ -220,10 +347,17 @@ def snk_upsert(spark, sf):
     return T.upsert(o.filter("o_orderkey % 2 = 0"), updates.unionByName(older), ["o_orderkey"], ["seen"], ["o_orderstatus"])
 
 
-@query("snk_bulk_ndjson", """WITH {EV} SELECT tid AS trace_id, 0 AS pos, '{"index":{"_index":"logs"}}' AS head FROM ev
-  UNION ALL SELECT tid, 1, substr('{"ues":{"schema_version":"1.0.0"', 1, 27) FROM ev""")
+@query("snk_bulk_ndjson", """WITH {EV} SELECT tid AS trace_id, 0 AS pos, 'logs' AS idx, '{"index":{"_index":"logs"}}' AS line, NULL AS src, NULL AS dst, NULL AS act, NULL AS usr, NULL AS nbytes FROM ev
+  UNION ALL SELECT tid, 1, NULL, {RAW}, src, dst, act, usr, CAST(nbytes AS VARCHAR) FROM ev""")
 def snk_bulk_ndjson(spark, sf):
-    return S.bulk_lines(event_view(spark, sf), "logs").select("trace_id", "pos", F.substring("value", 1, 27).alias("head"))
+    """Both lines of every event: the action as it is, the document read back."""
+    at = lambda path: F.get_json_object("value", f"$.{path}")
+    lines = S.bulk_lines(event_view(spark, sf), "logs")
+    return lines.select(
+        F.when(F.col("pos") == 0, F.col("trace_id")).otherwise(at("trace.trace_id")).alias("trace_id"), "pos", at("index._index").alias("idx"),
+        F.when(F.col("pos") == 0, F.col("value")).otherwise(at("raw")).alias("line"), at("ues.source.ip").alias("src"),
+        at("ues.destination.ip").alias("dst"), at("ues.action").alias("act"), at("ues.user.name").alias("usr"),
+        at("ues.network.bytes_out").alias("nbytes"))
 
 
 @query("snk_kafka", "WITH {EV} SELECT tid AS key, src FROM ev")
@@ -239,7 +373,7 @@ def snk_null(spark, sf):
     return e.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_fanout", "SELECT 'a' AS sink, 'ok' AS status, count(*) AS n FROM events UNION ALL SELECT 'b', 'failed: ValueError', 0 UNION ALL SELECT 'c', 'ok', count(*) FROM events")
+@query("snk_fanout", "SELECT 'a' AS sink, 'ok' AS status, count(*) AS n FROM events UNION ALL SELECT 'b', 'failed: ValueError: sink is down', 0 UNION ALL SELECT 'c', 'ok', count(*) FROM events")
 def snk_fanout(spark, sf):
     paths = {n: new_dir(spark, f"fan-{n}") for n in "abc"}
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from .. import logviews as V
 from ..session import new_dir
 from ..sources.lines import stream_lines
-from ..streaming import jobs as J
+from ..streaming import jobs as J, late as L
 from ..streaming.correlation import read_cases, stream_correlate
 from .alerting import _SESSIONS
 from .base import event_rows, line_view, ms, query
-from .correlation import ALL_SQL, PARAMS, _case_cols
+from .correlation import ALL_SQL, PARAMS, _case_cols, mixed
 
 
 def _stream(spark, sf):
@@ -48,6 +48,59 @@ def str_dedup(spark, sf):
     return J.run_to_table(J.stream_dedup(s, ["k"], "t", "60 days"), spark, "dedup").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Every seventh event comes five days late; four runs of the same query, each restarted from the checkpoint.
+_ARRIVED = """a AS (SELECT *, ms + CASE WHEN event_id % 7 = 0 THEN 432000000 ELSE 0 END AS came FROM ev),
+  r AS (SELECT *, (came - (SELECT min(came) FROM a)) * 4 // ((SELECT max(came) FROM a) - (SELECT min(came) FROM a) + 1) AS run FROM a),
+  m AS (SELECT run, max(max(ms)) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000 AS mark FROM r GROUP BY run),
+  w AS (SELECT r.*, coalesce(ms < mark, false) AS late FROM r JOIN m USING (run))"""
+
+
+def _arriving(spark, sf, step: L.Step):
+    """The tables that four restarted runs leave."""
+    ev, path, out, checkpoint = event_rows(spark, sf), new_dir(spark, "arrived"), new_dir(spark, "late"), new_dir(spark, "late-checkpoint")
+    came = ms(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 7 == 0, 432000000).otherwise(0)
+    least, most = ev.agg(F.min(came), F.max(came)).first()
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for run in range(4):
+        part = ev.filter(F.floor((came - least) * 4 / (most - least + 1)) == run) if least is not None else ev
+        part.repartition(files).write.mode("append").parquet(path)
+        rows = V.fields(spark.readStream.schema(ev.schema).parquet(path))
+        L.start(rows, out, checkpoint, "t", 3600, step, {"availableNow": True}).awaitTermination()
+    return out
+
+
+@query("str_activity_late", f"""WITH {{EV}}, {_ARRIVED} SELECT kind, ms // 3600000 * 3600000 AS bucket, count(*) AS n, count(*) FILTER (WHERE late) AS n_late
+  FROM w GROUP BY 1, 2""")
+def str_activity_late(spark, sf):
+    """Hourly counts: closed, open and late ones together are all rows."""
+    step = L.buckets(3600, ("kind",))
+    out = _arriving(spark, sf, step)
+    late = step.parts(L.late_rows(spark, out)).withColumnRenamed("n", "n_late")
+    return L.corrected_windows(spark, out, step).join(late, ["kind", "bucket_ms"], "left").select(
+        "kind", F.col("bucket_ms").alias("bucket"), "n", F.coalesce("n_late", F.lit(0)).alias("n_late"))
+
+
+@query("str_sessions_late", f"""WITH {{EV}}, {_ARRIVED}, x AS (SELECT *, CASE WHEN ms - lag(ms) OVER k < 7200000 THEN 0 ELSE 1 END AS fresh FROM w WINDOW k AS (PARTITION BY src ORDER BY ms)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY src ORDER BY ms ROWS UNBOUNDED PRECEDING) AS sid FROM x),
+  c AS (SELECT src, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n FROM s GROUP BY src, sid)
+  SELECT c.*, (SELECT count(*) FROM w WHERE late) AS all_late FROM c""")
+def str_sessions_late(spark, sf):
+    """Sessions of sources after late rows were merged into closed ones."""
+    step = L.sessions(("src",), 7200)
+    out = _arriving(spark, sf, step)
+    n = L.late_rows(spark, out).count()
+    return L.corrected_windows(spark, out, step).select("src", "first_ms", "last_ms", "n", F.lit(n).alias("all_late"))
+
+
+@query("str_dedup_late", f"""WITH {{EV}}, {_ARRIVED}, d AS (SELECT usr, kind, ms, tid, late, lag(ms) OVER (PARTITION BY usr, kind ORDER BY ms, tid) AS before FROM w)
+  SELECT usr, kind, tid, ms FROM d WHERE before IS NULL OR ms - before >= 86400000""")
+def str_dedup_late(spark, sf):
+    """First deliveries: a row is a repeat if one of its key came less than a day before it."""
+    step = L.sessions(("usr", "kind"), 86400, ("tid",))
+    out = _arriving(spark, sf, step)
+    return L.corrected_windows(spark, out, step).select("usr", "kind", F.col("first.tid").alias("tid"), F.col("first_ms").alias("ms"))
+
+
 def _line_files(spark, sf, n: int = 4, copies: int = 1):
     path = new_dir(spark, "lines")
     raw = line_view(spark, sf, "kv").select("raw")
@@ -132,13 +185,13 @@ def _correlated(spark, sf, batches: int = 3):
         part.repartitionByRange(files, "ts").write.mode("append").parquet(path)
         # The files since the last run are one micro-batch, in whatever order they were written.
         s = spark.readStream.schema(ev.schema).parquet(path)
-        stream_correlate(V.events(s), out, checkpoint, PARAMS, trigger={"availableNow": True}).awaitTermination()
+        stream_correlate(mixed(V.events(s)), out, checkpoint, PARAMS, trigger={"availableNow": True}).awaitTermination()
     return out
 
 
-@query("str_state_expiry", f"WITH {{EV}} SELECT tid AS trace_id, src AS source FROM ev WHERE ms >= (SELECT max(ms) FROM ev) - {PARAMS.window * 1000}")
+@query("str_state_expiry", f"WITH {{EV}} SELECT tid AS trace_id, src AS source FROM ev WHERE ms >= (SELECT max(ms) FROM ev) - {(PARAMS.window + 600) * 1000}")
 def str_state_expiry(spark, sf):
-    """What the last micro-batch carries over: the trailing window of every source, nothing older."""
+    """What the last micro-batch carries over: the trailing window of every source, as far back as a late event may look, nothing older."""
     state = spark.read.parquet(f"{_correlated(spark, sf)}/state/tail")
     return state.filter(F.col("batch") == state.agg(F.max("batch")).first()[0]).select("trace_id", "source")
 

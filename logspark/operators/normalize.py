@@ -26,7 +26,7 @@ from .specs import Spec
 
 SOURCE_COLUMNS = {
     "source_type": "string", "address": "string", "transport": "string", "raw_offset": "bigint",
-    "received_time": "timestamp", "block": "bigint", "line_no": "bigint", "agent_id": "string",
+    "received_time": "timestamp", "line_no": "bigint", "first_line": "bigint", "agent_id": "string",
     "agent_fingerprint": "string",
 }
 # One of these must tell lines of the same text apart.
@@ -43,8 +43,7 @@ def with_source_columns(df: DataFrame) -> DataFrame:
 def with_integrity(df: DataFrame) -> DataFrame:
     """SHA-256 and byte length of the raw line, and a trace id that a replay repeats
     (nrm_integrity)."""
-    spot = F.when(F.col("raw_offset").isNotNull(), F.col("raw_offset").cast("string")).otherwise(
-        F.concat_ws(":", F.col("block").cast("string"), F.col("line_no").cast("string")))
+    spot = F.concat_ws("@", F.coalesce(F.col("raw_offset"), F.col("line_no")).cast("string"), F.col("first_line").cast("string"))
     place = F.concat_ws("|", *[F.coalesce(x, F.lit("")) for x in (
         F.col("source_type"), F.col("address"), spot, F.col("agent_fingerprint"))])
     return df.withColumns({

@@ -65,3 +65,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote and nobody reads any more; no error if it is gone."""
+    store, target = _files(spark, path)
+    store.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, target = _files(spark, path)
+    return store.exists(target)
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames a folder; False if the new name is taken."""
+    store, target = _files(spark, to)
+    if store.exists(target):
+        return False
+    store.mkdirs(target.getParent())
+    return store.rename(_files(spark, path)[1], target)

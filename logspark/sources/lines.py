@@ -2,60 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.base import strip
 
 
 def _with_file(df: DataFrame) -> DataFrame:
-    return df.select(
-        F.col("value").alias("raw"), F.lit("file").alias("source_type"),
+    """Non-blank lines with their file and the split of it that they were read from."""
+    lines = df.select(
+        F.rtrim(F.col("value"), F.lit("\r")).alias("raw"), F.lit("file").alias("source_type"),
         F.col("_metadata.file_path").alias("address"), F.lit("file").alias("transport"),
         F.col("_metadata.file_modification_time").alias("received_time"),
         F.col("_metadata.file_block_start").alias("block"))
+    return lines.filter(strip(F.col("raw")) != "")
+
+
+def _before_in_file(df: DataFrame, size: Column, file: str, block: str, order: str) -> DataFrame:
+    """Adds ``_before``, the summed sizes of a file's earlier lines: those of its split, and of the splits before it.
+
+    A split's lines are a group of their own, so a huge file stays spread; of a file only its splits' totals meet. Total
+    and rows come from two reads, whose splits may differ where the cluster changed between them: the total before a
+    split depends on where it starts only, and a start that the other read lacks is an error.
+    """
+    within = F.coalesce(F.sum(size).over(
+        Window.partitionBy(file, block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = df.groupBy(file, block).agg(F.sum(size).alias("_size"))
+    starts = totals.withColumn("_start", F.coalesce(F.sum("_size").over(
+        Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    start = F.coalesce(F.col("_start"), F.raise_error(F.lit("the splits of the files changed while they were read")).cast("bigint"))
+    return (df.withColumn("_within", within).join(starts, [file, block], "left")
+            .withColumn("_before", start + F.col("_within")).drop("_within", "_start"))
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds line_no, a row's place in its task; with file and block it names a line.
+    """Adds line_no, a line's place among its file's non-blank lines, from 0; needs its file and split.
 
-    No shuffle, and the same for every read with the same splits. ``read_positions`` has byte offsets, which don't depend
-    on those.
+    The number depends on the file only, not on splits, their packing or other files, so every read repeats it.
     """
-    return df.withColumn("line_no", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    return (_before_in_file(rows, F.lit(1), "address", "block", "_row").withColumn("line_no", F.col("_before").cast("bigint"))
+            .drop("_before", "_row", "block"))
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str | None = None,
-               recursive: bool = False) -> DataFrame:
+               recursive: bool = False, positions: bool = True) -> DataFrame:
     """Non-blank lines of text files (src_lines); a folder is filtered by ``pattern``
-    (src_dir_glob). Bad UTF-8 becomes the replacement character."""
+    (src_dir_glob). Bad UTF-8 becomes the replacement character.
+
+    Lines are numbered in their files (``numbered``), which moves them once, split by split; without ``positions`` they
+    stay where they are read, and have no ids to be known by.
+    """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    df = numbered(_with_file(reader.text(path)))
-    raw = F.rtrim(F.col("raw"), F.lit("\r"))
-    return df.withColumn("raw", raw).filter(strip(F.col("raw")) != "")
+    lines = _with_file(reader.text(path))
+    return numbered(lines) if positions else lines
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int = 100, pattern: str | None = None,
                  latest_first: bool = False) -> DataFrame:
-    """The streaming form (src_tail). The checkpoint holds what has been read; ``max_files`` bounds
-    a micro-batch and nothing is dropped (str_backpressure). Lines are numbered in the micro-batch
-    (``numbered``), as a stream can't number them."""
+    """The streaming form for files that arrive whole. The checkpoint holds what has been read; ``max_files`` bounds
+    a micro-batch and nothing is dropped (str_backpressure). A file is in one micro-batch, where its lines are numbered
+    (``numbered``). For files that grow see ``growing.tail`` (src_tail)."""
     reader = (spark.readStream.option("maxFilesPerTrigger", max_files)
               .option("latestFirst", str(latest_first).lower()))
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    df = _with_file(reader.text(path))
-    return df.withColumn("raw", F.rtrim(F.col("raw"), F.lit("\r"))).filter(strip(F.col("raw")) != "")
+    return _with_file(reader.text(path))
 
 
 def read_positions(spark: SparkSession, path: str, pattern: str | None = None,
                    recursive: bool = False, block_bytes: int | None = None) -> DataFrame:
     """Lines with their byte offset (src_byte_offset).
 
-    The line reader keeps the order inside a split, so a running sum over the row id within
-    (file, block) gives the offset in the block, and the block totals, one row per split, are
-    summed up to give where the block starts. A single huge file stays spread over its splits.
+    The line reader keeps the order inside a split, so a running sum over the row id gives the offset in the split, and
+    the splits' totals say where each starts.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n")
     if pattern:
@@ -74,17 +95,8 @@ def with_byte_offset(df: DataFrame, file: str = "address", block: str = "block",
 
     Blank lines are dropped afterwards.
     """
-    size = F.octet_length("raw") + 1
-    within = F.coalesce(F.sum(size).over(
-        Window.partitionBy(file, block).orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = df.groupBy(file, block).agg(F.sum(size).alias("_bytes"))
-    starts = totals.withColumn("_start", F.coalesce(F.sum("_bytes").over(
-        Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))).drop("_bytes")
-    out = df.withColumn("_within", within).join(starts, [file, block])
-    return (out.withColumn("raw_offset", F.col("_start") + F.col("_within"))
-            .drop("_within", "_start", block, order)
+    out = _before_in_file(df, F.octet_length("raw") + 1, file, block, order)
+    return (out.withColumnRenamed("_before", "raw_offset").drop(block, order)
             .withColumn("raw", F.rtrim(F.col("raw"), F.lit("\r"))).filter(strip(F.col("raw")) != ""))
 
 

@@ -25,7 +25,7 @@ def start_pipeline(lines: DataFrame, specs: tuple[Spec, ...],
     batch again; without that table a batch with a failed sink stops the query, and the checkpoint repeats it.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
-        df = df if {"line_no", "raw_offset"} & set(df.columns) else numbered(df)
+        df = df if {"line_no", "raw_offset"} & set(df.columns) else numbered(df)  # files arrive whole in a micro-batch
         done = fan_out(normalize_logs(df, specs, year=year), batch_id, sinks)
         if status is not None:
             rows = [(batch_id, name, got == "ok", None if got == "ok" else got) for name, got in done.items()]
