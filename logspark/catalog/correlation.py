@@ -57,8 +57,27 @@ def _case_cols(cases):
                         F.array_join("trace_ids", ",").alias("trace_ids"))
 
 
-ALL_SOURCE = (C.FAILURES, C.SSH, C.SUCCESS, C.PRIVILEGE, C.CHAIN)
-ALL_SQL = _fired(" UNION ALL ".join(_candidates(p) for p in ALL_SOURCE)) + " " + _CASE
+# Every third error is a denial and no failed login (see ``mixed``), so that all six patterns have something to find.
+_LOGIN = "kind = 'error' AND event_id % 3 <> 0"
+_MIXED_ROLES = (_ROLES.replace("kind = 'error'", _LOGIN).replace("kind <> 'view'", f"(kind NOT IN ('view', 'error') OR {_LOGIN})")
+                + f""", q AS (SELECT *, count(*) OVER w AS n, list(tid) OVER w AS l FROM ev WHERE kind = 'error' WINDOW w AS ({_WA}))""")
+
+
+def _mixed_candidates() -> str:
+    one = {p: _candidates(p) for p in C.PATTERNS}
+    one[C.FAILURES] = one[C.FAILURES].replace("kind = 'error'", _LOGIN)
+    one[C.REPEATED] = one[C.REPEATED].replace("FROM r WHERE", "FROM q WHERE event_id % 3 = 0 AND")
+    return " UNION ALL ".join(one.values())
+
+
+ALL_SQL = _fired(_mixed_candidates(), _MIXED_ROLES) + " " + _CASE
+
+
+def mixed(events):
+    """Events whose every third error is filed under "network"."""
+    n = F.regexp_extract("trace.trace_id", r"0*(\d+)$", 1).cast("bigint")
+    network = (F.col("ues.action") == "deny") & (n % 3 == 0)
+    return events.withColumn("ues", F.col("ues").withField("category", F.when(network, "network").otherwise(F.col("ues.category"))))
 
 
 def _pattern(name: str, pattern: str, job, error_category: str | None = None):
@@ -79,7 +98,7 @@ _pattern("cor_intrusion_chain", C.CHAIN, C.cor_intrusion_chain)
 
 @query("cor_all", ALL_SQL)
 def cor_all(spark, sf):
-    return _case_cols(C.correlate(event_view(spark, sf), PARAMS)[0])
+    return _case_cols(C.correlate(mixed(event_view(spark, sf)), PARAMS)[0])
 
 
 _ONE = _fired(_candidates(C.SUCCESS))

@@ -15,7 +15,7 @@ from ..functions import predicates as P
 from ..functions.severity import severity_risk
 from ..functions.timestamps import time_display
 from ..session import materialize
-from .windows import before_history, before_window, cooldown, running, sliced
+from .windows import HOT_ROWS, cooldown, sliced, with_running
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,7 @@ class Params:
     brute_threshold: int = 5
     cooldown: int = 600
     history: int | None = None  # events of a source looked back over; none: all of the window
+    hot_rows: int = HOT_ROWS  # events of a source and time slice from which on several tasks count them
 
 
 FAILURES, REPEATED, SSH = "brute-force-failures", "repeated-failures", "ssh-brute-force"
@@ -87,12 +88,9 @@ def _source_patterns(base: DataFrame, p: Params, wanted: tuple[str, ...]) -> tup
     s = sliced(base, "ts", max(p.window, p.brute_window, p.group_window))
     roles = {"fail": F.col("fail"), "succ": F.col("succ"), "scan": F.col("scan"), "ssh": F.col("ssh"),
              "any": F.col("fail") | F.col("succ") | F.col("scan") | F.col("priv")}
-    s = s.withColumns({f"r_{n}": running(f, keys, "trace_id") for n, f in roles.items()})
-    s = s.withColumns({f"h_{n}": before_history(f"r_{n}", keys, "trace_id", p.history) for n in roles})
     windows = {"fail": p.brute_window, "ssh": p.group_window, "succ": p.window, "scan": p.window, "any": p.window}
-    s = s.withColumns({
-        **{f"w_{n}": before_window(f"r_{n}", keys, sec) for n, sec in windows.items()},
-        "w_failw": before_window("r_fail", keys, p.window)})
+    edges = {**{f"w_{n}": (n, sec) for n, sec in windows.items()}, "w_failw": ("fail", p.window)}
+    s = with_running(s, roles, keys, "trace_id", edges, p.history, p.hot_rows)
 
     def r(n: str) -> Column:
         return F.col(f"r_{n}")
@@ -142,8 +140,7 @@ def _repeated(base: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     keyed = base.filter("sec").withColumn("_fa", F.when(F.col("action") == "", "failure").otherwise(F.col("action")))
     s = sliced(keyed, "ts", p.group_window)
     keys = ["source", "_fa"]
-    s = s.withColumn("r", running(F.lit(True), keys, "trace_id"))
-    s = s.withColumn("w", before_window("r", keys, p.group_window))
+    s = with_running(s, {"sec": F.lit(True)}, keys, "trace_id", {"w": ("sec", p.group_window)}, None, p.hot_rows).withColumnRenamed("r_sec", "r")
     n = F.col("r") - F.col("w")
     n = n if p.history is None else F.least(n, F.lit(p.history))
     role = F.concat(F.lit("sec:"), F.col("_fa"))

@@ -29,45 +29,100 @@ def sliced(df: DataFrame, ts: str, seconds: int, windows_per_slice: int = 2) ->
     return df.withColumn("_own", F.col("_slice") == F.col("_home")).drop("_home")
 
 
-def running(flag: Column, keys: list[str], tie: str) -> Column:
-    """Number of flagged rows of the key so far in the slice, this row included."""
-    w = Window.partitionBy(*keys, "_slice").orderBy("_ms", tie)
-    return F.sum(flag.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+#: Rows of a key's slice from which on its running counts are taken over ranges of it, not by one task.
+HOT_ROWS = 1 << 20
+_BROADCAST_GROUPS = 100_000
 
 
-def before_window(total: str, keys: list[str], seconds: int) -> Column:
-    """Running count as it stood before the trailing window began. The frame only grows, so the
-    window operator never looks at a row twice."""
-    w = Window.partitionBy(*keys, "_slice").orderBy("_ms")
-    old = F.max(total).over(w.rangeBetween(Window.unboundedPreceding, -(seconds * 1000) - 1))
-    return F.coalesce(old, F.lit(0))
+def with_running(s: DataFrame, flags: dict[str, Column], keys: list[str], tie: str, edges: dict[str, tuple[str, int]],
+                 cap: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds to sliced rows, counting within a key's slice: ``r_<flag>``, flagged rows so far with this one; for each edge
+    (flag, seconds) that count as it stood before the trailing window began; ``h_<flag>``, as it stood ``cap`` rows ago
+    (0 without a cap, which leaves nothing out).
 
-
-def before_history(total: str, keys: list[str], tie: str, cap: int | None) -> Column:
-    """Running count as it stood ``cap`` rows ago; without a cap nothing is left out."""
+    A slice is one task's, but a slice with more than ``hot_rows`` rows is cut into ranges of time: a row's count is its
+    count in the range plus the totals of the ranges before. What it was before a window began is asked for by a row of
+    its own at that time, once for each time, and joined back by an equality.
+    """
+    s = s.withColumns({f"_f_{n}": F.coalesce(c, F.lit(False)).cast("bigint") for n, c in flags.items()})
+    group = [*keys, "_slice"]
+    crowded = materialize(s.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(
+        *[F.col(c).alias(f"_hot_{c}") for c in group]), "crowded")
+    n = crowded.count()
+    if not n:
+        return _counts_in_slice(s, list(flags), keys, tie, edges, cap)
+    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in group]
+    crowded = F.broadcast(crowded) if n <= _BROADCAST_GROUPS else crowded
+    return _counts_in_slice(s.join(crowded, same, "left_anti"), list(flags), keys, tie, edges, cap).unionByName(
+        _counts_in_ranges(s.join(crowded, same, "left_semi"), list(flags), group, tie, edges, cap))
+
+
+def _counts_in_slice(s: DataFrame, names: list[str], keys: list[str], tie: str, edges: dict[str, tuple[str, int]],
+                     cap: int | None) -> DataFrame:
+    by_row = Window.partitionBy(*keys, "_slice").orderBy("_ms", tie)
+    by_time = Window.partitionBy(*keys, "_slice").orderBy("_ms")
+    s = s.withColumns({f"r_{n}": F.sum(f"_f_{n}").over(by_row.rowsBetween(Window.unboundedPreceding, 0)) for n in names})
+    # The frames only grow, so the window operator never looks at a row twice.
+    s = s.withColumns({edge: F.coalesce(F.max(f"r_{n}").over(by_time.rangeBetween(Window.unboundedPreceding, -(seconds * 1000) - 1)), F.lit(0))
+                       for edge, (n, seconds) in edges.items()})
+    none = F.lit(0).cast("bigint")
+    s = s.withColumns({f"h_{n}": none if cap is None else F.coalesce(F.lag(f"r_{n}", cap).over(by_row), none) for n in names})
+    return s.drop(*[f"_f_{n}" for n in names])
+
+
+def _counts_in_ranges(s: DataFrame, names: list[str], group: list[str], tie: str, edges: dict[str, tuple[str, int]],
+                      cap: int | None) -> DataFrame:
+    """``_counts_in_slice`` for slices too large for a task."""
+    flags, columns = [f"_f_{n}" for n in names], s.columns
+    asked = [s.select(*group, (F.col("_ms") - seconds * 1000).alias("_ms"), F.lit(seconds).alias("_back")).distinct()
+             for seconds in sorted({seconds for _, seconds in edges.values()})]
+    both = s.withColumn("_back", F.lit(None).cast("int"))
+    for probe in asked:
+        both = both.unionByName(probe.withColumns({f: F.lit(0).cast("bigint") for f in flags}), allowMissingColumns=True)
+    # A question stands before the rows of its own millisecond.
+    order = [F.col("_ms"), F.col("_back").asc_nulls_last(), F.col(tie)]
+    ranged = materialize(both.withColumn("_one", F.col("_back").isNull().cast("bigint")).repartitionByRange(*group, *order)
+                         .withColumn("_range", F.spark_partition_id()), "ranged")
+    sums = [*flags, "_one"]
+    total = ranged.groupBy("_range", *group).agg(*[F.sum(f).alias(f"_all{f}") for f in sums])
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = total.select(F.col("_range").alias("_at"), *[F.col(c).alias(f"_of_{c}") for c in group],
+                           *[F.coalesce(F.sum(f"_all{f}").over(earlier), F.lit(0)).alias(f"_to{f}") for f in sums])
+    here = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = ranged.select(*ranged.columns, *[F.sum(f).over(here).alias(f"_in{f}") for f in sums])
+    counted = counted.join(carried, [F.col("_range") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]])
+    counted = materialize(counted.select(*columns, "_back", *[(F.col(f"_in{f}") + F.col(f"_to{f}")).alias(f"r{f[2:]}" if f != "_one" else "_no") for f in sums]), "counted")
+
+    rows = counted.filter("_back IS NULL").drop("_back")
+    if edges:
+        answers = counted.filter("_back IS NOT NULL").groupBy(*[F.col(c).alias(f"_of_{c}") for c in group], (F.col("_ms") + F.col("_back") * 1000).alias("_then")).agg(
+            *[F.max(F.when(F.col("_back") == seconds, F.col(f"r_{n}"))).alias(edge) for edge, (n, seconds) in edges.items()])
+        rows = rows.join(answers, [F.col("_ms") == F.col("_then"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]]).drop(
+            "_then", *[f"_of_{c}" for c in group])
+    none = F.lit(0).cast("bigint")
     if cap is None:
-        return F.lit(0).cast("bigint")
-    w = Window.partitionBy(*keys, "_slice").orderBy("_ms", tie)
-    return F.coalesce(F.lag(total, cap).over(w), F.lit(0))
+        rows = rows.withColumns({f"h_{n}": none for n in names})
+    else:
+        ago = rows.select(*[F.col(c).alias(f"_of_{c}") for c in group], (F.col("_no") + cap).alias("_later"), *[F.col(f"r_{n}").alias(f"h_{n}") for n in names])
+        rows = rows.join(ago, [F.col("_no") == F.col("_later"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]], "left").drop(
+            "_later", *[f"_of_{c}" for c in group]).withColumns({f"h_{n}": F.coalesce(f"h_{n}", none) for n in names})
+    return rows.drop("_no", *flags)
 
 
 def recent_count(df: DataFrame, flag: Column, keys: list[str], ts: str, tie: str, seconds: int,
-                 cap: int | None = None, name: str = "n") -> DataFrame:
+                 cap: int | None = None, name: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flagged rows of the key in the trailing ``seconds``, looking back over all rows or at most ``cap``
     (win_recent_count).
 
     Both limits cut off a prefix, so the count is the running total minus the larger prefix.
     """
-    s = sliced(df, ts, seconds)
-    s = s.withColumn("_run", running(flag, keys, tie))
-    s = s.withColumns({"_old": before_window("_run", keys, seconds),
-                       "_lag": before_history("_run", keys, tie, cap)})
-    return (s.filter("_own").withColumn(name, F.col("_run") - F.greatest("_old", "_lag"))
-            .drop("_run", "_old", "_lag", "_ms", "_slice", "_own"))
+    s = with_running(sliced(df, ts, seconds), {"flag": flag}, keys, tie, {"_old": ("flag", seconds)}, cap, hot_rows)
+    return (s.filter("_own").withColumn(name, F.col("r_flag") - F.greatest("_old", "h_flag"))
+            .drop("r_flag", "_old", "h_flag", "_ms", "_slice", "_own"))
 
 
 def recent_evidence(df: DataFrame, firing: Column, flag: Column, keys: list[str], ts: str, tie: str,
-                    seconds: int, k: int, cap: int | None = None) -> DataFrame:
+                    seconds: int, k: int, cap: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(firing tie, evidence tie, pos) of the last k flagged rows up to each firing row
     (win_recent_evidence).
 
@@ -75,10 +130,8 @@ def recent_evidence(df: DataFrame, firing: Column, flag: Column, keys: list[str]
     k rows per firing.
     """
     s = sliced(df, ts, seconds).withColumn("_flag", flag).withColumn("_fire", firing)
-    s = s.withColumn("_run", running(F.col("_flag"), keys, tie))
-    s = s.withColumns({"_old": before_window("_run", keys, seconds),
-                       "_lag": before_history("_run", keys, tie, cap)})
-    first = F.greatest(F.col("_run") - k, F.greatest("_old", "_lag")) + 1
+    s = with_running(s, {"run": F.col("_flag")}, keys, tie, {"_old": ("run", seconds)}, cap, hot_rows).withColumnRenamed("r_run", "_run")
+    first = F.greatest(F.col("_run") - k, F.greatest("_old", "h_run")) + 1
     wanted = (s.filter(F.col("_own") & F.col("_fire") & (F.col("_run") >= first))
               .select(*keys, "_slice", F.col(tie).alias("firing"),
                       F.explode(F.sequence(first, F.col("_run"))).alias("_run")))
@@ -98,8 +151,22 @@ def failed_history(df: DataFrame, flag: Column, keys: list[str], ts: str, tie: s
             .drop("_times", "_slice", "_own"))
 
 
+def in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds each row's place among all rows, from 0, in the given order; the rows are written, in ranges of it.
+
+    Only the ranges' sizes meet in one place. Rows equal in the order take their places in any order.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+
+
 # --- cooldown --------------------------------------------------------------------------------
 SEGMENT = 64  # segment length in cooldown periods
+FAN = 64  # segments of a block, and blocks of a larger one
 _STEP = "_fp string, _seg bigint, _c bigint, _ms bigint, _x bigint"
 
 
@@ -149,23 +216,76 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["_fp", "_seg", "_c", "_ms", "_x"])
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Earliest time that may fire in each segment, from the last firing before it."""
-    state = {"fp": None, "last": None, "seg": None, "from": 0, "done": True}
-    for batch in batches:
-        out = []
-        for fp, seg, c, upto, last in batch.itertuples(index=False, name=None):
-            if fp != state["fp"]:
-                state = {"fp": fp, "last": None, "seg": None, "from": 0, "done": True}
-            if seg != state["seg"]:
-                start = seg * c * SEGMENT
-                state["from"] = start if state["last"] is None else max(start, state["last"] + c)
-                state["seg"], state["done"] = seg, False
-                out.append((fp, seg, c, state["from"], 0))
-            if not state["done"] and upto >= state["from"]:
-                state["last"], state["done"] = last, True
+def _composed(level: int):
+    """Maps of up to ``FAN`` neighbouring segments to one map of the block they make; ``level`` is the segments'."""
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[pd.DataFrame] = []
+        held = 0
+        for run in _runs(batches, ["_fp", "_block"]):
+            c, seg = int(run["_c"].iloc[0]), run["_seg"].to_numpy()
+            cuts = [0, *(np.flatnonzero(seg[1:] != seg[:-1]) + 1).tolist(), len(seg)]
+            upto, last = run["_ms"].to_numpy(), run["_x"].to_numpy()
+            # What may fire first: any candidate of the first segment, or, if it has none left, the first of the second.
+            n = min(cuts[1] + 1, len(seg))
+            x = last[:n].copy()
+            for j, (lo, hi) in enumerate(zip(cuts[1:-1], cuts[2:]), 1):
+                entry = np.maximum(int(seg[lo]) * c * SEGMENT * FAN ** level, x + c)
+                at = np.searchsorted(upto[lo:hi], entry)
+                moved = np.where(at < hi - lo, last[lo:hi][np.minimum(at, hi - lo - 1)], x)
+                x = np.where((j == 1) & (np.arange(n) == cuts[1]), x, moved)
+            keep = np.append(x[1:] != x[:-1], True)
+            out.append(pd.DataFrame({"_fp": run["_fp"].iloc[0], "_seg": int(run["_block"].iloc[0]), "_c": c, "_ms": upto[:n][keep], "_x": x[keep]}))
+            held += len(out[-1])
+            if held > 10_000:
+                yield pd.concat(out)
+                out, held = [], 0
         if out:
-            yield pd.DataFrame(out, columns=["_fp", "_seg", "_c", "_ms", "_x"])
+            yield pd.concat(out)
+
+    return compose
+
+
+def _entries(level: int):
+    """Earliest time that may fire in each segment of a block, from the block's own (_from; none: no limit)."""
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = seg_now = None
+        earliest, done = 0, True
+        for batch in batches:
+            out = []
+            for fp, block, seg, c, upto, last, given in batch.itertuples(index=False, name=None):
+                if (fp, block) != group:
+                    group, seg_now, earliest = (fp, block), None, given
+                if seg != seg_now:
+                    earliest = max(earliest, seg * c * SEGMENT * FAN ** level)
+                    seg_now, done = seg, False
+                    out.append((fp, seg, earliest))
+                if not done and upto >= earliest:
+                    earliest, done = last + c, True
+            if out:
+                yield pd.DataFrame(out, columns=["_fp", "_seg", "_from"])
+
+    return walk
+
+
+def _segment_entries(summary: DataFrame) -> DataFrame:
+    """Where each segment starts, by a tree of maps over blocks of ``FAN`` segments: up to few blocks, then down again."""
+    maps = [materialize(summary, "cooldown-maps")]
+    span = maps[0].groupBy("_fp").agg((F.max("_seg") - F.min("_seg")).alias("n")).agg(F.max("n")).first()[0] or 0
+    while span >= FAN:
+        level = len(maps) - 1
+        blocks = maps[-1].withColumn("_block", F.floor(F.col("_seg") / FAN)).repartition("_fp", "_block").sortWithinPartitions("_fp", "_block", "_seg", "_ms")
+        maps.append(materialize(blocks.mapInPandas(_composed(level), _STEP), "cooldown-maps"))
+        span = span // FAN + 1
+    entries = None
+    for level in range(len(maps) - 1, -1, -1):
+        rows = maps[level]
+        if entries is None:
+            rows = rows.withColumn("_block", F.lit(0).cast("bigint")).withColumn("_from", F.lit(-(1 << 62)))
+        else:
+            rows = rows.withColumn("_block", F.floor(F.col("_seg") / FAN)).join(entries.withColumnRenamed("_seg", "_block"), ["_fp", "_block"])
+        rows = rows.select("_fp", "_block", "_seg", "_c", "_ms", "_x", "_from").repartition("_fp", "_block")
+        entries = rows.sortWithinPartitions("_fp", "_block", "_seg", "_ms").mapInPandas(_entries(level), "_fp string, _seg bigint, _from bigint")
+    return entries
 
 
 def _fires(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,8 +312,9 @@ def cooldown(candidates: DataFrame, fingerprint: str, ts: str, tie: str,
     What fires depends on what fired before, which looks sequential. It is made parallel in three
     steps. Candidates are reduced to distinct milliseconds per fingerprint (map-side combined) and
     cut into segments of 64 periods; a segment holds at most that many milliseconds, whatever the
-    key. Each segment on its own maps "first to fire" to "last to fire". A pass over those short
-    summaries then tells every segment where it starts, and each segment emits its firings.
+    key. Each segment on its own maps "first to fire" to "last to fire". Maps of neighbouring
+    segments compose, so a tree of blocks tells every segment where it starts, no task seeing more
+    than ``FAN`` maps of a block, and each segment emits its firings.
 
     The candidates feed all three steps and the result, so they are written once.
     """
@@ -206,8 +327,7 @@ def cooldown(candidates: DataFrame, fingerprint: str, ts: str, tie: str,
     seg = thin.select("_fp", F.floor(F.col("_ms") / (F.col("_c") * SEGMENT)).alias("_seg"), "_c", "_ms")
     ordered = seg.repartition("_fp", "_seg").sortWithinPartitions("_fp", "_seg", "_ms")
     summary = ordered.mapInPandas(_summaries, _STEP)
-    starts = (summary.repartition("_fp").sortWithinPartitions("_fp", "_seg", "_ms")
-              .mapInPandas(_entries, _STEP).select("_fp", "_seg", F.col("_ms").alias("_x")))
+    starts = _segment_entries(summary).withColumnRenamed("_from", "_x")
     fired = (seg.join(starts, ["_fp", "_seg"]).repartition("_fp", "_seg")
              .sortWithinPartitions("_fp", "_seg", "_ms")
              .mapInPandas(_fires, "_fp string, _ms bigint"))

@@ -2,9 +2,9 @@
 
 Each micro-batch is joined with the short history it needs and goes through the batch operators,
 so stream and batch give the same cases. What carries over is written per batch id: the trailing
-events of each source (not older than the window, and at most ``history`` if that is set) and the last firing of each
-fingerprint (not older than three cooldowns). A replayed batch reads the same predecessor and
-writes the same result.
+events of each source (as far back as a late event's window reaches, and at most ``history`` if that is set) and the
+firings of each fingerprint that may still silence another. A replayed batch reads the same predecessor and
+writes the same result; older state is removed.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import correlate as C
-from ..operators.windows import cooldown, latest
-from ..session import materialize
+from ..operators.windows import cooldown
+from ..session import materialize, remove
 
 
 class LiveCorrelation:
@@ -46,12 +46,9 @@ class LiveCorrelation:
         cand, rows = C._source_patterns(work, p, over)
         c2, r2 = C._repeated(work, p)
         cand, rows = cand.unionByName(c2).filter("_new"), rows.unionByName(r2)
-        # The last firing of a fingerprint is its earliest candidate here, so it fires again and
-        # silences what follows, exactly as it did.
         if fired_before is not None:
-            cand = cand.unionByName(fired_before.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-        fired_all = materialize(cooldown(cand, "fingerprint", "ts", "trace_id", p.cooldown), "live-fired")
-        fired = fired_all.filter("_new")
+            cand = not_silenced(cand, fired_before, p.cooldown)
+        fired = materialize(cooldown(cand, "fingerprint", "ts", "trace_id", p.cooldown), "live-fired")
         head = fired.select("fingerprint", F.col("trace_id").alias("fired_by"), "source", "_slice", "role",
                             F.explode(F.sequence("ev_from", "ev_to")).alias("no"))
         found = rows.withColumn("ev", C._evidence_item()).select("source", "_slice", "role", "no", "ev")
@@ -60,12 +57,12 @@ class LiveCorrelation:
                                           C._evidence_item().alias("ev"))
         cases = C.make_cases(fired, evidence.unionByName(own), p)
         cases.write.mode("overwrite").parquet(f"{self.path}/cases/batch={batch_id}")
-        self._carry(work, fired_all, batch_id)
+        self._carry(work, fired, fired_before, batch_id)
 
-    def _carry(self, work: DataFrame, fired_all: DataFrame, batch_id: int) -> None:
+    def _carry(self, work: DataFrame, fired: DataFrame, fired_before: DataFrame | None, batch_id: int) -> None:
         p = self.params
         top = work.agg(F.max("ts").alias("t")).first()["t"]
-        horizon = max(p.window, p.brute_window, p.group_window)
+        horizon = max(p.window, p.brute_window, p.group_window) + self.late  # a late event looks back over its own window
         fresh = work if top is None else work.filter(
             F.col("ts") >= F.lit(top) - F.expr(f"INTERVAL {horizon} SECONDS"))
         tail = fresh
@@ -78,10 +75,28 @@ class LiveCorrelation:
                 fresh.filter("sec").withColumn("_rank", rank2).filter(F.col("_rank") <= p.history).drop("_rank"))
         tail = tail.dropDuplicates(["trace_id"]).withColumn("_new", F.lit(False))
         tail.write.mode("overwrite").parquet(f"{self.path}/state/tail/batch={batch_id}")
-        last = latest(fired_all, ["fingerprint"], ["ts", "trace_id"])
+        last = fired.select("fingerprint", "ts")
+        last = last if fired_before is None else last.unionByName(fired_before)
         if top is not None:
-            last = last.filter(F.col("ts") >= F.lit(top) - F.expr(f"INTERVAL {p.cooldown * self.ttl} SECONDS"))
+            reach = max(p.cooldown * self.ttl, p.cooldown + self.late)
+            last = last.filter(F.col("ts") >= F.lit(top) - F.expr(f"INTERVAL {reach} SECONDS"))
         last.write.mode("overwrite").parquet(f"{self.path}/state/fired/batch={batch_id}")
+        for name in ("tail", "fired"):
+            if batch_id > 1:  # the batch before may still be asked for, should this one be repeated
+                remove(work.sparkSession, f"{self.path}/state/{name}/batch={batch_id - 2}")
+
+
+def not_silenced(cand: DataFrame, fired: DataFrame, seconds: int) -> DataFrame:
+    """Candidates with no firing of their fingerprint less than the cooldown before or after them.
+
+    A late candidate may lie before a firing that is out already; it fires only if neither would have silenced the other.
+    Firings of a fingerprint are a cooldown apart, so a candidate meets four of them at most.
+    """
+    width = seconds * 1000
+    cell = F.floor(F.unix_millis("ts") / width)
+    near = fired.select(F.col("fingerprint").alias("_fp"), F.unix_millis("ts").alias("_at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+    hit = (F.col("fingerprint") == F.col("_fp")) & (cell == F.col("_cell")) & (F.abs(F.unix_millis("ts") - F.col("_at")) < width)
+    return cand.join(near, hit, "left_anti")
 
 
 def stream_correlate(events: DataFrame, path: str, checkpoint: str, params: C.Params = C.Params(),
