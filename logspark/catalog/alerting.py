@@ -68,9 +68,19 @@ def alr_threat(spark, sf):
     return _cols(A.alr_threat(enr_threat(event_view(spark, sf), _feed(spark, sf))))
 
 
-@query("alr_evaluate", _ALL + _COLS)
+_RAISED = f"""{_FEED}, j AS (SELECT ev.*, i.severity AS s1, s.severity AS s2 FROM ev LEFT JOIN feed i ON i.kind = 'ip' AND i.indicator = dst
+    LEFT JOIN feed s ON s.kind = 'string' AND s.indicator = 'event ' || ev.kind),
+  k AS (SELECT *, greatest(CASE WHEN s1 IS NOT NULL THEN {_SCORE.format('s1')} END, CASE WHEN s2 IS NOT NULL THEN {_SCORE.format('s2')} END) AS score FROM j),
+  v AS (SELECT *, CASE WHEN score > (CASE sev WHEN 70 THEN 70 WHEN 85 THEN 90 ELSE 10 END) THEN score ELSE sev END AS raised FROM k),"""
+_HIGH_RAISED = """SELECT 'high-severity' AS rule, ms, tid, src, fmt, CASE WHEN raised >= 90 THEN 'critical' ELSE 'high' END AS severity,
+    'Normalized event severity is ' || raised || '/100.' AS reason FROM v WHERE raised >= 80"""
+
+
+@query("alr_evaluate", _fired(f"{_DENY} UNION ALL {_HIGH_RAISED} UNION ALL {_THREAT_CAND}", SIX, _RAISED) + _COLS)
 def alr_evaluate(spark, sf):
-    return _cols(_all(spark, sf))
+    """All three rules over enriched events, whose severity an indicator may have raised."""
+    events = enr_threat(_net(spark, sf), _feed(spark, sf))
+    return _cols(A.evaluate_alerts(events, dict.fromkeys(A.COOLDOWNS, SIX)))
 
 
 def _plain(spark, sf):

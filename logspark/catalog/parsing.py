@@ -330,13 +330,21 @@ def agg_ts_coverage(spark, sf):
     return profile.ts_coverage(parse_chain(line_view(spark, sf)), 2024)
 
 
-@query("jn_alias", """SELECT url_key AS source, count(*) AS n,
-  CASE url_key WHEN 'page' THEN NULL WHEN 'ref' THEN NULL END AS target FROM (
-    SELECT unnest(regexp_extract_all(url, '[?&]([a-z]+)=', 1)) AS url_key FROM pages) GROUP BY 1""")
+@query("jn_alias", """WITH {EV}, k AS (SELECT unnest(regexp_extract_all({KV}, '(?:^| )([a-z]+)=', 1)) AS source FROM ev
+    UNION ALL SELECT 'Old_Src' || CASE WHEN event_id % 2 = 0 THEN 'IP' ELSE 'Port' END FROM ev
+    UNION ALL SELECT unnest(regexp_extract_all(url, '[?&]([a-z]+)=', 1)) FROM pages)
+  SELECT source, count(*) AS n, CASE source WHEN 'srcip' THEN 'source.ip' WHEN 'dstip' THEN 'destination.ip' WHEN 'srcport' THEN 'source.port'
+    WHEN 'dstport' THEN 'destination.port' WHEN 'action' THEN 'event.action' WHEN 'user' THEN 'user.name' WHEN 'outcome' THEN 'event.outcome'
+    WHEN 'Old_SrcIP' THEN 'source.ip' WHEN 'Old_SrcPort' THEN 'source.port' END AS target,
+    CASE WHEN source IN ('srcip', 'dstip', 'srcport', 'dstport', 'action', 'user', 'outcome') THEN 0.96 WHEN source = 'Old_SrcIP' THEN 0.86
+      WHEN source = 'Old_SrcPort' THEN 0.84 ELSE 0.0 END AS confidence FROM k GROUP BY 1""")
 def jn_alias(spark, sf):
-    keys = table(spark, sf, "pages").select(F.explode(
-        F.regexp_extract_all("url", F.lit("[?&]([a-z]+)="), F.lit(1))).alias("source"))
-    return profile.alias_join(keys.groupBy("source").agg(F.count(F.lit(1)).alias("n"))).select("source", "n", "target")
+    """Keys of log lines and of addresses: known aliases, name patterns, and names without a target."""
+    keys = line_view(spark, sf, "kv").select(F.explode(F.regexp_extract_all("raw", F.lit("(?:^| )([a-z]+)="), F.lit(1))).alias("source"))
+    named = table(spark, sf, "events").select(F.concat(F.lit("Old_Src"), F.when(F.col("event_id") % 2 == 0, "IP").otherwise("Port")).alias("source"))
+    urls = table(spark, sf, "pages").select(F.explode(F.regexp_extract_all("url", F.lit("[?&]([a-z]+)="), F.lit(1))).alias("source"))
+    counted = keys.unionByName(named).unionByName(urls).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return profile.alias_join(counted).select("source", "n", "target", F.col("confidence").cast("double").alias("confidence"))
 
 
 @query("onb_suggest", """WITH {EV} SELECT source, CASE source WHEN 'outcome' THEN (SELECT count(*) FROM ev WHERE outc IS NOT NULL)

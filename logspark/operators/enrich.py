@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from ..functions.base import let, lookup, present, strip
 from ..functions.convert import classifier_action, url_host
 from ..functions.ip import ip_canonical, ip_internal, ip_v4_num, ip_v6_hex
@@ -159,13 +160,20 @@ def threat_domain(events: DataFrame, feed: DataFrame) -> DataFrame:
     events = events.withColumns({"_host": _host_value(), "_uhost": F.lower(strip(url_host("ues.http.url")))})
     hosts = (events.select(F.explode(F.array("_host", "_uhost")).alias("host"))
              .filter("host IS NOT NULL AND host <> ''").distinct())
-    hits = host_hits(hosts, feed)
+    hits = materialize(host_hits(hosts, feed), "hosts")
+    # Events without a host are dealt out by their id: as one key they would be one task.
+    none = F.concat(F.lit("\0"), F.xxhash64("trace.trace_id").cast("string")) if "trace" in events.columns else F.lit("\0")
     for col, name in (("_host", "hit_host"), ("_uhost", "hit_url")):
-        events = events.join(hits.select(F.col("host").alias(col), F.col("m").alias(name)), col, "left")
+        known = hits.select(F.col("host").alias("_known"), F.col("m").alias(name))
+        events = events.join(known, F.coalesce(F.col(col), none) == F.col("_known"), "left").drop("_known")
     return events.drop("_host", "_uhost")
 
 
 GRAM = 4
+#: Indicators are broadcast up to this number, else their grams are shuffled.
+BROADCAST_INDICATORS = 200_000
+#: Texts on which it is counted how rare a gram is; that decides how much is compared, never what is found.
+COUNTED_TEXTS = 2_000
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -173,28 +181,35 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+def _rarest(strings: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Each indicator with that of its runs of n characters that the fewest texts hold."""
+    seen = texts.limit(COUNTED_TEXTS).select(F.explode(_grams(F.col("text"), n)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_f"))
+    own = strings.select("*", F.explode(_grams(F.col("indicator"), n)).alias("_gram")).join(seen, "_gram", "left")
+    rank = F.struct(F.coalesce("_f", F.lit(0)), F.xxhash64("_gram"))
+    return own.groupBy("indicator", "ord", "m").agg(F.min_by("_gram", rank).alias("_gram"))
+
+
 def text_hits(texts: DataFrame, feed: DataFrame) -> DataFrame:
     """text -> earliest string indicator of the feed contained in it: ord, indicator, m; for distinct texts.
 
-    Each indicator is listed under one run of GRAM characters of its own (the one of least hash, so that a common
-    beginning doesn't gather them), shorter ones under themselves. Texts are listed under all their runs, joined by
-    equality, and what meets is compared in full. Feeds of any size work alike; nothing of them reaches the driver.
+    Each indicator is listed under its rarest run of GRAM characters, shorter ones under themselves. Texts are numbered;
+    their numbers go with their runs to an equality join, and only what meets goes back to the text, once a text, to be
+    compared in full. So what is moved grows with the text's length. Feeds of any size work alike.
     """
-    strings = feed.filter("kind = 'string'").select("indicator", "ord", F.struct("type", "severity", "feed").alias("m"))
-    found = []
-    for n in range(1, GRAM + 1):
+    strings = materialize(feed.filter("kind = 'string'").select("indicator", "ord", F.struct("type", "severity", "feed").alias("m")), "indicators")
+    texts = materialize(texts.select("text", F.monotonically_increasing_id().alias("_text")), "texts")
+    sizes = {r.n for r in strings.select(F.least(F.length("indicator"), F.lit(GRAM)).alias("n")).filter("n > 0").distinct().collect()}
+    met = texts.select("_text", F.lit(None).cast(strings.select(F.struct("ord", "indicator", "m")).schema[0].dataType).alias("x")).limit(0)
+    for n in sorted(sizes):
         these = strings.filter(F.length("indicator") >= n if n == GRAM else F.length("indicator") == n)
-        if n < GRAM and these.isEmpty():
-            continue
-        keyed = these.withColumn("_gram", F.array_min(F.transform(_grams(F.col("indicator"), n), lambda g: F.struct(
-            F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-        listed = texts.select("text", F.explode(_grams(F.col("text"), n)).alias("_gram"))
-        found.append(listed.join(keyed, "_gram").filter(F.col("text").contains(F.col("indicator"))))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("text").agg(F.min("ord").alias("ord"), F.min_by(F.struct("indicator", "m"), "ord").alias("x")).select(
-        "text", "ord", "x.indicator", "x.m")
+        keyed = materialize(_rarest(these, texts, n), "keyed")
+        keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_INDICATORS else keyed
+        listed = texts.select("_text", F.explode(_grams(F.col("text"), n)).alias("_gram"))
+        met = met.unionByName(listed.join(keyed, "_gram").select("_text", F.struct("ord", "indicator", "m").alias("x")))
+    # A text meets at most the indicators of its own runs.
+    some = met.groupBy("_text").agg(F.collect_list("x").alias("_met"))
+    first = F.array_min(F.filter("_met", lambda x: F.col("text").contains(x["indicator"])))
+    return texts.join(some, "_text").withColumn("x", first).filter("x IS NOT NULL").select("text", "x.ord", "x.indicator", "x.m")
 
 
 def threat_string(events: DataFrame, feed: DataFrame) -> DataFrame:

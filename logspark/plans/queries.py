@@ -109,6 +109,7 @@ def alert_events(alert_members: DataFrame, flat: DataFrame) -> DataFrame:
     return alert_members.join(flat, "trace_id")
 
 
+#: The fields that two events may share, by the names they go by.
 SHARED = {
     "source IP": ["source.ip", "src_ip", "srcip", "src.ip"],
     "destination IP": ["destination.ip", "dst_ip", "dstip", "dst.ip"],
