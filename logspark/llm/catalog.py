@@ -92,7 +92,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.deduplicate(read(spark, sf_dir, "documents")).drop("row_key")
+    return neardup.deduplicate(read(spark, sf_dir, "documents")).drop("row_key", "component")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ exceeds about once in 200 000. By the pigeonhole principle such a pair has a chu
 Nothing is compared within a bucket of the index as a whole:
 
 1. Equal sets are one class. Only classes are entered.
-2. In every bucket each class is compared with one of them, in a second round with another. Confirmed links make components.
-3. Buckets whose classes are all in one component are done: a large group of near copies ends here, at one comparison a member
-   and bucket. In the others, pairs of different components are compared, if the bucket has at most ``bucket`` classes.
+2. Each class is compared with the lead of most of its buckets, the middle of its group, in a second round with another one.
+   Confirmed links make components.
+3. Buckets whose classes are all in one component are done: a large group of near copies ends here, at one comparison a member.
+   In the others, pairs of different components are compared, if the bucket has at most ``bucket`` classes.
 4. Classes that meet in larger buckets, such as documents around one common passage, are joined among themselves by exact prefix
-   filtering: similar sets share one of their rarest shingles, and a common passage has none of those.
+   filtering: similar sets share one of their rarest shingles, and a common passage has none of those. Full sets are compared
+   with the likeliest partner first, until a class is linked or has no partner left.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import materialize
-from .common import map_batches, text_of
+from .common import bounded_batches, map_batches, text_of
 
 HASHES, CHUNK, DISTANCE = 72, 4, 35
 CHUNKS = HASHES // CHUNK
@@ -197,7 +199,29 @@ def near_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     return (pairs.join(left, "a").join(right, "b").filter(similar_sizes("na", "nb"))
-            .withColumn("same", _same("sa", "sb")).filter(F.col("same") >= HASHES - DISTANCE).select("a", "b"))
+            .withColumn("same", _same("sa", "sb")).filter(F.col("same") >= HASHES - DISTANCE).select("a", "b", "same"))
+
+
+def near_in_buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``near_signatures`` of all pairs (a, b) of different components in each bucket (bucket, cls, comp, n), compared in one place;
+    for small buckets."""
+    @arrow_udf("array<struct<a: long, b: long>>")
+    def near(groups: pa.Array) -> pa.Array:
+        out = []
+        for group in groups.to_pylist():
+            cls, comp, n = (np.array([g[c] for g in group], "i8") for c in ("cls", "comp", "n"))
+            sig = np.frombuffer(b"".join(g["sig"] for g in group), "<u2").reshape(-1, HASHES)
+            found = []
+            for i in range(len(group) - 1):
+                close = (comp[i + 1:] != comp[i]) & (100 * np.minimum(n[i + 1:], n[i]) >= LEAST * np.maximum(n[i + 1:], n[i]))
+                others = i + 1 + np.flatnonzero(close)
+                others = others[(sig[others] == sig[i]).sum(axis=1) >= HASHES - DISTANCE]
+                found += [{"a": int(min(cls[i], cls[j])), "b": int(max(cls[i], cls[j]))} for j in others]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct({"a": pa.int64(), "b": pa.int64()})))
+
+    groups = rows.join(classes.select("cls", "sig"), "cls").groupBy("bucket").agg(F.collect_list(F.struct("cls", "comp", "n", "sig")).alias("g"))
+    return bounded_batches(groups).select(F.explode(near("g")).alias("x")).select("x.a", "x.b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,23 +287,56 @@ def prefix_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
+def best_first(pairs: DataFrame, sets: DataFrame, edges: DataFrame, comps: DataFrame, tops: tuple[int, ...] = (1, 8)) -> DataFrame:
+    """Adds the confirmed links among pairs (a, b, same) to the edges.
+
+    Of a pair the class of the smaller component chooses: first each is compared with the partner whose signature is most
+    like its own, then with the next ones, at last with all that are left; after each step pairs whose classes have come
+    into one component are settled. In a group whose similarities lie on both sides of the bound, where a class has
+    hundreds of partners and needs one, few are ever compared.
+    """
+    for top in (*tops, None):
+        sized = comps.join(comps.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("node", "comp", "size")
+        left = pairs.join(sized.toDF("a", "ca", "sa"), "a", "left").join(sized.toDF("b", "cb", "sb"), "b", "left").filter(
+            F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        smaller = F.when(F.coalesce("sa", F.lit(1)) <= F.coalesce("sb", F.lit(1)), F.col("a")).otherwise(F.col("b"))
+        left = materialize(left.select("a", "b", "same", smaller.alias("x")), "left")
+        chosen = left.select("a", "b")
+        if top is not None:
+            rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("same"), "a", "b"))
+            chosen = materialize(left.withColumn("r", rank).filter(F.col("r") <= top).select("a", "b"), "chosen")
+            pairs = left.join(chosen, ["a", "b"], "left_anti").select("a", "b", "same")
+        edges = materialize(edges.union(confirm(chosen, sets)), "links")
+        if top is not None:
+            comps = materialize(components(edges), "components")
+    return edges
+
+
 def star_links(df: DataFrame, shared: DataFrame, classes: DataFrame, doc: str, text: str,
                rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between the classes of each bucket and one of them, another in each round; and their components.
+    """Confirmed links between classes and the leads of their buckets; and the components of those links.
 
-    From the second round on only classes of another component than the chosen one are compared with it, and no pair twice.
-    Each round costs one comparison for each class and bucket at most, and leaves fewer components to compare in pairs.
+    In the first round a bucket's lead is its class that meets most others over all buckets: the middle of a group of near
+    copies, which most of them share; in each later round another one. A class is compared with one lead a round, the one
+    that leads most of its buckets, and only if that is of another component; no pair is compared twice. So a round
+    costs a comparison a class at most, and leaves fewer components to compare in pairs.
     """
+    meets = shared.groupBy("cls").agg(F.sum("c").alias("meets"))
+    shared = materialize(shared.select("bucket", "cls", "n").join(meets, "cls"), "met")
     edges, done, comps = None, None, None
     for r in range(rounds):
-        known = shared.select("bucket", "cls", "n")
-        known = known.withColumn("comp", F.col("cls")) if comps is None else materialize(with_components(known, comps), "known")
-        lead = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(
-            F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(r))).alias("lead")).filter("lo < hi")
-        spokes = known.join(lead, "bucket").filter("comp <> lead.comp").filter(similar_sizes("n", "lead.n")).select(
-            F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
-        spokes = materialize(spokes if done is None else spokes.join(done, ["a", "b"], "left_anti"), "spokes")
-        star = materialize(near_signatures(spokes, classes), "star")
+        known = shared.withColumn("comp", F.col("cls")) if comps is None else materialize(with_components(shared, comps), "known")
+        rank = F.struct("meets", F.xxhash64("cls")) if r == 0 else F.struct(F.xxhash64("cls", F.lit(r)))
+        lead = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(
+            F.struct("cls", "n", "comp"), rank).alias("lead")).filter("lo < hi")
+        led = known.join(lead, "bucket").filter("comp <> lead.comp").filter(similar_sizes("n", "lead.n"))
+        led = led.groupBy("cls", F.col("lead.cls").alias("lead")).agg(F.count("*").alias("buckets"))
+        if done is not None:
+            led = led.join(done.select(F.col("a").alias("cls"), F.col("b").alias("lead")).union(done.select("b", "a")), ["cls", "lead"], "left_anti")
+        spokes = led.groupBy("cls").agg(F.max_by("lead", F.struct("buckets", "lead")).alias("lead")).select(
+            F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+        spokes = materialize(spokes, "spokes")
+        star = materialize(near_signatures(spokes, classes).select("a", "b"), "star")
         ends = star.select(F.col("a").alias("cls")).union(star.select("b")).distinct()
         found = confirm(star, sets_of(df, classes, ends, doc, text))
         edges = materialize(found if edges is None else edges.union(found), "links")
@@ -301,23 +358,21 @@ def links(df: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text
     known = with_components(shared.select("bucket", "cls", "n", "c"), comps)
     mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
     open_ = materialize(known.join(mixed, "bucket", "left_semi"), "open")
-    few = open_.filter(F.col("c") <= bucket)
-    x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, F.expr("x.bucket = y.bucket AND x.cls < y.cls AND x.comp <> y.comp") & similar_sizes("x.n", "y.n")).select(
-        F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    more = materialize(near_signatures(pairs, classes), "pairs")
+    more = materialize(near_in_buckets(open_.filter(F.col("c") <= bucket), classes), "pairs")
     crowd = materialize(open_.filter(F.col("c") > bucket).select("cls").distinct(), "crowd")
     ends = more.select(F.col("a").alias("cls")).union(more.select("b")).union(crowd).distinct()
     sets = sets_of(df, classes, ends, doc, text)
-    found = confirm(more, sets)
+    edges = materialize(edges.union(confirm(more, sets)), "links")
     if not crowd.isEmpty():
+        comps = materialize(components(edges), "components")
         rest = prefix_pairs(sets.join(crowd, "cls", "left_semi"), comps)
-        found = found.union(confirm(materialize(near_signatures(rest, classes), "pairs"), sets))
-    return classes, components(materialize(edges.union(found), "links"))
+        edges = best_first(materialize(near_signatures(rest, classes), "rest"), sets, edges, comps)
+    return classes, components(edges)
 
 
 def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = 64) -> DataFrame:
-    """Per document: its number, ``n_shingles``, ``component_id``, ``kept`` and ``row_key`` (see there).
+    """Per document: its number, ``n_shingles``, ``component_id``, ``kept``, ``row_key`` (see there) and ``component``
+    (the same for all that links join, whatever their numbers; null without words).
 
     Documents are linked if their sets of five-word shingles have 100 * common >= 75 * union; ``component_id`` is the least number
     that links lead to, ``kept`` marks the document of that number. Texts without words have no shingles, are linked with
@@ -329,8 +384,9 @@ def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", bucket:
     _, comps = links(df, docs, doc, text, bucket)
     least = with_components(docs.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc")), comps)
     name = least.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = materialize(least.select("cls", "comp").join(name, "comp").select("cls", "component_id"), "named")
-    full = docs.filter("cls IS NOT NULL").join(named, "cls").select("doc", "n", "component_id", "key")
-    out = full.union(docs.filter("cls IS NULL").select("doc", "n", F.col("doc").alias("component_id"), "key"))
+    named = materialize(least.select("cls", "comp").join(name, "comp").select("cls", "component_id", "comp"), "named")
+    full = docs.filter("cls IS NOT NULL").join(named, "cls").select("doc", "n", "component_id", "key", "comp")
+    out = full.union(docs.filter("cls IS NULL").select("doc", "n", F.col("doc").alias("component_id"), "key", F.lit(None).cast("long")))
     return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), "component_id",
-                      F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"), F.col("key").alias("row_key"))
+                      F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"), F.col("key").alias("row_key"),
+                      F.col("comp").alias("component"))
