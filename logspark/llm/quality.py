@@ -86,18 +86,30 @@ def base_failed(repeat_share: int = 20) -> Column:
     return F.expr(f"n_words < 10 OR 100 * n_repeat_words > {repeat_share} * n_words")
 
 
-def groups(stats: DataFrame, min_rows: int) -> DataFrame:
-    """Each row's group: language and source; the language's rest where that has under ``min_rows`` rows; or all rest."""
-    sizes = stats.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(F.count("*").alias("n"))
-    rest = sizes.filter(f"n < {min_rows}").groupBy(F.col("g_lang").alias("r_lang")).agg(F.sum("n").alias("m"))
-    return sizes.join(rest, F.col("g_lang").eqNullSafe(F.col("r_lang")), "left").select("g_lang", "g_source", F.expr(
-        f"""CASE WHEN n >= {min_rows} THEN to_json(struct(g_lang, g_source, 2 AS level))
-                 WHEN m >= {min_rows} THEN to_json(struct(g_lang, 1 AS level)) ELSE 'rest' END""").alias("grp"))
+def _levels() -> Column:
+    """A row's groups: its language and source, its language, all rows. Nulls are groups of their own."""
+    return F.array(F.struct(F.lit(2).alias("level"), F.to_json(F.struct("lang", "source", F.lit(2).alias("level"))).alias("grp")),
+                   F.struct(F.lit(1).alias("level"), F.to_json(F.struct("lang", F.lit(1).alias("level"))).alias("grp")),
+                   F.struct(F.lit(0).alias("level"), F.lit("all").alias("grp")))
+
+
+#: Share of the least variance that every direction has, so that two or three rows in a line have an inverse too.
+LEAST_SHARE = 0.05
+
+
+def _inverse(cov):
+    """The inverse of a covariance whose variances are raised to the least spread."""
+    import numpy as np
+
+    least = np.array(list(LEEWAY.values()))
+    raised = (cov + np.diag(np.maximum(0, least ** 2 - np.diag(cov)))) / np.outer(least, least)
+    values, vectors = np.linalg.eigh(raised)
+    return (vectors / np.maximum(values, LEAST_SHARE)) @ vectors.T / np.outer(least, least)
 
 
 def _estimate():
-    """From means and products of the rows chosen: centre and inverse covariance."""
-    @arrow_udf("struct<mu: array<double>, inverse: array<double>>")
+    """From means and products of the rows chosen: centre, covariance and its inverse."""
+    @arrow_udf("struct<mu: array<double>, cov: array<double>, inverse: array<double>>")
     def estimate(mean: pa.Array, product: pa.Array) -> pa.Array:
         import numpy as np
 
@@ -107,20 +119,48 @@ def _estimate():
             m, cov = np.array(m), np.zeros((DIM, DIM))
             cov[upper] = p
             cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(m, m)
-            cov += np.diag(np.maximum(0, np.square(list(LEEWAY.values())) - np.diag(cov)))
-            rows.append({"mu": m.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist()})
-        return pa.array(rows, pa.struct({"mu": pa.list_(pa.float64()), "inverse": pa.list_(pa.float64())}))
+            rows.append({"mu": m.tolist(), "cov": cov.ravel().tolist(), "inverse": _inverse(cov).ravel().tolist()})
+        return pa.array(rows, pa.struct({n: pa.list_(pa.float64()) for n in ("mu", "cov", "inverse")}))
 
     return estimate
 
 
+def _inverted():
+    @arrow_udf("array<double>")
+    def inverted(covs: pa.Array) -> pa.Array:
+        import numpy as np
+
+        return pa.array([_inverse(np.array(c).reshape(DIM, DIM)).ravel().tolist() for c in covs.to_pylist()], pa.list_(pa.float64()))
+
+    return inverted
+
+
+def shrunk(params: DataFrame, family: DataFrame, weight: int) -> DataFrame:
+    """The estimates of languages and sources, drawn towards their language's, and those towards all rows'.
+
+    A group of n rows counts for itself with n / (n + ``weight``), so an estimate from few rows is nearly its parent's
+    and one from many its own, with no step between. ``family`` has grp, its number of rows and its parent grp.
+    """
+    all_of = params.join(family, "grp")
+
+    def drawn(child: DataFrame, parent: DataFrame) -> DataFrame:
+        parent = parent.select(F.col("grp").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in ("mu", "cov", "scale")])
+        own = F.col("n") / (F.col("n") + F.lit(float(weight)))
+        mix = {c: F.zip_with(c, f"p_{c}", lambda x, y: own * x + (1 - own) * y) for c in ("mu", "cov")}
+        return child.join(parent, "parent").select("grp", "parent", "n", *[m.alias(c) for c, m in mix.items()],
+                                                   (own * F.col("scale") + (1 - own) * F.col("p_scale")).alias("scale"))
+
+    languages = drawn(all_of.filter("level = 1").drop("level"), all_of.filter("level = 0"))
+    return drawn(all_of.filter("level = 2").drop("level"), languages).select("grp", "mu", _inverted()("cov").alias("inverse"), "scale")
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of x0.. from mu under inverse."""
     off = [f"(x{i} - mu[{i}])" for i in range(DIM)]
     return F.expr(" + ".join(f"{off[i]} * {off[j]} * inverse[{i * DIM + j}]" for i in range(DIM) for j in range(DIM)))
 
 
-def outliers(stats: DataFrame, share: float = 0.6, steps: int = 4, cutoff: float = CHI2_9999, min_rows: int = 200,
+def outliers(stats: DataFrame, share: float = 0.6, steps: int = 4, cutoff: float = CHI2_9999, weight: int = 100,
              broadcast_groups: int = 100_000) -> DataFrame:
     """Adds ``distance`` and ``outlier`` by minimum-covariance-determinant estimates for each language and source.
 
@@ -130,18 +170,22 @@ def outliers(stats: DataFrame, share: float = 0.6, steps: int = 4, cutoff: float
     97.5 % ellipsoid. Distances are scaled so that a group's median is the chi-squared one at most. What lies beyond
     ``cutoff`` is an outlier: of normally distributed features that is one clean row in 10 000. All of it is grouped aggregation
     of partial sums and quantile sketches over narrow rows, so a group that holds a third of all rows is no single task.
-    Groups too small for estimates are pooled (see ``groups``); if even all the rest is under ``min_rows``, it is not judged.
+    Languages and all rows are estimated likewise, and a group's estimate is drawn towards theirs (see ``shrunk``), so that
+    every row is judged, however few its group has.
     """
     clean = stats.filter(~F.col("base_failed")).select("*", *[F.expr(e).alias(x) for x, e in FEATURES.items()])
     xs = list(FEATURES)
-    names = materialize(groups(clean, min_rows), "groups")
-    few = names.count() <= broadcast_groups
+    rows = materialize(clean.withColumn("_of", _levels()), "vectors")
+    every = rows.select(F.explode("_of").alias("g"), *xs).select("g.grp", *xs)
+    of = F.col("_of")
+    family = materialize(rows.select(F.explode(F.array(*[F.struct(of[i]["grp"].alias("grp"), of[i]["level"].alias("level"), (
+        of[i + 1]["grp"] if i < 2 else F.lit(None).cast("string")).alias("parent")) for i in range(3)])).alias("f")).groupBy("f.grp", "f.level", "f.parent").agg(
+        F.count("*").alias("n")), "groups")
+    few = family.count() <= broadcast_groups
     side = (lambda t: F.broadcast(t)) if few else (lambda t: t)
-    keyed = clean.join(side(names), clean["lang"].eqNullSafe(F.col("g_lang")) & clean["source"].eqNullSafe(F.col("g_source")), "left")
-    rows = materialize(keyed.drop("g_lang", "g_source"), "vectors")
-    mid = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in xs])
+    mid = every.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in xs])
     mid = materialize(mid, "centres")
-    mad = rows.join(side(mid), "grp").groupBy("grp").agg(
+    mad = every.join(side(mid), "grp").groupBy("grp").agg(
         *[F.first(f"m_{x}").alias(f"m_{x}") for x in xs],
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"s_{x}") for x in xs])
     var = {x: F.greatest(F.pow(1.4826 * F.col(f"s_{x}"), 2), F.lit(LEEWAY[x] ** 2)) for x in xs}
@@ -149,20 +193,20 @@ def outliers(stats: DataFrame, share: float = 0.6, steps: int = 4, cutoff: float
         *[1 / var[x] if x == y else F.lit(0.0) for x in xs for y in xs]).alias("inverse")), "start")
     pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
     for step in range(steps + 1):
-        far = rows.join(side(params), "grp").withColumn("d2", _distance())
+        far = every.join(side(params), "grp").withColumn("d2", _distance())
         limit = far.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("half"), F.percentile_approx(
             "d2", share, 1000).alias("limit"))
         if step == steps:
-            limit = limit.withColumn("limit", F.col("half") / CHI2_MEDIAN * CHI2_975)
+            limit = limit.withColumn("limit", F.greatest("limit", F.col("half") / CHI2_MEDIAN * CHI2_975))
         near = far.join(side(materialize(limit, "limits")), "grp").filter("d2 <= limit")
         sums = near.groupBy("grp").agg(F.array(*[F.avg(x) for x in xs]).alias("mean"), F.array(
             *[F.avg(F.col(a) * F.col(b)) for a, b in pairs]).alias("product"))
-        params = materialize(sums.select("grp", _estimate()("mean", "product").alias("e")).select("grp", "e.mu", "e.inverse"), "estimate")
-    scale = rows.join(side(params), "grp").withColumn("d2", _distance()).groupBy("grp").agg(
-        (F.greatest(F.percentile_approx("d2", 0.5, 1000), F.lit(1e-9)) / CHI2_MEDIAN).alias("scale"))
-    final = materialize(params.join(scale, "grp").join(rows.groupBy("grp").agg(F.count("*").alias("n")), "grp"), "final")
-    judged = rows.join(side(final), "grp").withColumn("distance", F.sqrt(_distance() / F.greatest("scale", F.lit(1.0)))).withColumn(
-        "outlier", (F.col("n") >= min_rows) & (F.col("distance") > cutoff ** 0.5))
+        params = materialize(sums.select("grp", _estimate()("mean", "product").alias("e")).select("grp", "e.mu", "e.cov", "e.inverse"), "estimate")
+    scale = every.join(side(params), "grp").withColumn("d2", _distance()).groupBy("grp").agg(
+        F.greatest(F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
+    final = materialize(shrunk(params.join(scale, "grp"), family, weight), "final")
+    judged = rows.withColumn("grp", of[0]["grp"]).join(side(final), "grp").withColumn(
+        "distance", F.sqrt(_distance() / F.col("scale"))).withColumn("outlier", F.col("distance") > cutoff ** 0.5)
     out = judged.select(*stats.columns, "distance", "outlier")
     return out.unionByName(stats.filter("base_failed").withColumns({
         "distance": F.lit(None).cast("double"), "outlier": F.lit(False)}))
