@@ -20,6 +20,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..session import materialize
 from .common import map_batches, text_of
+from .prefix_trie import running
 
 ROLES = ("system", "user", "assistant")
 #: States: role * 2 + (0 where a line begins a turn, 1 where it goes on); the last is before the first line.
@@ -111,8 +112,10 @@ def fit(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
 
     counts = map_batches(rows, make, "what string, n long").groupBy("what").agg(F.sum("n").alias("n"))
     names = rows.select("conv", "turn", "role")
-    after = names.select("conv", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    pairs = names.join(after, ["conv", "turn"]).groupBy(F.concat_ws(" ", F.lit("r"), "role", "next").alias("what")).agg(F.count("*").alias("n"))
+    many = names.groupBy("conv", "turn", "role").agg(F.count("*").alias("n"))
+    after = many.select("conv", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"), F.col("n").alias("m"))
+    pairs = many.join(after, ["conv", "turn"]).groupBy(F.concat_ws(" ", F.lit("r"), "role", "next").alias("what")).agg(
+        F.sum(F.col("n") * F.col("m")).alias("n"))
     first = names.groupBy("conv").agg(F.min_by("role", "turn").alias("role")).groupBy(F.concat_ws(" ", F.lit("s"), "role").alias("what")).agg(
         F.count("*").alias("n"))
     got = Counter({r.what: r.n for r in counts.union(pairs).union(first).collect()})
@@ -160,9 +163,7 @@ def _borders(chunks: DataFrame, fan: int) -> DataFrame:
             rows.append([{"at": p["at"], "before": (s - s.max()).tolist(), "last": e} for p, s, e in zip(row, scores, ends[::-1])])
         return pa.array(rows, pa.list_(pa.struct({"at": pa.int64(), "before": pa.list_(pa.float64()), "last": pa.int32()})))
 
-    least = chunks.filter(F.col("chunk") > FIRST).groupBy("conv").agg(F.min("chunk").alias("least"))
-    place = F.when(F.col("chunk") == FIRST, 0).otherwise(F.col("chunk") - F.col("least") + 1).cast("long")
-    level = materialize(chunks.join(least, "conv", "left").select("conv", "chunk", place.alias("at"), "m"), "matrices")
+    level = materialize(chunks.select("conv", "chunk", F.col("chunk").alias("at"), "m"), "matrices")
     named = level.select("conv", "at", "chunk")
     level = level.drop("chunk")
     levels = []
@@ -185,13 +186,16 @@ def parse(df: DataFrame, model: Model, conv: str = "conv_id", turn: str = "turn"
     """Per row: conversation, turn, ``role`` (of its first line), ``roles`` (of the turns it begins) and ``rendered``.
 
     ``rendered`` has ``<|role|>`` before each turn and its lines without markers; a conversation's rows in order, joined by line
-    ends, are its canonical form. Rows are ordered by turn, then text; rows equal in all three are one. Null conversations are
+    ends, are its canonical form. Rows are ordered by turn, then text; equal rows are turns of their own. Null conversations are
     one conversation, null turns come first, a null text is one empty line. An empty table gives an empty one.
     """
-    rows = df.select(F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("conv"), F.col(conv).alias("_id"),
-                     F.coalesce(F.col(turn).cast("long"), F.lit(FIRST)).alias("turn"), text_of(text).alias("text")).distinct()
-    chunks = materialize(rows.groupBy("conv", F.when(F.col("turn") == FIRST, FIRST).otherwise(F.floor(F.col("turn") / chunk)).alias("chunk")).agg(
-        F.first("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parts")), "chunks")
+    key = F.when(F.col(conv).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(conv).cast("string")))
+    rows = df.select(key.alias("conv"), F.col(conv).alias("_id"), F.coalesce(F.col(turn).cast("long"), F.lit(FIRST)).alias("turn"), text_of(text).alias("text"))
+    equal = rows.groupBy("conv", "turn", "text").agg(F.first("_id").alias("_id"), F.count("*").alias("times"))
+    placed = running(equal, ["conv"], ["turn", "text"], {"before": ("sum", "times")})
+    placed = placed.withColumn("place", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("times") - 1)))
+    chunks = materialize(placed.groupBy("conv", F.floor(F.col("place") / chunk).alias("chunk")).agg(
+        F.first("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("place", "turn", "text"))).alias("parts")), "chunks")
 
     @arrow_udf("array<double>")
     def matrix(parts: pa.Array) -> pa.Array:

@@ -219,10 +219,22 @@ def test_transcripts_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit("clash"))
     model = transcripts.fit(df)
     got = transcripts.parse(df, model).collect()
-    assert len(got) == 6 and all(r.role in transcripts.ROLES for r in got)
+    assert len(got) == 7 and all(r.role in transcripts.ROLES for r in got)
     assert transcripts.parse(df.filter("false"), model).count() == 0
 
 
+def test_repeated_and_crowded_turns_stay(spark):
+    """Equal rows, and many rows of one turn number or none, are turns each; null and empty names are kept apart."""
+    rows = ([("a", 1, "User: yes")] * 3 + [("", 1, "User: one")] + [(None, 1, "User: two")] * 2
+            + [("a", None, f"Assistant: {i % 7}") for i in range(300)] + [("a", 2, "User: again")] * 200)
+    df = spark.createDataFrame(rows, "conv_id string, turn long, text string")
+    turns = read(spark, SF, "conversations").select("conv_id", "turn", "role", "text")
+    model = transcripts.fit(transcripts.write_up(turns))
+    got = transcripts.parse(df, model).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.conv_id or "-", r.conv_id is None, r.turn or 0) for r in got) == sorted((c or "-", c is None, t or 0) for c, t, _ in rows)
+
+
 # --- the pipeline -----------------------------------------------------------------------------
 def test_pipeline_stage_by_stage(spark):
     import public_tokenizers as P
@@ -244,3 +256,26 @@ def test_pipeline_stage_by_stage(spark):
     want = sorted((d, len(encoding.encode_ordinary(t))) for d, t in left.items())
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect()) == want
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_one_row_of_each_component_stays(spark):
+    import corpus_pipeline
+
+    words = "the quick brown fox jumps over the lazy dog and runs far away today"
+    rows = [(1, words, "x"), (1, words, "x"), (None, words, "x"), (None, words + " b c d e f g h i", "x"), (None, words + " b c d e f g h i", "y"),
+            (5, None, "x"), (5, None, "x"), (9, words, "z"), (7, "only one of this kind", "x"), (8, "two of this kind here", "x"), (8, "two of this kind here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.repeated(spark, docs, SF).collect()]
+    long = words + " b c d e f g h i"
+    want = {(1, words): 1, (None, long): 1, (5, None): 2, (7, "only one of this kind"): 1, (8, "two of this kind here"): 1}
+    if dict(brute.near([(1, words), (2, long)]))[2][1] == 1:
+        want.pop((None, long))
+    assert {x: left.count(x) for x in left} == want
+
+
+def test_stages_of_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = read(spark, SF, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, SF).count() == 0
