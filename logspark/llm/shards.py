@@ -129,7 +129,7 @@ def shard(df: DataFrame, n: int = 40, text: str = "text", doc: str = "doc_id", r
         return pa.array(base[r] - base[r - r % m])
 
     order = Window.partitionBy("_range").orderBy("_key", F.col(doc))
-    return (rows.withColumn("_range", range_of("_key")).repartition(n * pieces, "_range")
+    return (rows.withColumn("_range", range_of("_key")).repartitionById(n * pieces, F.col("_range"))
             .withColumn("_row", F.row_number().over(order))
             .withColumns({"shard": F.floor(F.col("_range") / pieces).cast("int"),
                           "slot": (first_slot("_range") + F.col("_row") - 1).cast("long")})
