@@ -38,9 +38,21 @@ def poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least number stays."""
-    judged = neardup.deduplicate(docs)
-    return _without(docs, neardup.row_key(), judged.filter("NOT kept").select("row_key"))
+    """Of each group of near-duplicates one row stays: that of the least number, then text hash; rows without number last."""
+    judged = materialize(neardup.deduplicate(docs).filter("component IS NOT NULL").select("doc_id", "component", "row_key"), "judged")
+    first = judged.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
+    best = materialize(first.select("first.row_key"), "best")
+    gone = judged.select("row_key").distinct().join(best, "row_key", "left_anti")
+    kept = _without(docs, neardup.row_key(), gone)
+    # Rows equal in number and text have one key; of those that stay, one row of each does.
+    again = materialize(judged.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").join(best, "row_key").select("row_key"), "again")
+    n = again.count()
+    if not n:
+        return kept
+    keys = again.toDF("_key")
+    keys = F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+    once = kept.withColumn("_key", neardup.row_key()).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return _without(kept, neardup.row_key(), again).unionByName(once)
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
