@@ -266,19 +266,12 @@ def enr_classify_late(spark, sf):
     return E.enr_classify(e).select(F.col("trace.trace_id").alias("tid"), F.col("ues.outcome").alias("outc"))
 
 
-@query("enr_order", _THREAT + """ SELECT tid, score, CAST(CASE WHEN severity = 85 THEN 90 ELSE severity END AS INTEGER) AS severity,
-  'verified' AS status, ms FROM t""")
+@query("enr_order", _THREAT + f""", {_GEO} SELECT t.tid, score, CAST(CASE WHEN severity = 85 THEN 90 ELSE severity END AS INTEGER) AS severity,
+  'verified' AS status, t.ms, country, city, true AS src_internal, 4 AS version, act, cat FROM t JOIN ev USING (tid) LEFT JOIN geo ON event_id % 256 BETWEEN lo AND hi""")
 def enr_order(spark, sf):
     e = E.enrich(event_view(spark, sf), _geo(spark, sf), _feed(spark, sf))
     return e.select(F.col("trace.trace_id").alias("tid"), F.col("ues.threat.score").alias("score"),
-                    F.col("ues.severity").alias("severity"), F.col("trace.status").alias("status"), ms("ues.event_time").alias("ms"))
-
-
-@query("jn_shared_fields", """WITH {EV}, me AS (SELECT * FROM ev WHERE event_id = 5), o AS (SELECT e.tid,
-  list_filter([CASE WHEN e.act = me.act THEN 'action' END, CASE WHEN e.dst = me.dst THEN 'destination IP' END,
-    CASE WHEN e.dport = me.dport THEN 'destination port' END, CASE WHEN e.src = me.src THEN 'source IP' END,
-    CASE WHEN e.usr = me.usr THEN 'user' END], lambda x: x IS NOT NULL) AS shared FROM ev e, me WHERE e.event_id <> 5)
-  SELECT tid AS trace_id, array_to_string(shared, ',') AS shared FROM o WHERE len(shared) > 0""")
-def jn_shared_fields(spark, sf):
-    return Q.shared_fields(event_view(spark, sf), "T000000000005").select(
-        "trace_id", F.array_join("shared", ",").alias("shared"))
+                    F.col("ues.severity").alias("severity"), F.col("trace.status").alias("status"), ms("ues.event_time").alias("ms"),
+                    F.col("ues.geo.destination.country").alias("country"), F.col("ues.geo.destination.city").alias("city"),
+                    F.col("ues.geo.source.internal").alias("src_internal"), F.col("ues.source.ip_version").alias("version"),
+                    F.col("ues.action").alias("act"), F.col("ues.category").alias("cat"))

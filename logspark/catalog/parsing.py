@@ -377,6 +377,20 @@ def onb_spec_coverage(spark, sf):
     return c.withColumn("score", F.when(F.col("spec") == "flow-csv", F.col("score")))
 
 
-@query("onb_inspect")
+_FIELDS = """['timestamp','srcip','dstip','srcport','dstport','action','user','sentbyte'] WHEN 'json' THEN
+    ['timestamp','source.ip','source.port','dst_ip','dst_port','action','username','bytes_out'] WHEN 'cef' THEN
+    ['rt','src','dst','spt','dpt','act','suser','bytes_out','cef.version','cef.name','cef.signature_id','device.vendor','device.product','device.version'] WHEN 'leef' THEN
+    ['devTime','src','dst','spt','dpt','act','suser','bytes_out','leef.event_id','leef.product_version','leef.version','device.vendor','device.product'] WHEN 'syslog' THEN
+    ['srcip','dstip','dstport','action','user','sentbyte','syslog.pid','syslog.tag'] WHEN 'xml' THEN
+    ['timestamp','src','dst','srcport','dstport','action','user','bytes_out'] ELSE
+    ['kind','generated_time','src_ip','src_port','dst_ip','dst_port','act','username','bytes_out','outcome']"""
+
+
+@query("onb_inspect", f"""WITH {{EV}}, k AS (SELECT unnest(list_concat(CASE fmt WHEN 'kv' THEN {_FIELDS} END,
+    CASE WHEN outc IS NOT NULL AND fmt <> 'csv' THEN ['outcome'] ELSE [] END)) AS item FROM ev)
+  SELECT 'field' AS section, item, count(*) AS n FROM k GROUP BY item
+  UNION ALL SELECT 'format', CASE fmt WHEN 'csv' THEN 'text' ELSE fmt END, count(*) FROM ev GROUP BY fmt
+  UNION ALL SELECT 'parser', CASE fmt WHEN 'csv' THEN 'flow-csv' ELSE fmt END, count(*) FROM ev GROUP BY fmt
+  UNION ALL SELECT 'time', 'timestamps', count(*) FROM ev UNION ALL SELECT 'time', 'total', count(*) FROM ev""")
 def onb_inspect(spark, sf):
     return profile.inspect(line_view(spark, sf), FLOW, 2024)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup as D
-from ..plans import queries as Q
+from ..plans import queries as Q, sketches as K
+from ..session import materialize
 from ..sinks.tables import flatten_events
 from .base import event_fields, event_rows, event_view, ms, query, stored, table
 
@@ -183,3 +184,35 @@ def qry_agents(spark, sf):
 @query("qry_activity", "WITH {EV} SELECT ms // 3600000 * 3600000 AS bucket, count(*) AS n FROM ev GROUP BY 1")
 def qry_activity(spark, sf):
     return Q.activity(event_view(spark, sf)).select(ms("bucket").alias("bucket"), "n")
+
+
+@query("agg_sketch_ranges", """WITH {EV}, m AS (SELECT min(ms) AS lo, max(ms) AS hi FROM ev) SELECT kind, count(*) AS n, true AS sources_close, true AS users_close,
+  true AS median_close, true AS returning_close FROM ev GROUP BY kind""")
+def agg_sketch_ranges(spark, sf):
+    """Hourly sketches merged range by range, and the ranges once more, against exact numbers: within five per cent (and one)."""
+    e = event_view(spark, sf).withColumn("kind", F.coalesce("ues.category", F.lit("none")))
+    flat = event_fields(spark, sf).select(F.col("kind"), F.col("tid"), F.col("t"))
+    e = e.drop("kind").join(flat.select("tid", "kind"), F.col("trace.trace_id") == F.col("tid"))
+    stored = materialize(K.hourly(e, F.col("kind"), "kind"), "hours")
+    half = stored.agg(F.percentile_approx("hour", 0.5)).first()[0]
+    first, second = (K.merged(stored.filter(side), ["kind"]) for side in (F.col("hour") <= F.lit(half), F.col("hour") > F.lit(half)))
+    found = K.estimates(K.merged(first.unionByName(second), ["kind"]))
+    back = K.returning(first, second, ["kind"])
+
+    early = F.date_trunc("hour", "ues.event_time") <= F.lit(half)
+    both = e.groupBy("kind", "ues.user.name").agg(F.bool_or(early).alias("a"), F.bool_or(~early).alias("b")).groupBy("kind").agg(
+        F.count_if(F.col("a") & F.col("b")).alias("x_returning"), F.count_if(F.col("name").isNotNull()).alias("x_users"))
+    size = F.col("ues.network.bytes_out").cast("bigint")
+    exact = e.join(F.broadcast(found.select("kind", F.col("p50").alias("_p"))), "kind").groupBy("kind").agg(
+        F.count_distinct("ues.source.ip").alias("x_sources"), F.count_if(size < F.col("_p")).alias("below"), F.count_if(size <= F.col("_p")).alias("upto"),
+        F.count(size).alias("sized"))
+
+    def close(a: str, b: str):
+        return F.abs(F.col(a) - F.col(b)) <= F.col(b) * 0.05 + 1
+
+    all_of = found.join(exact, "kind").join(both, "kind").join(back, "kind", "left")
+    median = (F.col("below") <= 0.53 * F.col("sized") + 1) & (F.col("upto") >= 0.47 * F.col("sized") - 1)
+    # An intersection's error goes with the larger sets.
+    shared = F.abs(F.coalesce("returning", F.lit(0)) - F.col("x_returning")) <= F.col("x_users") * 0.05 + 1
+    return all_of.select("kind", "n", close("sources", "x_sources").alias("sources_close"), close("users", "x_users").alias("users_close"),
+                         median.alias("median_close"), shared.alias("returning_close"))

@@ -120,33 +120,48 @@ def _open_objects(entries: Column) -> Column:
     return F.flatten(F.transform(entries, members))
 
 
-def json_bag(raw: Column, depth: int | None = None) -> Column:
-    """Flat attributes of a JSON object, however deep, or with objects below ``depth`` as JSON text.
+def _json_entries(raw: Column, depth: int | None = None) -> Column:
+    """Keys and values of a JSON object, opened down to ``depth``, or however deep it is.
 
-    A line can't nest deeper than it has opening braces; one level is opened a step, and steps with nothing left
-    to open leave the entries as they are.
+    A line can't nest deeper than it has opening braces outside its texts; one level is opened a step, and steps with
+    nothing left to open leave the entries as they are.
     """
-    levels = F.length(raw) - F.length(F.replace(raw, F.lit("{"), F.lit("")))
+    bare = F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*+"', "")
+    levels = F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))
     if depth is not None:
         levels = F.least(levels, F.lit(depth + 1))
     first = F.map_entries(F.from_json(raw, "map<string,variant>"))
     step = F.when(levels > 1, F.sequence(F.lit(2), levels)).otherwise(F.array().cast("array<int>"))
-    entries = F.aggregate(step, first.cast(_VARIANTS), lambda e, _: F.when(
+    return F.aggregate(step, first.cast(_VARIANTS), lambda e, _: F.when(
         F.exists(e, lambda p: _is_object(p["value"])), _open_objects(e)).otherwise(e))
-    return A.dedup(F.transform(entries, lambda p: A.pair(p["key"], p["value"].cast("string"))))
+
+
+def _pairs(entries: Column) -> Column:
+    return F.transform(entries, lambda p: A.pair(p["key"], p["value"].cast("string")))
+
+
+def json_bag(raw: Column, depth: int | None = None) -> Column:
+    """Flat attributes of a JSON object, however deep, or with objects below ``depth`` as JSON text."""
+    return A.dedup(_pairs(_json_entries(raw, depth)))
 
 
 def par_json(raw: Column | str, options: dict | None = None) -> Column:
-    """Flattened JSON object, or the array text under ``items``."""
+    """Flattened JSON object, or the array text under ``items``; message, host and service are texts, never numbers or lists."""
     line = strip(raw)
     depth = (options or {}).get("depth")
-    bag = F.when(line.startswith("["), F.array(A.pair(F.lit("items"), line))).otherwise(
-        json_bag(line, depth))
-    return with_lower(F.coalesce(bag, A.empty_bag()), lambda bag, low: parsed(
-        attrs=bag, message=A.first_of(low, _MESSAGE), event_time_raw=A.first_of(low, _TIME),
-        host=A.first_of(low, _HOST), severity_raw=A.first_of(low, _LEVEL),
-        service=A.first_of(low, _SERVICE),
-        warnings=[F.when(~is_json(line), F.lit("json decode error"))]))
+    names = [*_MESSAGE, *_HOST, *_SERVICE]
+
+    def of(entries: Column) -> Column:
+        bag = F.when(line.startswith("["), F.array(A.pair(F.lit("items"), line))).otherwise(A.dedup(_pairs(entries)))
+        words = F.filter(entries, lambda p: F.lower(p["key"]).isin(names) & (F.schema_of_variant(p["value"]) == "STRING"))
+        words = A.as_map(A.dedup(A.lowered(F.coalesce(_pairs(words), A.empty_bag()))))
+        return let(words, lambda text: with_lower(F.coalesce(bag, A.empty_bag()), lambda bag, low: parsed(
+            attrs=bag, message=A.first_of(text, _MESSAGE), event_time_raw=A.first_of(low, _TIME),
+            host=A.first_of(text, _HOST), severity_raw=A.first_of(low, _LEVEL),
+            service=A.first_of(text, _SERVICE),
+            warnings=[F.when(~is_json(line), F.lit("json decode error"))])))
+
+    return let(F.when(~line.startswith("["), _json_entries(line, depth)), of)
 
 
 # --- CEF -------------------------------------------------------------------------------------

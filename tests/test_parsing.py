@@ -25,6 +25,20 @@ def test_json_nesting_and_order(spark):
     assert a["m.k.d"] == "true" and a["m.l"] == "[1,2]" and a["s"] == '{"q":1}' and a["n"] is None
 
 
+def test_json_texts_only_where_texts_are_meant(spark):
+    r, _ = parse(spark, "json", '{"Message": 5, "text": "real {{{ text", "host": ["a"], "hostname": "h", "service": {"name": "x"}, "logger": "l", "level": 3}')
+    assert (r.message, r.host, r.service, r.severity_raw) == ("real {{{ text", "h", "l", "3")
+    r, _ = parse(spark, "json", "[1, 2]")
+    assert r.message is None
+
+
+def test_headers_of_both_syslog_shapes(spark):
+    r, _ = parse(spark, "syslog", r'<34>1 2024-01-01T00:00:00Z h app 7 ID [a b="x ] \" y"][c d="e"] the message')
+    assert r.host == "h" and r.pri == 34 and r.message == "the message"
+    r, _ = parse(spark, "syslog", "Jan  2 03:04:05 gw sshd[42]: hello there")
+    assert r.host == "gw" and r.message == "hello there"
+
+
 def test_cef_spaces_and_escapes(spark):
     r, a = parse(spark, "cef", r"CEF:0|V|P|1|9|name|7|src=1.2.3.4 msg=two words \= yes act=deny")
     assert a["msg"] == "two words = yes" and a["act"] == "deny" and r.message == "two words = yes"
