@@ -28,11 +28,11 @@ def text_of(name: str = "text") -> Column:
 BATCH_ROWS = 1000
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
+def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """The same rows, after the session has been told to cross to Python in small batches."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, str(rows))
     return df
 
 

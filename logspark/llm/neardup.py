@@ -34,6 +34,8 @@ SHINGLE = 5
 LEAST = 75
 #: Sets or rows beyond so many are shuffled, not broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows that cross to Python at once: a text is there with its words, their hashes and its set.
+BATCH = 250
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -380,7 +382,7 @@ def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", bucket:
     a row without a number is kept only if nothing it is linked with has one. Other columns are ignored. An empty table gives
     an empty one.
     """
-    docs = materialize(signed(df, doc, text), "signed")
+    docs = materialize(signed(bounded_batches(df, BATCH), doc, text), "signed")
     _, comps = links(df, docs, doc, text, bucket)
     least = with_components(docs.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc")), comps)
     name = least.groupBy("comp").agg(F.min("doc").alias("component_id"))
