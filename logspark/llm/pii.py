@@ -155,8 +155,14 @@ _SIGN_NAME = re.compile(
     rf"|(?P<dot>{_OPEN}(?:{_DOT_NAMES}|\.){_CLOSE}|&#0*46;|&period;|%2E|(?<=[A-Za-z0-9])[ _-](?:{_DOT_NAMES})[ _-](?=[A-Za-z0-9]))"
     rf"|(?P<bare>(?<=[A-Za-z0-9_])[ _-](?:{_AT_NAMES})[ _-](?={_LABEL}(?:\.{_LABEL}){{0,8}}"
     rf"(?:[ _-](?:{_DOT_NAMES})[ _-]|{_OPEN}(?:{_DOT_NAMES}|\.){_CLOSE})[A-Za-z]))"
+    rf"|(?P<likely>(?<=[A-Za-z0-9_])[ ](?:{_AT_NAMES})[ ](?={_LABEL}(?:\.{_LABEL}){{0,8}}\.[A-Za-z]{{2,}}(?![A-Za-z0-9@-])))"
     r"|(?P<plus>(?<![A-Za-z0-9])plus[ ](?=\(?[0-9]))", re.IGNORECASE)
-_SIGN = {"at": "@", "dot": ".", "bare": "@", "plus": "+"}
+_SIGN = {"at": "@", "dot": ".", "bare": "@", "likely": "@", "plus": "+"}
+#: What must stand before a bare "at" and a plain domain: a name with a digit or a sign in it, as no word of prose has.
+_NAME_BEFORE = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z])(?=[A-Za-z]*[0-9._+])[A-Za-z0-9._%+-]{2,64}\Z")
+#: Letters that stand for digits between digits.
+_DIGIT_LETTER = re.compile(r"[OoIl]{1,4}(?=[ .-]?[0-9])")
+_LETTER_DIGITS = str.maketrans("OoIl", "0011")
 _TOP_LABEL = re.compile(r"\.[A-Za-z]{2,}\Z")
 #: What a sign's disguise holds somewhere in its first four characters.
 _SIGN_CLUES = [*_AT_NAMES.split("|"), *_DOT_NAMES.split("|"), "@", "plus ", "&#", "&commat;", "&period;", "%40", "%2e",
@@ -190,6 +196,12 @@ def _twin_edits(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), _TWINS[m.group()]
 
 
+def _letter_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _DIGIT_LETTER.finditer(text):
+        if m.start() and text[m.start() - 1] in "0123456789":
+            yield m.start(), m.end(), m.group().translate(_LETTER_DIGITS)
+
+
 def _digit_edits(text: str, low: str, names: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
     """Runs of digits' names become digits; spaces, commas and hyphens between two names go."""
     run: list[tuple[int, int]] = []
@@ -213,7 +225,7 @@ def _sign_edits(text: str, clues: list[int]) -> Iterator[tuple[int, int, str]]:
     for clue in clues:
         for start in range(max(clue - 3, last), clue + 1):
             m = _SIGN_NAME.match(text, start)
-            if m:
+            if m and (m.lastgroup != "likely" or _NAME_BEFORE.search(text[max(0, start - 65):start])):
                 yield m.start(), m.end(), _SIGN[m.lastgroup]
                 last = m.end()
                 break
@@ -241,7 +253,8 @@ def spans(text: str, finder=None) -> list[tuple[str, int, int, bool]]:
     """
     plain, finder = detect(text), finder or _finder()
     passes = [Rewritten(text, _twin_edits(text))]
-    low = _lower(passes[0].text)
+    passes.append(Rewritten(passes[0].text, _letter_edits(passes[0].text)))
+    low = _lower(passes[1].text)
     names, clues = _clues(low, finder)
     if len(names) >= LEAST_NAMES:
         passes.append(Rewritten(passes[-1].text, _digit_edits(passes[-1].text, low, names)))
