@@ -8,8 +8,7 @@ exceeds about once in 200 000. By the pigeonhole principle such a pair has a chu
 Nothing is compared within a bucket of the index as a whole:
 
 1. Equal sets are one class. Only classes are entered.
-2. Each class is compared with the lead of most of its buckets, the middle of its group, in a second round with another one.
-   Confirmed links make components.
+2. Each class is compared with the lead of most of its buckets, the middle of its group. Confirmed links make components.
 3. Buckets whose classes are all in one component are done: a large group of near copies ends here, at one comparison a member.
    In the others, pairs of different components are compared, if the bucket has at most ``bucket`` classes.
 4. Classes that meet in larger buckets, such as documents around one common passage, are joined among themselves by exact prefix
@@ -289,11 +288,11 @@ def prefix_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def best_first(pairs: DataFrame, sets: DataFrame, edges: DataFrame, comps: DataFrame, tops: tuple[int, ...] = (1, 8)) -> DataFrame:
+def best_first(pairs: DataFrame, sets: DataFrame, edges: DataFrame, comps: DataFrame, tops: tuple[int, ...] = (4,)) -> DataFrame:
     """Adds the confirmed links among pairs (a, b, same) to the edges.
 
-    Of a pair the class of the smaller component chooses: first each is compared with the partner whose signature is most
-    like its own, then with the next ones, at last with all that are left; after each step pairs whose classes have come
+    Of a pair the class of the smaller component chooses: first each is compared with the few partners whose signatures are
+    most like its own, then with all that are left; after each step pairs whose classes have come
     into one component are settled. In a group whose similarities lie on both sides of the bound, where a class has
     hundreds of partners and needs one, few are ever compared.
     """
@@ -348,7 +347,7 @@ def star_links(df: DataFrame, shared: DataFrame, classes: DataFrame, doc: str, t
 
 
 def links(df: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text", bucket: int = 64,
-          rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+          rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and the component of each class that has a link. ``docs`` is written, from ``signed``."""
     classes = materialize(docs.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.min("key").alias("key"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes")
