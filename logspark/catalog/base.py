@@ -73,6 +73,11 @@ def event_view(spark: SparkSession, sf_dir: str, error_category: str | None = No
     return ev
 
 
+def spread_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_view`` for dear work on each row, dealt out while the rows are narrow."""
+    return V.events(V.spread(event_rows(spark, sf_dir), "event_id"))
+
+
 def line_view(spark: SparkSession, sf_dir: str, fmt: str | None = None) -> DataFrame:
     """Log lines; parsing is the work here, so a small table is spread over the cores first."""
     return V.lines(V.spread(event_rows(spark, sf_dir), "event_id"), fmt)

@@ -8,7 +8,7 @@ from ..operators import enrich as E
 from ..plans import queries as Q
 from ..session import new_dir
 from ..sources.feeds import geo_ranges, load_geo, load_threat, threat_indicators
-from .base import event_view, ms, query, table
+from .base import event_view, ms, query, spread_view, table
 
 
 def _geo_rows(spark, sf):
@@ -228,7 +228,7 @@ def jn_geo_ranges_nested(spark, sf):
     ], "start string, end string, country string, city string"))
     n = F.regexp_extract("trace.trace_id", r"0*(\d+)$", 1).cast("bigint")
     v6 = F.element_at(F.array(*map(F.lit, ("2600:0:5::1", "2600:1:5::1", "2607::1", "fd00::1"))), (n % 4 + 1).cast("int"))
-    e = event_view(spark, sf)
+    e = spread_view(spark, sf)
     ues = F.col("ues")
     e = e.withColumn("ues", ues.withField("source", ues["source"].withField("ip", F.concat(F.lit("8.8.8."), (n % 256).cast("string"))))
                      .withField("destination", ues["destination"].withField("ip", v6)))
@@ -251,7 +251,7 @@ def jn_threat_string_long(spark, sf):
     feed = threat_indicators(part.select(F.when(F.col("p_partkey") % 3 == 0, lot).otherwise(name).alias("indicator"), F.lit("t").alias("type"),
                                          F.lit("high").alias("severity"), F.lit("f").alias("source"), F.col("p_partkey").alias("ord")))
     n = F.regexp_extract("trace.trace_id", r"0*(\d+)$", 1).cast("bigint")
-    e = event_view(spark, sf).withColumn("_k", n % part.count()).join(part.select(F.col("p_partkey").alias("_k"), name.alias("_n")), "_k")
+    e = spread_view(spark, sf).withColumn("_k", n % part.count()).join(part.select(F.col("p_partkey").alias("_k"), name.alias("_n")), "_k")
     e = e.withColumn("ues", F.col("ues").withField("message", F.concat(F.lit("Saw "), F.upper("_n"), F.lit(" at "), "ues.source.ip")))
     return E.threat_string(e, feed).filter("hit_text IS NOT NULL").select(F.col("trace.trace_id").alias("tid"), F.col("hit_text_indicator").alias("indicator"))
 
@@ -261,7 +261,7 @@ def enr_classify_late(spark, sf):
     """The word that decides stands after 6 000 characters."""
     n = F.regexp_extract("trace.trace_id", r"0*(\d+)$", 1).cast("bigint")
     message = F.concat(F.repeat(F.lit("lorem "), 1000), F.when(n % 2 == 0, "login failed").otherwise("login succeeded"))
-    e = event_view(spark, sf).withColumn("ues", F.col("ues").withField("outcome", F.lit(None).cast("string")).withField(
+    e = spread_view(spark, sf).withColumn("ues", F.col("ues").withField("outcome", F.lit(None).cast("string")).withField(
         "message", message)).withColumn("raw", message)
     return E.enr_classify(e).select(F.col("trace.trace_id").alias("tid"), F.col("ues.outcome").alias("outc"))
 

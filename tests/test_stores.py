@@ -5,12 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.catalog import ORACLES, QUERIES
+from logspark.catalog import ORACLES, QUERIES, lookups
 from logspark.catalog.base import event_view
 from logspark.operators import enrich as E
 from logspark.sinks import archive
 from logspark.sinks.buckets import BucketTable
-from logspark.sources.feeds import threat_indicators
+from logspark.sources.feeds import geo_ranges, threat_indicators
 from logspark.streaming.correlation import not_silenced
 from tests.oracle import compare, duck
 
@@ -73,3 +73,9 @@ def test_late_candidates_and_past_firings(spark):
     cand = spark.createDataFrame([("a", at(s), str(s)) for s in (300, 400, 401, 900, 1599, 1650, 2299, 2300)] + [("b", at(599), "b1"), ("b", at(600), "b2"),
                                  ("c", at(5), "c")], "fingerprint string, ts timestamp, trace_id string")
     assert sorted(r.trace_id for r in not_silenced(cand, fired, 600).collect()) == ["2300", "300", "400", "b2", "c"]
+
+
+def test_dear_views_are_dealt_out(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value"),
+                             F.timestamp_seconds("id").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert lookups.enr_classify_late(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
