@@ -45,6 +45,16 @@ def disjoint_ranges(ranges: DataFrame) -> DataFrame:
             .select("lo", "hi", "country", "city"))
 
 
+#: Ranges as listed are broadcast up to this number; beyond it events are shuffled by block.
+BROADCAST_RANGES = 200_000
+
+
+def _counted(listed: DataFrame) -> DataFrame:
+    """Ranges as listed, written and counted: where few enough, no event moves, however many have the same block."""
+    listed = materialize(listed, "ranges")
+    return F.broadcast(listed) if listed.count() <= BROADCAST_RANGES else listed
+
+
 def geo_join(events: DataFrame, ranges: DataFrame, side: str, bucket: int = 16) -> DataFrame:
     """Adds ``geo_<side>`` struct<country, city> (jn_geo_range).
 
@@ -56,6 +66,7 @@ def geo_join(events: DataFrame, ranges: DataFrame, side: str, bucket: int = 16)
         "_b", F.explode(F.sequence(F.shiftright("lo", bucket), F.shiftright("hi", bucket))))
     v4 = v4.select(F.col("_b"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
                    F.struct("country", "city").alias("_g4"))
+    v4 = _counted(v4)
     out = events.withColumn("_ip", ip_v4_num(ip))
     out = out.withColumn("_k", F.shiftright("_ip", bucket))
     out = out.join(v4, (F.col("_k") == F.col("_b")) & F.col("_ip").between(F.col("_lo"), F.col("_hi")), "left")
@@ -89,9 +100,9 @@ def geo_join_v6(events: DataFrame, ranges: DataFrame, side: str) -> DataFrame:
     out = events.withColumn("_ip", ip_v6_hex(F.col(f"ues.{side}.ip")))
     for digits, these in ((8, cut.filter(~wide)), (4, cut.filter(wide))):
         listed = these.withColumn("_hi_block", F.when(F.col("_next") == "g", block("hi6", digits)).otherwise(block("_hi", digits)))
-        listed = listed.select(
+        listed = _counted(listed.select(
             F.explode(F.sequence(block("lo6", digits), "_hi_block")).alias("_b"), F.col("lo6").alias("_lo"),
-            F.col("hi6").alias("_end"), F.col("_next").alias("_stop"), F.struct("country", "city").alias("_g6"))
+            F.col("hi6").alias("_end"), F.col("_next").alias("_stop"), F.struct("country", "city").alias("_g6")))
         out = out.withColumn("_k", block("_ip", digits))
         inside = F.col("_ip").between(F.col("_lo"), F.col("_end")) & (F.col("_ip") < F.col("_stop"))
         out = out.join(listed, (F.col("_k") == F.col("_b")) & inside, "left")

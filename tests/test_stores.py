@@ -75,6 +75,19 @@ def test_late_candidates_and_past_firings(spark):
     assert sorted(r.trace_id for r in not_silenced(cand, fired, 600).collect()) == ["2300", "300", "400", "b2", "c"]
 
 
+def test_one_block_of_addresses_is_not_shuffled(spark, monkeypatch):
+    """All events in one block stay where they are; beyond the bound the join gives the same."""
+    ranges = geo_ranges(spark.createDataFrame([("8.8.8.0", "8.8.8.127", "outer", ""), ("2600::", "2600:1::", "six", "")], "start string, end string, country string, city string"))
+    e = spark.createDataFrame([(i, "8.8.8.%d" % (i % 256) if i % 2 else "2600::%x" % i) for i in range(1, 400)], "i int, ip string").select(
+        "i", F.struct(F.struct("ip").alias("source"), F.struct("ip").alias("destination")).alias("ues"))
+    near = E.geo_join_v6(E.geo_join(e, ranges, "source"), ranges, "source").select("i", "geo_source.country")
+    assert "SortMergeJoin" not in near._jdf.queryExecution().toString() and "Exchange hashpartitioning" not in near._jdf.queryExecution().toString()
+    got = sorted(map(tuple, near.collect()))
+    assert got == [(i, "six" if i % 2 == 0 else "outer" if i % 256 < 128 else None) for i in range(1, 400)]
+    monkeypatch.setattr(E, "BROADCAST_RANGES", 0)
+    assert sorted(map(tuple, E.geo_join_v6(E.geo_join(e, ranges, "source"), ranges, "source").select("i", "geo_source.country").collect())) == got
+
+
 def test_dear_views_are_dealt_out(spark, tmp_path):
     spark.range(1000).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value"),
                              F.timestamp_seconds("id").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
