@@ -180,9 +180,12 @@ def threat_domain(events: DataFrame, feed: DataFrame) -> DataFrame:
     return events.drop("_host", "_uhost")
 
 
-GRAM = 4
-#: Indicators are broadcast up to this number, else their grams are shuffled.
+#: Lengths of the runs of characters under which indicators are listed; each under the longest that fits it.
+GRAMS = (4, 8, 16, 32)
+#: Indicators are broadcast up to this number, else the runs that any is listed under are shuffled.
 BROADCAST_INDICATORS = 200_000
+#: Bits of the table that tells which runs of a text any indicator is listed under; a power of two.
+BITS = 1 << 25
 #: Texts on which it is counted how rare a gram is; that decides how much is compared, never what is found.
 COUNTED_TEXTS = 2_000
 
@@ -193,30 +196,47 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def _rarest(strings: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Each indicator with that of its runs of n characters that the fewest texts hold."""
+    """Each indicator with that of its runs of n characters that the fewest texts hold, and of such that fewest indicators
+    share; the run as a hash."""
     seen = texts.limit(COUNTED_TEXTS).select(F.explode(_grams(F.col("text"), n)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_f"))
-    own = strings.select("*", F.explode(_grams(F.col("indicator"), n)).alias("_gram")).join(seen, "_gram", "left")
-    rank = F.struct(F.coalesce("_f", F.lit(0)), F.xxhash64("_gram"))
-    return own.groupBy("indicator", "ord", "m").agg(F.min_by("_gram", rank).alias("_gram"))
+    own = materialize(strings.select("*", F.explode(_grams(F.col("indicator"), n)).alias("_gram")), "own")
+    shared = own.groupBy("_gram").agg(F.count("*").alias("_own")).join(seen, "_gram", "left")
+    rank = F.struct(F.coalesce("_f", F.lit(0)), F.col("_own"), F.xxhash64("_gram"))
+    return own.join(shared, "_gram").groupBy("indicator", "ord", "m").agg(F.xxhash64(F.min_by("_gram", rank)).alias("_key"))
+
+
+def _listed(runs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The runs (with ``_key``) that some indicator may be listed under, by a table of BITS bits, of which each row holds 64."""
+    cell = F.col("_key").bitwiseAND(F.lit(BITS - 1))
+    word, bit = F.shiftright(cell, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), cell.bitwiseAND(F.lit(63)).cast("int"))
+    bits = materialize(keyed.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bits")
+    return (runs.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+            .filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits"))
 
 
 def text_hits(texts: DataFrame, feed: DataFrame) -> DataFrame:
     """text -> earliest string indicator of the feed contained in it: ord, indicator, m; for distinct texts.
 
-    Each indicator is listed under its rarest run of GRAM characters, shorter ones under themselves. Texts are numbered;
-    their numbers go with their runs to an equality join, and only what meets goes back to the text, once a text, to be
-    compared in full. So what is moved grows with the text's length. Feeds of any size work alike.
+    Each indicator is listed under its rarest run of as many characters of GRAMS as it has, shorter ones under themselves: long
+    runs tell like indicators apart. Texts are numbered; the hashes of those of their runs that any indicator may be
+    listed under go with their numbers to an equality join, and only what meets goes back to the text, once a text, to be
+    compared in full. So what is moved grows with what is like an indicator. Feeds of any size work alike.
     """
     strings = materialize(feed.filter("kind = 'string'").select("indicator", "ord", F.struct("type", "severity", "feed").alias("m")), "indicators")
     texts = materialize(texts.select("text", F.monotonically_increasing_id().alias("_text")), "texts")
-    sizes = {r.n for r in strings.select(F.least(F.length("indicator"), F.lit(GRAM)).alias("n")).filter("n > 0").distinct().collect()}
+    size = F.length("indicator")
+    listed_by = F.greatest(*[F.when(size >= n, n) for n in GRAMS], F.least(size, F.lit(GRAMS[0])))
+    strings = strings.withColumn("_n", listed_by)
+    sizes = {r["_n"] for r in strings.select("_n").filter("_n > 0").distinct().collect()}
     met = texts.select("_text", F.lit(None).cast(strings.select(F.struct("ord", "indicator", "m")).schema[0].dataType).alias("x")).limit(0)
     for n in sorted(sizes):
-        these = strings.filter(F.length("indicator") >= n if n == GRAM else F.length("indicator") == n)
-        keyed = materialize(_rarest(these, texts, n), "keyed")
-        keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_INDICATORS else keyed
-        listed = texts.select("_text", F.explode(_grams(F.col("text"), n)).alias("_gram"))
-        met = met.unionByName(listed.join(keyed, "_gram").select("_text", F.struct("ord", "indicator", "m").alias("x")))
+        keyed = materialize(_rarest(strings.filter(F.col("_n") == n).drop("_n"), texts, n), "keyed")
+        runs = texts.select("_text", F.explode(_grams(F.col("text"), n)).alias("_gram")).select("_text", F.xxhash64("_gram").alias("_key"))
+        if keyed.count() <= BROADCAST_INDICATORS:
+            found = runs.join(F.broadcast(keyed), "_key")
+        else:
+            found = _listed(runs, keyed).join(keyed, "_key")
+        met = met.unionByName(found.select("_text", F.struct("ord", "indicator", "m").alias("x")))
     # A text meets at most the indicators of its own runs.
     some = met.groupBy("_text").agg(F.collect_list("x").alias("_met"))
     first = F.array_min(F.filter("_met", lambda x: F.col("text").contains(x["indicator"])))

@@ -75,6 +75,24 @@ def test_late_candidates_and_past_firings(spark):
     assert sorted(r.trace_id for r in not_silenced(cand, fired, 600).collect()) == ["2300", "300", "400", "b2", "c"]
 
 
+def test_like_indicators_are_listed_apart(spark):
+    """Indicators that differ in a number only are told apart by what they are listed under, in few texts and in many."""
+    feed = spark.createDataFrame([(f"lot {i} of brand#{i % 7}", i) for i in range(10_000, 14_000)], "indicator string, ord long").withColumn("m", F.lit("x"))
+    keyed = E._rarest(feed, spark.createDataFrame([("saw lot 10001 of brand#5",)], "text string"), 16)
+    assert keyed.select("_key").distinct().count() == 4_000
+
+
+def test_many_indicators_by_the_shuffled_join(spark, monkeypatch):
+    rows = [(w, "t", "high", "f", i) for i, w in enumerate(["lot 12", "lot 123456", "lot 123456 of brand", "x" * 40, "ab", "12345678"])]
+    ind = threat_indicators(spark.createDataFrame(rows, "indicator string, type string, severity string, source string, ord long"))
+    texts = [f"saw {w}, and more" for w, *_ in rows] + ["lot 1 of", "y" * 60, "x" * 39]
+    want = {t: min(((i, w) for w, *_, i in rows if w in t), default=(None, None))[1] for t in texts}
+    monkeypatch.setattr(E, "BROADCAST_INDICATORS", 0)
+    monkeypatch.setattr(E, "BITS", 64)
+    got = {r.text: r.indicator for r in E.text_hits(spark.createDataFrame([(t,) for t in texts], "text string"), ind).collect()}
+    assert got == {t: w for t, w in want.items() if w}
+
+
 def test_one_block_of_addresses_is_not_shuffled(spark, monkeypatch):
     """All events in one block stay where they are; beyond the bound the join gives the same."""
     ranges = geo_ranges(spark.createDataFrame([("8.8.8.0", "8.8.8.127", "outer", ""), ("2600::", "2600:1::", "six", "")], "start string, end string, country string, city string"))
