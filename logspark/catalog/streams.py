@@ -101,25 +101,33 @@ def str_dedup_late(spark, sf):
     return L.corrected_windows(spark, out, step).select("usr", "kind", F.col("first.tid").alias("tid"), F.col("first_ms").alias("ms"))
 
 
+#: Lines of a file, about.
+FILE_LINES = 250_000
+
+
 def _line_files(spark, sf, n: int = 4, copies: int = 1):
+    """Files of lines and how many of them make one of n equal parts: a part has more files where it has more lines."""
     path = new_dir(spark, "lines")
     raw = line_view(spark, sf, "kv").select("raw")
     raw = raw if copies == 1 else raw.select(F.explode(F.array_repeat("raw", copies)).alias("raw"))
-    raw.repartition(n).write.text(path)
-    return path
+    each = event_rows(spark, sf).count() * copies // (n * FILE_LINES) + 1
+    raw.repartition(n * each).write.text(path)
+    return path, each
 
 
 @query("str_backpressure", "WITH {EV} SELECT {KV} AS raw FROM ev")
 def str_backpressure(spark, sf):
-    """One file per micro-batch; nothing is dropped."""
-    return J.run_to_table(stream_lines(spark, _line_files(spark, sf), max_files=1).select("raw"), spark, "slow")
+    """A fourth of the files per micro-batch; nothing is dropped."""
+    path, each = _line_files(spark, sf)
+    return J.run_to_table(stream_lines(spark, path, max_files=each).select("raw"), spark, "slow")
 
 
 @query("str_pipeline", "WITH {EV} SELECT src, usr, act, ms, sha256({KV}) AS h FROM ev")
 def str_pipeline(spark, sf):
     out = new_dir(spark, "pipeline")
+    path, each = _line_files(spark, sf)
     q = J.start_pipeline(
-        stream_lines(spark, _line_files(spark, sf), max_files=2), (),
+        stream_lines(spark, path, max_files=2 * each), (),
         {"events": lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")},
         new_dir(spark, "pipeline-checkpoint"), {"availableNow": True}, 2024)
     q.awaitTermination()
@@ -132,7 +140,8 @@ def str_pipeline(spark, sf):
 def str_trace_ids(spark, sf):
     """Every line three times in a file: each is an event of its own."""
     out = new_dir(spark, "copies")
-    q = J.start_pipeline(stream_lines(spark, _line_files(spark, sf, copies=3), max_files=2), (), {
+    path, each = _line_files(spark, sf, copies=3)
+    q = J.start_pipeline(stream_lines(spark, path, max_files=2 * each), (), {
         "events": lambda df, i: df.select("trace").write.mode("overwrite").parquet(f"{out}/batch={i}")},
         new_dir(spark, "copies-checkpoint"), {"availableNow": True}, 2024)
     q.awaitTermination()
@@ -152,7 +161,8 @@ def str_sink_status(spark, sf):
         return sink
 
     sinks = {n: to(n) for n in ("events", "late")}
-    q = J.start_pipeline(stream_lines(spark, _line_files(spark, sf), max_files=1), (), sinks, new_dir(spark, "sinks-checkpoint"),
+    path, each = _line_files(spark, sf)
+    q = J.start_pipeline(stream_lines(spark, path, max_files=each), (), sinks, new_dir(spark, "sinks-checkpoint"),
                          {"availableNow": True}, 2024, status)
     q.awaitTermination()
     assert J.sink_status(spark, status).filter("NOT ok").count() == 4

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.catalog import ORACLES, QUERIES
+from logspark.catalog import ORACLES, QUERIES, streams
 from logspark.operators.normalize import with_integrity, with_source_columns
 from logspark.sources import growing, lines as L
 from logspark.streaming import late
@@ -123,3 +123,13 @@ def test_sessions_of_one_busy_key_after_late_rows(spark, tmp_path):
         (0, 5, 2, "0-0"), (150, 300, 4, "1-150"), (1000, 1005, 2, "0-1000"), (1500, 1500, 1, "1-1500"),
         (4000, 4001, 2, "1-4000"), (4300, 4300, 1, "2-4300"), (9000, 9000, 1, "2-9000")]
     assert os.listdir(f"{tmp_path}/out/open") and not os.path.exists(f"{tmp_path}/out/open/batch=0")
+
+
+def test_more_lines_are_more_files(spark, monkeypatch, tmp_path):
+    """Files are bounded; the parts they come in stay four."""
+    spark.range(400).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value"),
+                            F.timestamp_seconds("id").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(streams, "FILE_LINES", 30)
+    path, each = streams._line_files(spark, str(tmp_path))
+    assert each == 4 and spark.read.text(path).select("_metadata.file_path").distinct().count() == 16
+    assert streams.str_backpressure(spark, str(tmp_path)).count() == 400
