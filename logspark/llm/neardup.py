@@ -33,6 +33,8 @@ SHINGLE = 5
 LEAST = 75
 #: Sets or rows beyond so many are shuffled, not broadcast.
 BROADCAST_ROWS = 500_000
+#: Cells in which shingles are counted to tell rare ones from frequent ones; decides how much is compared, never what is linked.
+CELLS = 1 << 20
 #: Rows that cross to Python at once: a text is there with its words, their hashes and its set.
 BATCH = 250
 
@@ -261,24 +263,50 @@ def with_components(df: DataFrame, comps: DataFrame) -> DataFrame:
     return df.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def prefix_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
+def shingle_counts(sets: DataFrame, cells: int) -> np.ndarray:
+    """How many shingles of the given sets fall into each of so many cells, a power of two: at least as many as hold any one of them."""
+    def make():
+        def work(batch):
+            packed = b"".join(batch["shingles"].to_pylist())
+            cell, n = np.unique(np.frombuffer(packed, "u8") & np.uint64(cells - 1), return_counts=True)
+            return {"cell": pa.array(cell.astype("i8")), "n": pa.array(n.astype("i8"))}
+        return work
+
+    found = map_batches(sets.select("shingles"), make, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells, "i8")
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefix_pairs(sets: DataFrame, comps: DataFrame, cells: int = CELLS) -> DataFrame:
     """Pairs of different components that share one of their rarest shingles: every similar pair among the given sets.
 
-    Ordered by how many of the given sets hold a shingle, rarest first, two sets of similarity s share one of the first
-    n - ceil(s n) + 1. A shingle all whose holders are in one component gives no pairs.
+    In any one order of all shingles, two sets of similarity s share one of the first n - ceil(s n) + 1 of each. The order
+    is by the count of a shingle's cell, rarest first, then by the shingle: a shingle of many sets comes late, whatever
+    shares its cell, and only prefixes leave the sets. A shingle alone in its cell, and one all whose holders are in
+    one component, gives no pairs.
     """
-    @arrow_udf("array<long>")
-    def unpack(packed: pa.Array) -> pa.Array:
-        rows = [np.frombuffer(x, "i8") for x in packed.to_pylist()]
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, "i8")])))
-
-    all_of = with_components(sets, comps).select("cls", "comp", "n", F.explode(unpack("shingles")).alias("s"))
-    all_of = materialize(all_of, "shingles")
-    ranks = all_of.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    known = all_of.join(ranks, "s", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    order = Window.partitionBy("cls").orderBy("df", "s")
-    prefix = materialize(known.withColumn("r", F.row_number().over(order)).filter(
-        F.expr(f"r <= n - CAST(ceil({LEAST} * n / 100) AS LONG) + 1 AND df > 1")).select("s", "cls", "comp", "n", "r"), "prefix")
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets, cells))
+
+    def make():
+        known = counts.value
+
+        def work(batch):
+            shingle, rank, sizes = [], [], []
+            for packed, n in zip(batch["shingles"].to_pylist(), batch["n"].to_pylist()):
+                s = np.frombuffer(packed, "u8")
+                seen = known[s & np.uint64(cells - 1)]
+                first = np.lexsort((s, seen))[:n + LEAST * -n // 100 + 1]
+                shared = np.flatnonzero(seen[first] > 1)
+                shingle.append(s[first[shared]].view("i8"))
+                rank.append(shared + 1)
+                sizes.append(len(shared))
+            spread = {c: pa.array(np.repeat(batch[c].to_numpy(zero_copy_only=False), sizes)) for c in ("cls", "comp", "n")}
+            return spread | {"s": pa.array(np.concatenate(shingle)), "r": pa.array(np.concatenate(rank).astype("i8"))}
+        return work
+
+    rows = with_components(sets, comps).select("cls", "comp", "n", "shingles")
+    prefix = materialize(map_batches(rows, make, "s long, cls long, comp long, n long, r long"), "prefix")
     mixed = prefix.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("s")
     open_ = prefix.join(mixed, "s", "left_semi")
     x, y = open_.alias("x"), open_.alias("y")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 
 from logspark.llm import decontaminate, neardup, quality
 from logspark.llm.common import read
@@ -178,3 +179,22 @@ def test_oracle_of_decontamination(spark):
     from tests.oracle import compare, duck
 
     assert compare(spark, duck(SF), SF, "op3_decontaminate", QUERIES["op3_decontaminate"], ORACLES["op3_decontaminate"]) == ""
+
+
+def test_prefixes_by_counts_in_cells(spark):
+    """Every similar pair of different components shares a prefix, however many shingles share a cell; no join over all shingles."""
+    draw = np.random.default_rng(5)
+    common = draw.integers(0, 1 << 63, 40, "u8")
+    sets = []
+    for g in range(12):
+        base = np.concatenate([common, draw.integers(0, 1 << 63, 60, "u8")])
+        sets += [np.unique(np.concatenate([base[draw.random(100) > 0.08], draw.integers(0, 1 << 63, 3, "u8")])) for _ in range(4)]
+    df = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "cls long, n long, shingles binary")
+    comps = spark.createDataFrame([(0, 0), (1, 0)], "node long, comp long")
+    want = {(i, j) for i in range(48) for j in range(i + 1, 48) if (i, j) != (0, 1)
+            and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    for cells in (1, 8, 1 << 20):
+        pairs = neardup.prefix_pairs(df, comps, cells)
+        got = set(map(tuple, pairs.collect()))
+        assert want and want <= got and (0, 1) not in got
+    assert len(got) < 3 * len(want)
