@@ -21,9 +21,10 @@ def is_json(line: Column) -> Column:
 
 
 def is_xml(line: Column) -> Column:
-    """Well-formed XML; the corrupt-record field of the reader is the test."""
+    """Well-formed XML; the corrupt-record field of the reader is the test. No name starts with a digit, so a syslog
+    priority need not be read as XML."""
     parsed = F.from_xml(line, "_corrupt_record string, x string", {"mode": "PERMISSIVE"})
-    return F.when(line.rlike(r"(?U)^<[\w?!]"),
+    return F.when(line.rlike(r"(?U)^<(?![0-9])[\w?!]"),
                   parsed.isNotNull() & parsed["_corrupt_record"].isNull()).otherwise(F.lit(False))
 
 

@@ -70,7 +70,10 @@ def _named(*pairs: tuple[str, Column]) -> Column:
 
 def par_syslog(raw: Column | str, options: dict | None = None) -> Column:
     """RFC5424 and RFC3164 envelopes; the body is kept for a second extraction."""
-    line = strip(raw)
+    return let(strip(raw), _syslog_of)
+
+
+def _syslog_of(line: Column) -> Column:
 
     def g(n: int) -> Column:
         return F.regexp_extract(line, _RFC5424, n)
@@ -127,11 +130,11 @@ def _json_entries(raw: Column, depth: int | None = None) -> Column:
     nothing left to open leave the entries as they are.
     """
     bare = F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*+"', "")
-    levels = F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))
+    levels = let(bare, lambda b: F.length(b) - F.length(F.replace(b, F.lit("{"), F.lit(""))))
     if depth is not None:
         levels = F.least(levels, F.lit(depth + 1))
     first = F.map_entries(F.from_json(raw, "map<string,variant>"))
-    step = F.when(levels > 1, F.sequence(F.lit(2), levels)).otherwise(F.array().cast("array<int>"))
+    step = let(levels, lambda n: F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")))
     return F.aggregate(step, first.cast(_VARIANTS), lambda e, _: F.when(
         F.exists(e, lambda p: _is_object(p["value"])), _open_objects(e)).otherwise(e))
 
@@ -147,11 +150,10 @@ def json_bag(raw: Column, depth: int | None = None) -> Column:
 
 def par_json(raw: Column | str, options: dict | None = None) -> Column:
     """Flattened JSON object, or the array text under ``items``; message, host and service are texts, never numbers or lists."""
-    line = strip(raw)
     depth = (options or {}).get("depth")
     names = [*_MESSAGE, *_HOST, *_SERVICE]
 
-    def of(entries: Column) -> Column:
+    def of(line: Column, entries: Column) -> Column:
         bag = F.when(line.startswith("["), F.array(A.pair(F.lit("items"), line))).otherwise(A.dedup(_pairs(entries)))
         words = F.filter(entries, lambda p: F.lower(p["key"]).isin(names) & (F.schema_of_variant(p["value"]) == "STRING"))
         words = A.as_map(A.dedup(A.lowered(F.coalesce(_pairs(words), A.empty_bag()))))
@@ -161,7 +163,8 @@ def par_json(raw: Column | str, options: dict | None = None) -> Column:
             service=A.first_of(text, _SERVICE),
             warnings=[F.when(~is_json(line), F.lit("json decode error"))])))
 
-    return let(F.when(~line.startswith("["), _json_entries(line, depth)), of)
+    return let(strip(raw), lambda line: let(
+        F.when(~line.startswith("["), _json_entries(line, depth)), lambda entries: of(line, entries)))
 
 
 # --- CEF -------------------------------------------------------------------------------------
@@ -183,7 +186,10 @@ def _unescape(value: Column) -> Column:
 
 def par_cef(raw: Column | str, options: dict | None = None) -> Column:
     """Seven-field header and a key=value extension whose values may hold spaces."""
-    line = strip(raw)
+    return let(strip(raw), _cef_of)
+
+
+def _cef_of(line: Column) -> Column:
 
     def g(n: int) -> Column:
         return F.regexp_extract(line, _CEF, n)
@@ -225,7 +231,10 @@ def _hex_unescape(text: Column) -> Column:
 
 def par_leef(raw: Column | str, options: dict | None = None) -> Column:
     """Five-field header; pairs separated by a tab or by the separator named in ``sep=``."""
-    line = strip(raw)
+    return let(strip(raw), _leef_of)
+
+
+def _leef_of(line: Column) -> Column:
 
     def g(n: int) -> Column:
         return F.regexp_extract(line, _LEEF, n)
@@ -262,9 +271,17 @@ def par_leef(raw: Column | str, options: dict | None = None) -> Column:
 _PAIR = r"""(?U)(?<![\w])([A-Za-z_][\w.\-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s,;]+))"""
 
 
+def _pairs_in(raw: Column) -> Column:
+    """All texts of the pair pattern. Classes of all alphabets are slow, and in plain ASCII they match what the short ones do."""
+    return F.when(F.octet_length(raw) == F.length(raw), F.regexp_extract_all(raw, F.lit(_PAIR.removeprefix("(?U)")), F.lit(0))).otherwise(
+        F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(0)))
+
+
 def kv_count(raw: Column, options: dict | None = None) -> Column:
-    pattern = (options or {}).get("pattern") or _PAIR
-    return F.size(F.regexp_extract_all(raw, F.lit(pattern), F.lit(0)))
+    pattern = (options or {}).get("pattern")
+    if pattern:
+        return F.size(F.regexp_extract_all(raw, F.lit(pattern), F.lit(0)))
+    return F.when(raw.contains("="), F.size(_pairs_in(raw))).otherwise(F.lit(0))
 
 
 def kv_bag(raw: Column, options: dict | None = None) -> Column:
@@ -287,7 +304,7 @@ def kv_bag(raw: Column, options: dict | None = None) -> Column:
         return A.pair(strip(F.substring(m, F.lit(1), at - 1)),
                       let(strip(F.substring(m, at + 1, F.length(m))), unquote))
 
-    return A.dedup(F.transform(F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(0)), split_pair))
+    return A.dedup(F.transform(_pairs_in(raw), split_pair))
 
 
 def par_kv(raw: Column | str, options: dict | None = None) -> Column:
@@ -301,7 +318,7 @@ def par_kv(raw: Column | str, options: dict | None = None) -> Column:
 
 
 # --- CSV -------------------------------------------------------------------------------------
-_DELIMITERS = [",", ";", "\t", "|"]
+DELIMITERS = [",", ";", "\t", "|"]
 
 
 def _count(raw: Column, mark: str) -> Column:
@@ -312,7 +329,7 @@ def csv_delimiter(raw: Column) -> Column:
     """The most frequent of the four delimiters, NULL if none occurs."""
     best = F.array_max(F.array(*[
         F.struct(_count(raw, d).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d"))
-        for i, d in enumerate(_DELIMITERS)]))
+        for i, d in enumerate(DELIMITERS)]))
     return F.when(best["n"] > 0, best["d"])
 
 
@@ -363,13 +380,35 @@ _STATE = "struct<path:array<string>,seen:array<struct<key:string,value:string>>>
 
 
 def _entities(text: Column) -> Column:
+    plain = text
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    return F.when(plain.contains("&"), text).otherwise(plain)
 
 
 def _local(name: Column) -> Column:
-    return F.regexp_replace(name, r"^[^:]*:", "")
+    return F.when(name.contains(":"), F.regexp_replace(name, r"^[^:]*:", "")).otherwise(name)
+
+
+def _tag_attributes(t: Column) -> Column:
+    """Local names and values of the attributes of a tag; each pattern runs once."""
+    found = F.struct(*[F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(n)).alias(k)
+                       for n, k in enumerate(("name", "double", "simple"), start=1)])
+    listed = let(found, lambda x: F.transform(x["name"], lambda n, i: A.pair(
+        _local(n), _entities(F.coalesce(present(F.get(x["double"], i)), F.get(x["simple"], i))))))
+    return F.when(t.contains("="), listed).otherwise(A.empty_bag())
+
+
+def _token(t: Column) -> Column:
+    """What a tag or text adds to the fold, found before it so that no step searches twice."""
+    tag = t.startswith("<")
+    opening, closing = tag & ~t.startswith("</") & ~t.startswith("<!"), t.startswith("</")
+    cdata = F.regexp_extract(t, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
+    text = strip(F.when(t.startswith("<![CDATA["), cdata).otherwise(_entities(t)))
+    return F.struct(
+        opening.alias("opening"), closing.alias("closing"), t.endswith("/>").alias("single"),
+        F.when(opening, _local(F.regexp_extract(t, r"^<([^\s/>]+)", 1))).alias("name"),
+        F.when(opening, _tag_attributes(t)).alias("attrs"), F.when(~opening & ~closing, text).alias("text"))
 
 
 def xml_bag(raw: Column) -> Column:
@@ -378,40 +417,26 @@ def xml_bag(raw: Column) -> Column:
     One fold over the tags and texts of the document keeps the open element path. A path with
     several texts becomes a JSON list of them.
     """
-    tokens = F.filter(F.regexp_extract_all(raw, F.lit(_TOKEN), F.lit(0)),
-                      lambda t: ~t.rlike(r"^(?:<!--|<\?|<!(?!\[CDATA))") & (strip(t) != ""))
+    tokens = F.transform(F.filter(
+        F.regexp_extract_all(raw, F.lit(_TOKEN), F.lit(0)),
+        lambda t: ~t.startswith("<?") & (~t.startswith("<!") | t.startswith("<![CDATA")) & (strip(t) != "")), _token)
+
+    def dotted(path: Column) -> Column:
+        below = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
+        return F.when(F.size(path) == 1, F.get(path, 0)).otherwise(F.array_join(below, "."))
 
     def step(acc: Column, t: Column) -> Column:
-        name = _local(F.regexp_extract(t, r"^</?([^\s/>]+)", 1))
-        return let(name, lambda name: _step(acc, t, name))
-
-    def _step(acc: Column, t: Column, name: Column) -> Column:
-        opening = t.rlike(r"^<[^/!]")
-        single = t.endswith("/>")
-        inside = F.concat(acc["path"], F.array(name))
-
-        def dotted(path: Column) -> Column:
-            below = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
-            return F.when(F.size(path) == 1, F.get(path, 0)).otherwise(F.array_join(below, "."))
-
-        names = F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(1))
-        double = F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(2))
-        simple = F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(3))
-        attrs = F.filter(F.transform(names, lambda n, i: A.pair(
-            F.concat(dotted(inside), F.lit("@"), _local(n)),
-            _entities(F.coalesce(present(F.get(double, i)), F.get(simple, i))))),
-            lambda p: ~p["key"].contains("@xmlns"))
-        cdata = F.regexp_extract(t, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
-        text = strip(F.when(t.startswith("<![CDATA["), cdata).otherwise(_entities(t)))
-        state = F.struct(
-            F.when(opening & ~single, inside)
-            .when(t.startswith("</"), F.slice(acc["path"], 1, F.greatest(F.size(acc["path"]) - 1, F.lit(0))))
+        inside = F.concat(acc["path"], F.array(t["name"]))
+        attrs = F.filter(F.transform(t["attrs"], lambda p: A.pair(
+            F.concat(dotted(inside), F.lit("@"), p["key"]), p["value"])), lambda p: ~p["key"].contains("@xmlns"))
+        return F.struct(
+            F.when(t["opening"] & ~t["single"], inside)
+            .when(t["closing"], F.slice(acc["path"], 1, F.greatest(F.size(acc["path"]) - 1, F.lit(0))))
             .otherwise(acc["path"]).alias("path"),
-            F.when(opening, F.concat(acc["seen"], attrs))
-            .when(t.startswith("</") | (F.size(acc["path"]) < 2) | (text == ""), acc["seen"])
-            .otherwise(F.concat(acc["seen"], F.array(A.pair(dotted(acc["path"]), text)))).alias("seen"),
+            F.when(t["opening"] & (F.size(t["attrs"]) > 0), F.concat(acc["seen"], attrs))
+            .when(t["opening"] | t["closing"] | (F.size(acc["path"]) < 2) | (t["text"] == ""), acc["seen"])
+            .otherwise(F.concat(acc["seen"], F.array(A.pair(dotted(acc["path"]), t["text"])))).alias("seen"),
         )
-        return state.cast(_STATE)
 
     start = F.struct(F.array().cast("array<string>").alias("path"), A.empty_bag().alias("seen")).cast(_STATE)
 
@@ -431,17 +456,17 @@ def xml_bag(raw: Column) -> Column:
 def par_xml(raw: Column | str, options: dict | None = None) -> Column:
     """Flattened XML; the message is the first six plain values."""
     line = strip(raw)
-    bag = F.when(is_xml(line), xml_bag(line)).otherwise(A.empty_bag())
 
-    def result(bag: Column, low: Column) -> Column:
+    def result(ok: Column, bag: Column, low: Column) -> Column:
         plain = F.filter(bag, lambda p: ~p["value"].startswith('["'))
         words = F.array_join(F.transform(F.slice(plain, 1, 6), lambda p: p["value"]), " ")
         return parsed(
             attrs=bag, message=words,
             event_time_raw=A.first_of(low, ["timestamp", "eventtime", "time", "date", "datetime"]),
-            warnings=[F.when(~is_xml(line), F.lit("xml parse error"))])
+            warnings=[F.when(~ok, F.lit("xml parse error"))])
 
-    return with_lower(bag, result)
+    return let(is_xml(line), lambda ok: with_lower(
+        F.when(ok, xml_bag(line)).otherwise(A.empty_bag()), lambda bag, low: result(ok, bag, low)))
 
 
 # --- configured regex ------------------------------------------------------------------------

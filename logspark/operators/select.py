@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.base import built, strip
+from ..functions.base import built, let, strip
 from . import attributes as A
 from .detect import CEF_HEAD, LEEF_HEAD, detect_format, is_json, is_xml
 from .extract import (
-    EXTRACTORS, IS_3164, IS_5424, PARSED, csv_delimiter, kv_count, regex_patterns, safe,
+    DELIMITERS, EXTRACTORS, IS_3164, IS_5424, PARSED, kv_count, regex_patterns, safe,
 )
 from .extract import _count
 from .specs import BONUS, Spec, spec_score
@@ -19,9 +19,13 @@ THRESHOLD = 0.5
 FORMAT_NAME = {"plain": "text"}
 
 
-def format_score(fmt: str, raw: Column, options: dict | None = None) -> Column:
-    """Confidence of one format for a line, 0 if it does not apply."""
-    line = strip(raw)
+def format_score(fmt: str, raw: Column, options: dict | None = None, line: Column | None = None,
+                 pairs: Column | None = None) -> Column:
+    """Confidence of one format for a line, 0 if it does not apply.
+
+    ``line`` (the stripped text) and ``pairs`` (its plain ``kv_count``) are given where they are known already.
+    """
+    line = strip(raw) if line is None else line
     zero = F.lit(0.0)
     if fmt == "syslog":
         return F.when(line.rlike(IS_5424), 0.95).when(line.rlike(IS_3164), 0.9).otherwise(zero)
@@ -35,12 +39,12 @@ def format_score(fmt: str, raw: Column, options: dict | None = None) -> Column:
     if fmt == "xml":
         return F.when(is_xml(line), 0.9).otherwise(zero)
     if fmt == "kv":
-        n = kv_count(raw, options)
-        return F.when(n >= 2, F.least(F.lit(0.9), F.lit(0.5) + n * 0.05)).otherwise(zero)
+        counted = kv_count(raw, options) if pairs is None or (options or {}).get("pattern") else pairs
+        return let(counted, lambda n: F.when(n >= 2, F.least(F.lit(0.9), F.lit(0.5) + n * 0.05)).otherwise(zero))
     if fmt == "csv":
         given = (options or {}).get("delimiter")
-        n = _count(raw, given) if given else F.coalesce(
-            *[F.when(csv_delimiter(raw) == d, _count(raw, d)) for d in (",", ";", "\t", "|")], F.lit(0))
+        # Without a given one the most frequent delimiter counts.
+        n = _count(raw, given) if given else F.greatest(*[_count(raw, d) for d in DELIMITERS])
         return F.when(n >= 2, 0.5).otherwise(zero)
     if fmt == "regex":
         hit = F.lit(False)
@@ -53,7 +57,8 @@ def format_score(fmt: str, raw: Column, options: dict | None = None) -> Column:
 def choose(raw: Column, specs: tuple[Spec, ...], exclude: tuple[str, ...] = ()) -> Column:
     """struct<score, priority, ord, parser, spec> of the best candidate, NULL below the threshold.
 
-    Highest (score, priority) wins and the first registered one among equals.
+    Highest (score, priority) wins and the first registered one among equals. What several candidates look at is
+    bound once; without that each use would repeat the search for pairs.
     """
     def candidate(score: Column, priority: int, order: int, parser: str, spec: str | None) -> Column:
         return F.struct(
@@ -61,17 +66,19 @@ def choose(raw: Column, specs: tuple[Spec, ...], exclude: tuple[str, ...] = ())
             F.lit(-order).alias("ord"), F.lit(parser).alias("parser"),
             F.lit(spec).cast("string").alias("spec"))
 
-    rows = [candidate(format_score(f, raw), p, i, f, None)
-            for i, (f, p) in enumerate(PRIORITY.items()) if f not in exclude]
-    for i, s in enumerate(specs, start=len(PRIORITY)):
-        if s.format in exclude:
-            continue
-        cond = spec_score(raw, s)
-        base = F.when(cond > 0, format_score(s.format, raw, s.options) + BONUS)
-        score = F.when(cond > 0, F.greatest(base, cond)).otherwise(F.lit(0.0))
-        rows.append(candidate(score, s.priority, i, s.format, s.id))
-    best = F.array_max(F.array(*rows))
-    return F.when(best["score"] >= THRESHOLD, best)
+    def of_spec(s: Spec, line: Column, pairs: Column) -> Column:
+        return let(spec_score(raw, s), lambda cond: F.when(cond > 0, F.greatest(
+            format_score(s.format, raw, s.options, line, pairs) + BONUS, cond)).otherwise(F.lit(0.0)))
+
+    def best(line: Column, pairs: Column) -> Column:
+        rows = [candidate(format_score(f, raw, None, line, pairs), p, i, f, None)
+                for i, (f, p) in enumerate(PRIORITY.items()) if f not in exclude]
+        rows += [candidate(of_spec(s, line, pairs), s.priority, i, s.format, s.id)
+                 for i, s in enumerate(specs, start=len(PRIORITY)) if s.format not in exclude]
+        return F.array_max(F.array(*rows))
+
+    seen = F.struct(strip(raw).alias("line"), kv_count(raw).alias("pairs"))
+    return let(let(seen, lambda x: best(x["line"], x["pairs"])), lambda b: F.when(b["score"] >= THRESHOLD, b))
 
 
 def select_parser(df: DataFrame, specs: tuple[Spec, ...] = (), col: str = "raw") -> DataFrame:
