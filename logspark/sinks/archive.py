@@ -15,6 +15,7 @@ from ..session import materialize
 from .files import archive_rows
 
 FAN = 256
+BROADCAST = 1 << 18  # nodes above the leaves, some 90 bytes each
 MANIFEST = "seal bigint, n bigint, root string, previous string, link string"
 _ROW = ("ts", "trace_id", "hash", "raw")
 
@@ -110,16 +111,38 @@ def verify(rows: DataFrame, tree: DataFrame, sealed: DataFrame) -> DataFrame:
 
 def proofs(rows: DataFrame, tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """For rows named by ``wanted`` (trace_id): their hash, and from below the groups of hashes that lead to the root:
-    (seal, no, trace_id, leaf, path array<struct<level, place, hashes>>)."""
+    (seal, no, trace_id, leaf, path array<struct<level, place, hashes>>).
+
+    A row meets its path in the last join, by the group it is in, so groups are moved and paths of rows are not.
+    """
+    tops = F.broadcast(tree.groupBy("seal").agg(F.max("level").alias("top")))
     named = rows.join(wanted.select("trace_id").distinct(), "trace_id").select("seal", "no", "trace_id", F.col("hash_of_row").alias("leaf"))
-    tops = tree.groupBy("seal").agg(F.max("level").alias("top"))
-    steps = named.join(tops, "seal").withColumn("level", F.explode(F.when(F.col("top") > 0, F.sequence(F.lit(0), F.col("top") - 1))))
-    at = F.floor(F.col("no") / F.pow(F.lit(float(FAN)), F.col("level"))).cast("bigint")
-    steps = steps.withColumn("at", at).withColumn("up", F.floor(F.col("at") / FAN))
-    groups = tree.groupBy("seal", "level", F.floor(F.col("no") / FAN).alias("up")).agg(F.array_sort(F.collect_list(F.struct("no", "hash"))).alias("c"))
-    found = steps.join(groups, ["seal", "level", "up"])
-    step = F.struct("level", (F.col("at") % FAN).cast("int").alias("place"), F.col("c.hash").alias("hashes"))
-    return found.groupBy("seal", "no", "trace_id", "leaf").agg(F.array_sort(F.collect_list(step)).alias("path"))
+    named = named.distinct().join(tops, "seal").filter("top > 0").drop("top").withColumn("up", F.floor(F.col("no") / FAN))
+
+    def groups(nodes: DataFrame, *keys: str) -> DataFrame:
+        sorted_group = F.array_sort(F.collect_list(F.struct("no", "hash")))["hash"]
+        return nodes.groupBy(*keys, F.floor(F.col("no") / FAN).alias("up")).agg(sorted_group.alias("hashes"))
+
+    # The steps above the leaves are the same for all leaves below one group of level 1.
+    leaves = tree.filter("level = 0")
+    above = leaves.select("seal", F.floor(F.col("no") / FAN / FAN).alias("over")).distinct().join(tops, "seal").filter("top > 1")
+    above = above.withColumn("level", F.explode(F.sequence(F.lit(1), F.col("top") - 1)))
+    above = above.withColumn("up", F.floor(F.col("over") / F.pow(F.lit(float(FAN)), F.col("level") - 1)))
+    high = groups(tree.filter("level > 0"), "seal", "level")
+    above = above.join(high, ["seal", "level", "up"]).groupBy("seal", "over").agg(
+        F.array_sort(F.collect_list(F.struct("level", "hashes"))).alias("above"))
+    if tree.filter("level > 0").count() <= BROADCAST:
+        above = F.broadcast(above)
+    low = groups(leaves, "seal").withColumn("over", F.floor(F.col("up") / FAN)).join(above, ["seal", "over"], "left").drop("over")
+
+    def step(level: Column, hashes: Column) -> Column:
+        at = F.floor(F.col("no") / F.pow(F.lit(float(FAN)), level)).cast("bigint")
+        return F.struct(level.alias("level"), (at % FAN).cast("int").alias("place"), hashes.alias("hashes"))
+
+    first = F.array(step(F.lit(0), F.col("hashes")))
+    later = F.transform("above", lambda s: step(s["level"], s["hashes"]))
+    path = F.when(F.col("hashes").isNull(), F.slice(first, 1, 0)).when(F.col("above").isNull(), first).otherwise(F.concat(first, later))
+    return named.hint("shuffle_hash").join(low, ["seal", "up"], "left").select("seal", "no", "trace_id", "leaf", path.alias("path"))
 
 
 def proved(proof: DataFrame, sealed: DataFrame) -> DataFrame:

@@ -110,3 +110,26 @@ def test_dear_views_are_dealt_out(spark, tmp_path):
     spark.range(1000).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value"),
                              F.timestamp_seconds("id").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert lookups.enr_classify_late(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_proofs_move_groups_not_paths(spark, monkeypatch, tmp_path):
+    """Proofs of a deep tree, some of them broken; no path of a row goes through a shuffle."""
+    monkeypatch.setattr(archive, "FAN", 3)
+    made = spark.range(50).select(
+        F.struct(F.timestamp_seconds("id").alias("ingest_time")).alias("ues"),
+        F.struct(F.concat(F.lit("t"), F.col("id").cast("string")).alias("trace_id"), F.lit("h").alias("raw_hash")).alias("trace"), F.lit("x").alias("raw"))
+    archive.append(made, str(tmp_path))
+    archive.append(made.limit(2), str(tmp_path))
+    rows, tree, sealed = archive.stored(spark, str(tmp_path))
+    assert [r.no for r in rows.filter("seal = 0").orderBy("trace_id").select("no").collect()] == list(range(50))
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(archive, "BROADCAST", most)
+        proof = archive.proofs(rows, tree, rows.select("trace_id"))
+        got = {(r.seal, r.no): r for r in archive.proved(proof, sealed).collect()}
+        assert len(got) == 52 and all(r.ok for r in got.values())
+        assert {s: {len(r.path) for r in got.values() if r.seal == s} for s in (0, 1)} == {0: {4}, 1: {1}}
+        assert [(p.level, p.place) for p in got[0, 47].path] == [(0, 2), (1, 0), (2, 2), (3, 1)]
+        gone = archive.proofs(rows, tree.filter("NOT (seal = 0 AND level = 0 AND no < 3)"), rows.select("trace_id"))
+        assert sorted((r.seal, r.no) for r in archive.proved(gone, sealed).filter("NOT ok").collect()) == [(0, 0), (0, 1), (0, 2)]
+    plan = proof._sc._jvm.PythonSQLUtils.explainString(proof._jdf.queryExecution(), "simple")
+    assert "place" not in "".join(x for x in plan.splitlines() if "Aggregate" in x) and "ShuffledHashJoin" in plan
