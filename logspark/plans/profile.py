@@ -8,21 +8,34 @@ from ..functions.base import lookup
 from ..functions.convert import guess_type
 from ..functions.tables import ALIASES, INFERENCE
 from ..functions.timestamps import parse_ts
+from ..operators import attributes as A
 from ..operators.detect import detect_format
 from ..operators.select import choose, extract_with, parse_chain
 from ..operators.specs import Spec, spec_score
 from .queries import top_k
 
 
+def _format() -> Column:
+    return detect_format("raw")["format"]
+
+
+def _parser() -> Column:
+    return F.coalesce("spec", "parser")
+
+
+def _timed(year: int | None) -> Column:
+    return parse_ts(F.col("parsed.event_time_raw"), year).isNotNull()
+
+
 def profile_formats(df: DataFrame) -> DataFrame:
     """Lines per detected format, most frequent first (agg_profile_formats)."""
-    return (df.groupBy(detect_format("raw")["format"].alias("format")).agg(F.count(F.lit(1)).alias("n"))
+    return (df.groupBy(_format().alias("format")).agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.col("n").desc(), "format"))
 
 
 def profile_parsers(parsed: DataFrame) -> DataFrame:
     """Lines per selected parser or spec (agg_profile_parsers)."""
-    return (parsed.groupBy(F.coalesce("spec", "parser").alias("parser")).agg(F.count(F.lit(1)).alias("n"))
+    return (parsed.groupBy(_parser().alias("parser")).agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.col("n").desc(), "parser"))
 
 
@@ -41,24 +54,28 @@ def profile_fields(parsed: DataFrame, top: int | None = None) -> DataFrame:
 
 def ts_coverage(parsed: DataFrame, year: int | None = None) -> DataFrame:
     """Lines whose time could be parsed, of all (agg_ts_coverage)."""
-    ok = parse_ts(F.col("parsed.event_time_raw"), year).isNotNull()
-    return parsed.agg(F.count_if(ok).alias("timestamps"), F.count(F.lit(1)).alias("total"))
+    return parsed.agg(F.count_if(_timed(year)).alias("timestamps"), F.count(F.lit(1)).alias("total"))
 
 
 def inspect(df: DataFrame, specs: tuple[Spec, ...] = (), year: int | None = None) -> DataFrame:
-    """The whole profile as (section, item, n) rows (onb_inspect)."""
-    parsed = parse_chain(df, specs)
-    cov = ts_coverage(parsed, year)
-
-    def rows(d: DataFrame, section: str, item: str) -> DataFrame:
-        return d.select(F.lit(section).alias("section"), F.col(item).alias("item"), F.col("n"))
-
-    return (rows(profile_formats(df), "format", "format")
-            .unionByName(rows(profile_parsers(parsed), "parser", "parser"))
-            .unionByName(rows(profile_fields(parsed), "field", "key"))
-            .unionByName(cov.select(F.explode(F.array(*[
-                F.struct(F.lit("time").alias("section"), F.lit(n).alias("item"), F.col(n).alias("n"))
-                for n in cov.columns])).alias("x")).select("x.*")))
+    """The whole profile as (section, item, n) rows (onb_inspect); a line is parsed once for all its sections."""
+    judged = parse_chain(df, specs).select(
+        _format().alias("format"), _parser().alias("parser"), _timed(year).alias("timed"),
+        F.coalesce(F.filter("parsed.attrs", lambda a: a["key"].isNotNull()), A.empty_bag()).alias("attrs"))
+
+    def entry(section: str, item: Column | str, n: Column | int = 1) -> Column:
+        item, n = (F.lit(x) if isinstance(x, (str, int)) else x for x in (item, n))
+        return F.struct(F.lit(section).alias("section"), item.alias("item"), n.cast("bigint").alias("n"))
+
+    timed = F.col("timed").cast("int")
+    found = F.concat(
+        F.array(entry("format", F.col("format")), entry("parser", F.col("parser")),
+                entry("time", "timestamps", timed), entry("time", "total")),
+        F.transform("attrs", lambda a: entry("field", a["key"])))
+    # Without lines the times are still there, as zeros.
+    none = df.sparkSession.range(1).select(F.array(entry("time", "timestamps", 0), entry("time", "total", 0)).alias("found"))
+    return (judged.select(found.alias("found")).unionByName(none).select(F.explode_outer("found").alias("x")).select("x.*")
+            .groupBy("section", "item").agg(F.sum("n").alias("n")))
 
 
 # --- onboarding ------------------------------------------------------------------------------

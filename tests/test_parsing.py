@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from logspark.operators.extract import EXTRACTORS
 from logspark.operators.normalize import normalize_logs
 from logspark.operators.specs import Spec, as_specs
+from logspark.plans.profile import inspect
 
 import pytest
 
@@ -85,3 +86,20 @@ def test_duplicate_spec_ids_are_refused():
     with pytest.raises(ValueError):
         as_specs([{"id": "a"}, {"id": "a"}])
     assert Spec.of({"id": "a", "taxonomy": {"type": {"value": "x"}}}).lint()
+
+
+def test_inspect_parses_a_line_once(spark):
+    lines = ["a=1 b=2 a=3", "free text", None, '{"time": "2024-01-01T00:00:00Z", "k": 1}', "<34>Oct 11 22:14:15 h1 su[3]: user=bob src=10.0.0.1"]
+    df = spark.createDataFrame([(x,) for x in lines], "raw string")
+    profile = inspect(df, (), 2024)
+    # The lines are read by one branch; the other row holds the zeros of an empty table.
+    plan = profile._sc._jvm.PythonSQLUtils.explainString(profile._jdf.queryExecution(), "simple")
+    assert sum("ExistingRDD" in x for x in plan.splitlines()) == 1
+    got = {(r.section, r.item): r.n for r in profile.collect()}
+    assert {k: n for k, n in got.items() if k[0] in ("format", "time")} == {
+        ("format", "kv"): 1, ("format", "text"): 1, ("format", "empty"): 1, ("format", "json"): 1, ("format", "syslog"): 1,
+        ("time", "timestamps"): 2, ("time", "total"): 5}
+    assert sum(n for k, n in got.items() if k[0] == "parser") == 5
+    assert {k[1]: n for k, n in got.items() if k[0] == "field"} == {
+        x: 1 for x in ("a", "b", "time", "k", "syslog.tag", "syslog.pid", "user", "src")}
+    assert sorted((r.section, r.item, r.n) for r in inspect(df.limit(0), (), 2024).collect()) == [("time", "timestamps", 0), ("time", "total", 0)]
