@@ -125,7 +125,9 @@ def parse_chain(df: DataFrame, specs: tuple[Spec, ...] = (), col: str = "raw") -
     key = (col, repr(specs))
     df = df.withColumn("_outer", built(("outer", *key), lambda: extract_with(
         F.col(col), F.col("parser"), F.col("pick.spec"), specs)))
-    body = F.col("_outer.sub_raw")
+    # Only the syslog envelope has a body. It is taken without the extraction of the other formats, so that a query which
+    # reads no field of theirs has no need of it.
+    body = built(("body", col), lambda: F.when(F.col("parser") == "syslog", EXTRACTORS["syslog"](F.col(col))["sub_raw"]))
     df = df.withColumn("_sub", F.when(strip(body) != "", body))
     df = df.withColumn("_pick2", built(("pick2", *key), lambda: F.when(
         F.col("_sub").isNotNull(), choose(F.col("_sub"), specs, ("syslog",)))))

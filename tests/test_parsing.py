@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from logspark.operators.extract import EXTRACTORS
 from logspark.operators.normalize import normalize_logs
+from logspark.operators.select import parse_chain
 from logspark.operators.specs import Spec, as_specs
-from logspark.plans.profile import inspect
+from logspark.plans.profile import inspect, profile_parsers
 
 import pytest
 
@@ -103,3 +104,13 @@ def test_inspect_parses_a_line_once(spark):
     assert {k[1]: n for k, n in got.items() if k[0] == "field"} == {
         x: 1 for x in ("a", "b", "time", "k", "syslog.tag", "syslog.pid", "user", "src")}
     assert sorted((r.section, r.item, r.n) for r in inspect(df.limit(0), (), 2024).collect()) == [("time", "timestamps", 0), ("time", "total", 0)]
+
+
+def test_parser_counts_need_no_extraction_of_other_formats(spark):
+    lines = ["<a><b>1</b></a>", '{"k": 1}', "<34>Oct 11 22:14:15 h1 su[3]: user=bob src=10.0.0.1", "<34>Oct 11 22:14:15 h1 su[3]: ", None]
+    parsed = parse_chain(spark.createDataFrame([(x,) for x in lines], "raw string"), as_specs([{"id": "s", "format": "syslog", "match": {"any": [{"contains": "su[3]"}]}}]))
+    counts = profile_parsers(parsed)
+    plan = counts._sc._jvm.PythonSQLUtils.explainString(counts._jdf.queryExecution(), "extended").partition("== Optimized")[2]
+    assert plan and "_outer" not in plan
+    assert {r.parser: r.n for r in counts.collect()} == {"xml": 1, "json": 1, "s": 2, "plain": 1}
+    assert [(r.parsed.sub_raw, r.parser_chain) for r in parsed.collect() if r.spec == "s"][0] == ("user=bob src=10.0.0.1", ["kv"])
