@@ -78,10 +78,21 @@ def to_leaf(target: str, value: Column) -> Column:
     return value.try_cast(leaf_type(target))
 
 
+# Stages of a spec: texts, their conversions, then two for each derived rule.
+GIVEN, DONE, RULES = 0, 1, 2
+
+
 @dataclass
 class Compiled:
-    """What one spec contributes: field values, lineage records, warnings."""
+    """What one spec contributes: field values, lineage records, warnings.
+
+    Values are used many times, by fields, lineage, warnings and later rules. So each is a field of a column of its
+    stage, made once from columns of earlier stages.
+    """
 
+    number: int
+    spec: str
+    stages: dict[int, list[Column]] = field(default_factory=dict)
     values: dict[str, Column] = field(default_factory=dict)
     lineage: list[Column] = field(default_factory=list)
     warnings: list[Column] = field(default_factory=list)
@@ -90,6 +101,16 @@ class Compiled:
         old = self.values.get(target)
         self.values[target] = value if old is None else F.coalesce(value, old)
 
+    def bind(self, stage: int, value: Column) -> Column:
+        held = self.stages.setdefault(stage, [])
+        held.append(value)
+        return F.col(f"_stage{stage}_{self.number}").getField(f"v{len(held) - 1}")
+
+    def columns(self, stage: int) -> dict[str, Column]:
+        """The column of a stage; NULL for lines of other specs."""
+        held = [v.alias(f"v{i}") for i, v in enumerate(self.stages.get(stage, []))]
+        return {f"_stage{stage}_{self.number}": F.when(F.col("spec") == self.spec, F.struct(*held))} if held else {}
+
 
 def record(target: str, value: Column, source: Column | str, original: Column, method: str,
            confidence: float, rule: Column | str | None = None) -> Column:
@@ -126,12 +147,13 @@ def apply_mapping(out: Compiled, spec: Spec, year) -> None:
         else:
             value = A.get(F.col("_low"), str(src or ""))
             origin, original = str(src or "template"), value
-        given = present(value)
+        given = out.bind(GIVEN, present(value))
+        original = given if original is value else original
         ctype = m.get("type")
         done = convert(given, ctype, m.get("map"), year)
         if m.get("map") and ctype not in TYPE_OF:
             done = value_map(done, m["map"])
-        done = to_leaf(target, done)
+        done = out.bind(DONE, to_leaf(target, done))
         out.put(target, done)
         out.lineage.append(record(target, done, origin, original,
                                   m.get("method", "parser-field mapping"), m.get("confidence", 1.0)))
@@ -146,8 +168,8 @@ def apply_taxonomy(out: Compiled, spec: Spec) -> None:
         src = (t or {}).get("src")
         if not src:
             continue
-        given = present(A.get(F.col("_low"), str(src)))
-        done = to_leaf(target, value_map(given, t["map"]) if t.get("map") else given)
+        given = out.bind(GIVEN, present(A.get(F.col("_low"), str(src))))
+        done = out.bind(DONE, to_leaf(target, value_map(given, t["map"]) if t.get("map") else given))
         out.put(target, done)
         out.lineage.append(record(target, done, str(src), given, "taxonomy mapping",
                                   t.get("confidence", 1.0)))
@@ -158,14 +180,14 @@ def apply_severity(out: Compiled, spec: Spec) -> None:
     sev = spec.severity
     if not sev.get("src"):
         return
-    given = A.get(F.col("_low"), str(sev["src"]))
+    given = out.bind(GIVEN, A.get(F.col("_low"), str(sev["src"])))
     value = given
     if sev.get("map"):
         table = {str(k): str(v) for k, v in sev["map"].items()}
         other = F.lit(str(sev["default"])) if "default" in sev else given
         value = F.when(given.isNotNull(), F.coalesce(
             F.try_element_at(lit_map(table), given), F.try_element_at(lit_map(table), F.lower(given)), other))
-    canon = severity_ues(value)
+    canon = out.bind(DONE, severity_ues(value))
     out.put("severity_label", canon["label"])
     out.put("severity", F.when(canon["label"].isNotNull(), canon["number"]))
 
@@ -173,7 +195,7 @@ def apply_severity(out: Compiled, spec: Spec) -> None:
 def apply_derived(out: Compiled, spec: Spec, year) -> None:
     """nrm_derived: every rule that matches sets constants or captured groups; a later rule sees
     what an earlier one wrote."""
-    for rule in spec.derived:
+    for i, rule in enumerate(spec.derived):
         if not rule.get("when"):
             continue
         pattern, names = _java(str(rule["when"]))
@@ -184,7 +206,7 @@ def apply_derived(out: Compiled, spec: Spec, year) -> None:
             text = as_text(out.values.get(src, F.lit(None).cast(leaf_type(src))), leaf_type(src))
             if src == "message":
                 text = F.coalesce(present(text), F.col("raw"))
-        text = F.coalesce(text, F.lit(""))
+        text = out.bind(RULES + 2 * i, F.coalesce(text, F.lit("")))
         hit = text.rlike(pattern)
         for target, sv in (rule.get("set") or {}).items():
             opts = sv if isinstance(sv, dict) else {"const": sv}
@@ -196,7 +218,8 @@ def apply_derived(out: Compiled, spec: Spec, year) -> None:
                 if opts.get("const") is None:
                     continue
                 value = F.lit(str(opts["const"]))
-            done = F.when(hit, to_leaf(target, convert(value, opts.get("type"), opts.get("map"), year)))
+            done = out.bind(RULES + 2 * i + 1, F.when(hit, to_leaf(
+                target, convert(value, opts.get("type"), opts.get("map"), year))))
             out.put(target, done)
             out.lineage.append(record(target, done, str(src), text, "derived regex",
                                       rule.get("confidence", 1.0)))
@@ -209,8 +232,8 @@ def apply_constants(out: Compiled, spec: Spec) -> None:
             out.put(target, to_leaf(target, F.lit(str(value))))
 
 
-def compile_spec(spec: Spec, year) -> Compiled:
-    out = Compiled()
+def compile_spec(spec: Spec, year, number: int = 0) -> Compiled:
+    out = Compiled(number, spec.id)
     apply_mapping(out, spec, year)
     apply_taxonomy(out, spec)
     apply_severity(out, spec)
@@ -225,12 +248,14 @@ def _field(target: str) -> str:
 
 def by_spec(df: DataFrame, specs: tuple[Spec, ...], year) -> tuple[DataFrame, list[str]]:
     """Adds ``_m`` (values), ``_spec_lineage`` and ``_spec_warnings`` of the effective spec."""
-    cols, targets = built(("by_spec", repr(specs), year), lambda: _by_spec(specs, year))
-    return df.withColumns(cols), targets
+    stages, targets = built(("by_spec", repr(specs), year), lambda: _by_spec(specs, year))
+    for cols in stages:
+        df = df.withColumns(cols)
+    return df, targets
 
 
-def _by_spec(specs: tuple[Spec, ...], year) -> tuple[dict[str, Column], list[str]]:
-    compiled = {s.id: compile_spec(s, year) for s in specs}
+def _by_spec(specs: tuple[Spec, ...], year) -> tuple[list[dict[str, Column]], list[str]]:
+    compiled = {s.id: compile_spec(s, year, i) for i, s in enumerate(specs)}
     targets = sorted({t for x in compiled.values() for t in x.values})
 
     def pick(branches: dict[str, Column], dtype) -> Column:
@@ -248,7 +273,9 @@ def _by_spec(specs: tuple[Spec, ...], year) -> tuple[dict[str, Column], list[str
                      for sid, x in compiled.items() if x.warnings}, "array<string>")
     cols = {"_m": F.struct(*values) if values else F.struct(F.lit(None).alias("none")),
             "_spec_lineage": lineage, "_spec_warnings": warnings}
-    return cols, targets
+    numbers = sorted({n for x in compiled.values() for n in x.stages})
+    stages = [{k: v for x in compiled.values() for k, v in x.columns(n).items()} for n in numbers]
+    return [*stages, cols], targets
 
 
 # --- inference -------------------------------------------------------------------------------
@@ -283,12 +310,16 @@ def _inferred_text(target: Column, value: Column, year) -> Column:
     return out
 
 
-def infer_candidates(low_bag: Column, year) -> Column:
-    """array<struct<target, key, value, conv>>: the first attribute of each target that converts."""
-    known = F.filter(
+def known_attributes(low_bag: Column) -> Column:
+    """array<struct<target, key, value>>: the attributes that can fill a target, in order."""
+    return F.filter(
         F.transform(low_bag, lambda p: F.struct(
             _target_of(p["key"]).alias("target"), p["key"].alias("key"), p["value"].alias("value"))),
         lambda p: p["target"].isNotNull() & ~F.coalesce(p["value"], F.lit("")).isin("", "-"))
+
+
+def infer_candidates(known: Column, year) -> Column:
+    """array<struct<target, key, value, conv>>: the first known attribute of each target that converts."""
     typed = F.filter(
         F.transform(known, lambda p: p.withField("conv", _inferred_text(p["target"], p["value"], year))),
         lambda p: F.coalesce(p["conv"], F.lit("")) != "")
@@ -303,7 +334,7 @@ def infer_candidates(low_bag: Column, year) -> Column:
 def infer_fields(df: DataFrame, col: str = "parsed", year=None) -> DataFrame:
     """Adds ``inferred``: target -> value as text (nrm_infer)."""
     low = A.dedup(A.lowered(F.col(col)["attrs"]))
-    df = df.withColumn("_cand", infer_candidates(low, year))
+    df = df.withColumn("_cand", infer_candidates(known_attributes(low), year))
     return df.withColumn("inferred", F.map_from_entries(F.transform(
         F.col("_cand"), lambda p: F.struct(p["target"], p["conv"])))).drop("_cand")
 
@@ -359,12 +390,14 @@ def normalize_parsed(df: DataFrame, specs: tuple[Spec, ...] = (), pipeline_id: s
     for target in [*INFER_TARGETS, *spec_targets]:
         pre.setdefault(target, m(target))
     df = df.withColumn("_pre", F.struct(*[v.alias(_field(t)) for t, v in pre.items()]))
-    df = df.withColumn("_cand", built(("infer", year), lambda: infer_candidates(F.col("_low_bag"), year)))
+    df = df.withColumn("_known", built(("known",), lambda: known_attributes(F.col("_low_bag"))))
     taken = F.array_compact(F.array(*[
         F.when(F.col("_pre").getField(_field(t)).isNotNull(), F.lit(t)) for t in INFER_TARGETS]))
-    # Bound here: as a column it would be moved into the test and made again for each candidate.
-    df = df.withColumn("_cand", let(taken, lambda names: F.filter(
-        F.col("_cand"), lambda p: ~F.array_contains(names, p["target"]))))
+    # What the spec or the envelope has filled needs no conversion of its attributes. The names are bound here: as a column
+    # they would be moved into the test and made again for each attribute.
+    df = df.withColumn("_known", let(taken, lambda names: F.filter(
+        F.col("_known"), lambda p: ~F.array_contains(names, p["target"]))))
+    df = df.withColumn("_cand", built(("infer", year), lambda: infer_candidates(F.col("_known"), year)))
     df = df.withColumn("_inf", F.map_from_entries(F.transform(
         F.col("_cand"), lambda p: F.struct(p["target"], p["conv"]))))
 
