@@ -146,8 +146,9 @@ def spec_coverage(df: DataFrame, specs: tuple[Spec, ...]) -> DataFrame:
     """Per spec: lines it matches, wins and extracts something from, and its mean score
     (onb_spec_coverage)."""
     pick = choose(F.col("raw"), specs)
-    judged = df.select("raw", pick.alias("pick")).withColumn("out", extract_with(
-        F.col("raw"), F.col("pick.parser"), F.col("pick.spec"), specs))
+    # What a built-in parser would find in a line that no spec has won is counted nowhere.
+    judged = df.select("raw", pick.alias("pick")).withColumn("out", F.when(F.col("pick.spec").isNotNull(), extract_with(
+        F.col("raw"), F.col("pick.parser"), F.col("pick.spec"), specs)))
     per = [F.struct(
         F.lit(s.id).alias("spec"), (spec_score(F.col("raw"), s) > 0).alias("matched"),
         F.coalesce(F.col("pick.spec") == s.id, F.lit(False)).alias("won"),
