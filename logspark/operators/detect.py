@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.base import c, strip
+from ..functions.base import c, let, strip
 
 # --- fixed values: line shapes ---------------------------------------------------------------
 CEF_HEAD = r"^CEF:\d+\|"
@@ -25,7 +25,7 @@ def is_xml(line: Column) -> Column:
     priority need not be read as XML."""
     parsed = F.from_xml(line, "_corrupt_record string, x string", {"mode": "PERMISSIVE"})
     return F.when(line.rlike(r"(?U)^<(?![0-9])[\w?!]"),
-                  parsed.isNotNull() & parsed["_corrupt_record"].isNull()).otherwise(F.lit(False))
+                  let(parsed, lambda x: x.isNotNull() & x["_corrupt_record"].isNull())).otherwise(F.lit(False))
 
 
 def csv_width(row: Column, delimiter: str = ",") -> Column:

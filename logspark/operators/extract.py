@@ -419,7 +419,8 @@ def xml_bag(raw: Column) -> Column:
     """
     tokens = F.transform(F.filter(
         F.regexp_extract_all(raw, F.lit(_TOKEN), F.lit(0)),
-        lambda t: ~t.startswith("<?") & (~t.startswith("<!") | t.startswith("<![CDATA")) & (strip(t) != "")), _token)
+        lambda t: F.when(t.startswith("<"), ~t.startswith("<?") & (~t.startswith("<!") | t.startswith("<![CDATA")))
+        .otherwise(strip(t) != "")), _token)
 
     def dotted(path: Column) -> Column:
         below = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
