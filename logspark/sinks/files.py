@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.timestamps import iso_ms
+from ..session import new_dir, remove
 
 EVENT = ("ues", "meta", "trace", "raw")
 
@@ -118,10 +119,14 @@ def write_noop(df: DataFrame) -> None:
 
 def fan_out(batch: DataFrame, batch_id: int, sinks: dict[str, Callable[[DataFrame, int], None]]) -> dict:
     """The batch to every sink; a sink that fails is counted and does not stop the others
-    (snk_fanout)."""
-    counts = {}
-    batch.persist()
+    (snk_fanout).
+
+    One sink gets the batch as it is. Several read it from the shared folder, where it stays until all are done: computed
+    once, and not kept in executors' memory, which a batch of events exceeds.
+    """
+    counts, path = {}, new_dir(batch.sparkSession, "fan-out") if len(sinks) > 1 else None
     try:
+        batch = batch if path is None else _stored(batch, path)
         for name, sink in sinks.items():
             try:
                 sink(batch, batch_id)
@@ -129,10 +134,19 @@ def fan_out(batch: DataFrame, batch_id: int, sinks: dict[str, Callable[[DataFram
             except Exception as error:  # the other sinks must still get the batch
                 counts[name] = f"failed: {type(error).__name__}: {error}"
     finally:
-        batch.unpersist()
+        if path is not None:
+            remove(batch.sparkSession, path)
     return counts
 
 
+def _stored(batch: DataFrame, path: str) -> DataFrame:
+    try:
+        batch.write.parquet(path)
+    except Exception:  # rows that fail, or a type that Parquet lacks: each sink meets it by itself and is counted
+        return batch
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(
         "ts string, trace_id string, hash string, raw string, dt date, slot int").json(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logspark.catalog import ORACLES, QUERIES, streams
 from logspark.operators.normalize import with_integrity, with_source_columns
+from logspark.sinks.files import fan_out
 from logspark.sources import growing, lines as L
 from logspark.streaming import late
 from tests.oracle import compare, duck
@@ -133,3 +134,29 @@ def test_more_lines_are_more_files(spark, monkeypatch, tmp_path):
     path, each = streams._line_files(spark, str(tmp_path))
     assert each == 4 and spark.read.text(path).select("_metadata.file_path").distinct().count() == 16
     assert streams.str_backpressure(spark, str(tmp_path)).count() == 400
+
+
+def test_batches_are_not_kept_in_memory(spark):
+    """One sink gets the batch as it is; several read one stored result, which goes when they are done. Nothing is cached."""
+    got, folders = {}, set()
+
+    def sink(name):
+        def take(df, i):
+            if name == "bad":
+                raise OSError("not now")
+            assert not df.storageLevel.useMemory and not df.storageLevel.useDisk
+            folders.update(os.path.dirname(f.removeprefix("file:")) for f in df.inputFiles())
+            got[name] = sorted(map(tuple, df.collect()))
+        return take
+
+    batch = spark.range(50).select("id", F.when(F.col("id") % 2 == 0, F.array(F.struct(F.lit("x").alias("k"), F.lit(None).cast("int").alias("v")))).alias("l"), F.expr("uuid()").alias("u"))
+    assert fan_out(batch, 0, {"a": sink("a")}) == {"a": "ok"} and not folders
+    said = fan_out(batch, 0, {n: sink(n) for n in ("b", "bad", "c")})
+    assert said == {"b": "ok", "bad": "failed: OSError: not now", "c": "ok"}
+    assert got["b"] == got["c"] and [r[:2] for r in got["a"]] == [r[:2] for r in got["b"]] and len(got["b"]) == 50
+    assert len(folders) == 1 and not os.path.exists(folders.pop())
+    # Rows that fail are counted for each sink that reads them; a type that Parquet lacks reaches all.
+    said = fan_out(spark.range(5).select(F.raise_error(F.lit("broken row")).cast("int").alias("x")), 0, {n: sink(n) for n in ("d", "e", "bad")})
+    assert "broken row" in said["d"] and "broken row" in said["e"] and said["bad"] == "failed: OSError: not now"
+    assert fan_out(spark.range(2).withColumn("n", F.lit(None)), 0, {n: sink(n) for n in ("f", "g")}) == {"f": "ok", "g": "ok"}
+    assert got["f"] == got["g"] == [(0, None), (1, None)]
