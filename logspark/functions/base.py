@@ -83,6 +83,18 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return any_of(text.contains(w) for w in words)
 
 
+def says_any(text: Column, low: Column, words: Iterable[str]) -> Column:
+    """Whether a text has one of the words, whole and in any case; ``low`` is the text in lower case.
+
+    A pattern that begins with plain text is searched by leaps, which one of many words is not, so each word has a pattern of
+    its own. Other alphabets' letters matter only where there are any.
+    """
+    words = list(words)
+    own = any_of(low.rlike(rf"{w}(?<=\b{w})\b") for w in words)
+    return F.when(F.octet_length(text) == F.char_length(text), own).otherwise(
+        text.rlike(rf"(?iU)\b({'|'.join(words)})\b"))
+
+
 def group(col: Column, pattern: str, n: int = 1) -> Column:
     """Capture group, NULL when it is empty or nothing matched."""
     return present(F.regexp_extract(col, pattern, n))

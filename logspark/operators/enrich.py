@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
-from ..functions.base import let, lookup, present, strip
+from ..functions.base import let, lookup, present, says_any, strip
 from ..functions.convert import classifier_action, url_host
 from ..functions.ip import ip_canonical, ip_internal, ip_v4_num, ip_v6_hex
 from ..functions.severity import severity_ues
@@ -355,13 +355,17 @@ def classify_text(col: Column | str) -> Column:
 
 def enr_classify(events: DataFrame) -> DataFrame:
     """Action synonym, outcome, category and type where they are missing."""
-    text = F.concat_ws(" ", present(F.col("ues.message")), present(F.col("raw")))
+    message, raw = present(F.col("ues.message")), present(F.col("raw"))
+    # A plain line is its own message. It is not read twice then: of the second one only its first words, which may go on
+    # with what the first one ended with (no phrase has more than two words after one of its blanks).
+    raw = F.when(message == raw, F.substring_index(raw, " ", 3)).otherwise(raw)
     # The text is bound in a projection of its own so that the word tests share it.
-    events = events.withColumn("_text", text)
-    t = F.col("_text")
+    events = events.withColumn("_text", F.concat_ws(" ", message, raw))
+    events = events.withColumn("_low", F.when(present(F.col("ues.outcome")).isNull(), F.lower("_text")))
+    t, low = F.col("_text"), F.col("_low")
     act = F.when(present(F.col("ues.action")).isNotNull(), classifier_action("ues.action"))
     outcome = F.coalesce(present(F.col("ues.outcome")),
-                         F.when(t.rlike(FAILURE_WORDS), "failure").when(t.rlike(SUCCESS_WORDS), "success"))
+                         F.when(says_any(t, low, FAILURE_WORDS), "failure").when(says_any(t, low, SUCCESS_WORDS), "success"))
     web = F.coalesce(present(F.col("ues.http.url")), present(F.col("ues.http.method"))).isNotNull()
     address = F.coalesce(present(F.col("ues.source.ip")), present(F.col("ues.destination.ip"))).isNotNull()
     category = F.coalesce(
@@ -374,7 +378,7 @@ def enr_classify(events: DataFrame) -> DataFrame:
                  F.when(F.col("_outcome") == "success", "allow").otherwise("deny")).otherwise(F.col("_act"))
     ues = (F.col("ues").withField("action", act).withField("outcome", F.col("_outcome"))
            .withField("category", F.col("_category")).withField("type", kind))
-    return events.withColumn("ues", ues).drop("_text", "_act", "_outcome", "_category")
+    return events.withColumn("ues", ues).drop("_text", "_low", "_act", "_outcome", "_category")
 
 
 def enr_severity(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from logspark.functions.tables import FAILURE_WORDS, SUCCESS_WORDS
 from logspark.catalog import ORACLES, QUERIES, lookups
 from logspark.catalog.base import event_view
 from logspark.operators import enrich as E
@@ -133,3 +134,22 @@ def test_proofs_move_groups_not_paths(spark, monkeypatch, tmp_path):
         assert sorted((r.seal, r.no) for r in archive.proved(gone, sealed).filter("NOT ok").collect()) == [(0, 0), (0, 1), (0, 2)]
     plan = proof._sc._jvm.PythonSQLUtils.explainString(proof._jdf.queryExecution(), "simple")
     assert "place" not in "".join(x for x in plan.splitlines() if "Aggregate" in x) and "ShuffledHashJoin" in plan
+
+
+def test_whole_words_as_one_pattern_would_find_them(spark):
+    """Words searched one by one, and a message that is its own line read once, give what one pattern over both texts gives."""
+    words = [*FAILURE_WORDS, *SUCCESS_WORDS]
+    texts = [t for w in words for t in (w, w.upper(), f"x{w}", f"{w}s", f"_{w}", f"{w}1 {w}", f"-{w}.", f"a {w.title()}\nb", f"é {w}", f"é{w}", f"{w}é", f"nothing {w[:-1]}")]
+    texts += ["ſuccess", "blocKed", "faİled", "faıled", "K refused", "by peer, connection reset", "user x is invalid", "out at last: timed", "reset", "peer reset by", "by peer reset",
+              "credentials: bad", " user invalid", "users invalid", "by peers reset", "credentials\tare\tbad", "user\tinvalid", "out of memory", "control\tof command and", "of memory, out", "and control command", "password x failed", "", " "]
+    rows = [(t, raw) for t in texts for raw in (t, f"{t} dropped", "error", None, "")] + [(None, t) for t in texts]
+    e = spark.createDataFrame(rows, "m string, raw string").select(F.struct(
+        F.col("m").alias("message"), *[F.lit(None).cast("string").alias(n) for n in ("action", "outcome", "category", "type")], F.struct(F.lit(None).cast("string").alias("ip")).alias("source"),
+        F.struct(F.lit(None).cast("string").alias("ip")).alias("destination"), F.struct(*[F.lit(None).cast("string").alias(n) for n in ("url", "method")]).alias("http"),
+        F.struct(F.lit(None).cast("string").alias("query")).alias("dns")).alias("ues"), "raw")
+    whole = F.concat_ws(" ", F.when(F.col("ues.message") != "", F.col("ues.message")), F.when(F.col("raw") != "", F.col("raw")))
+    said = [whole.rlike(rf"(?iU)\b({'|'.join(w)})\b") for w in (FAILURE_WORDS, SUCCESS_WORDS)]
+    want = F.when(said[0], "failure").when(said[1], "success")
+    got = E.enr_classify(e.withColumns({"want": want, "kind": F.coalesce(E.category_of(whole), F.lit("system"))})).select("ues.message", "raw", "ues.outcome", "want", "ues.category", "kind")
+    assert [r for r in got.collect() if r.outcome != r.want or r.category != r.kind] == []
+    assert {r.outcome for r in got.collect()} == {"failure", "success", None}
