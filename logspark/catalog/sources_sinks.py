@@ -47,7 +47,7 @@ def src_line_ids(spark, sf):
         return with_integrity(with_source_columns(L.read_lines(spark, path))).select("trace_id", F.lit(read).alias("read"))
 
     first = materialize(ids(1), "ids")
-    lines.repartition(3).write.mode("append").text(path)
+    lines.write.mode("append").text(path)
     splits = {"spark.sql.files.maxPartitionBytes": "50k", "spark.sql.files.openCostInBytes": "1k"}
     before = {name: spark.conf.get(name) for name in splits}
     try:

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.base import strip
 
+#: A task reads so many bytes at least, where splits are smaller; opening a file counts as so many.
+TASK_BYTES, OPEN_BYTES = 32 << 20, 4 << 20
+
+#: Starts of splits are broadcast up to this number (100 MB, about).
+SPLITS = 600_000
+
 
 def _with_file(df: DataFrame) -> DataFrame:
     """Non-blank lines with their file and the split of it that they were read from."""
@@ -34,14 +40,45 @@ def _before_in_file(df: DataFrame, size: Column, file: str, block: str, order: s
             .withColumn("_before", start + F.col("_within")).drop("_within", "_start"))
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def _pinned(df: DataFrame) -> DataFrame:
+    """The rows over the partitions that the plan has now, so that all uses read the same lines in the same tasks."""
+    spark, rows = df.sparkSession, df._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
+
+
+def _partitions(df: DataFrame) -> int:
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
+def _fewer_tasks(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, int]:
+    """Lines read by tasks of ``TASK_BYTES`` or more, however small their splits are, and how many splits there are at most."""
+    size, n = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), len(files.inputFiles())
+    tasks = max((size + n * OPEN_BYTES) // TASK_BYTES + 1, 4 * files.sparkSession.sparkContext.defaultParallelism)
+    parts = _partitions(lines)
+    return (lines.coalesce(tasks) if parts > tasks else lines), parts + n
+
+
+def numbered(df: DataFrame, splits: int | None = None) -> DataFrame:
     """Adds line_no, a line's place among its file's non-blank lines, from 0; needs its file and split.
 
-    The number depends on the file only, not on splits, their packing or other files, so every read repeats it.
+    The number depends on the file only, not on splits, their packing or other files, so every read repeats it. Lines stay
+    where they are read: a split's lines have running row ids in their task, so its first id and its start in the file give
+    each its number. Splits are counted by a read of their own, over the same partitions; an id out of its split's range is
+    an error. The starts are broadcast unless there may be more than ``SPLITS``.
     """
+    spark, df = df.sparkSession, _pinned(df)
+    if splits is None:  # a partition has as many splits at most as files of no length
+        bytes_of = spark._jsparkSession.sessionState().conf()
+        splits = _partitions(df) * (bytes_of.filesMaxPartitionBytes() // max(bytes_of.filesOpenCostInBytes(), 1) + 1)
     rows = df.withColumn("_row", F.monotonically_increasing_id())
-    return (_before_in_file(rows, F.lit(1), "address", "block", "_row").withColumn("line_no", F.col("_before").cast("bigint"))
-            .drop("_before", "_row", "block"))
+    earlier = Window.partitionBy("address").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.groupBy("address", "block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+              .withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))))
+    place = F.col("_row") - F.col("_first")
+    changed = F.raise_error(F.lit("the splits of the files changed while they were read")).cast("bigint")
+    return (rows.join(F.broadcast(starts) if splits <= SPLITS else starts, ["address", "block"], "left")
+            .withColumn("line_no", F.when((place >= 0) & (place < F.col("_n")), F.col("_start") + place).otherwise(changed))
+            .drop("_row", "_n", "_first", "_start", "block"))
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str | None = None,
@@ -49,14 +86,15 @@ def read_lines(spark: SparkSession, path: str, pattern: str | None = None,
     """Non-blank lines of text files (src_lines); a folder is filtered by ``pattern``
     (src_dir_glob). Bad UTF-8 becomes the replacement character.
 
-    Lines are numbered in their files (``numbered``), which moves them once, split by split; without ``positions`` they
-    stay where they are read, and have no ids to be known by.
+    Lines are numbered in their files (``numbered``), which reads them twice; without ``positions`` they are read once, and
+    have no ids to be known by.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    lines = _with_file(reader.text(path))
-    return numbered(lines) if positions else lines
+    files = reader.text(path)
+    lines = _with_file(files)
+    return numbered(*_fewer_tasks(lines, files)) if positions else lines
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int = 100, pattern: str | None = None,

@@ -160,3 +160,38 @@ def test_batches_are_not_kept_in_memory(spark):
     assert "broken row" in said["d"] and "broken row" in said["e"] and said["bad"] == "failed: OSError: not now"
     assert fan_out(spark.range(2).withColumn("n", F.lit(None)), 0, {n: sink(n) for n in ("f", "g")}) == {"f": "ok", "g": "ok"}
     assert got["f"] == got["g"] == [(0, None), (1, None)]
+
+
+def test_lines_are_numbered_where_they_are_read(spark, monkeypatch, tmp_path):
+    """Small splits share a task, lines are not moved, and numbers are the same whether the starts of splits are broadcast or not."""
+    (tmp_path / "in").mkdir()
+    for name, end in (("a", "\n"), ("b", "\r\n"), ("c", "\n\n \n")):
+        (tmp_path / "in" / f"{name}.txt").write_text(end.join(f"{name} {i % 7}" for i in range(400)) + end)
+    (tmp_path / "in" / "empty.txt").write_text("")
+    (tmp_path / "in" / "blank.txt").write_text("\n \n\r\n")
+    want = sorted((n, i, f"{n} {i % 7}") for n in "abc" for i in range(400))
+
+    def rows(df):
+        return sorted((r.address.rsplit("/", 1)[1][0], r.line_no, r.raw) for r in df.collect())
+
+    small = {"spark.sql.files.maxPartitionBytes": "100b", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        splits = spark.read.text(f"{tmp_path}/in").rdd.getNumPartitions()
+        few = L.read_lines(spark, f"{tmp_path}/in")
+        monkeypatch.setattr(L, "SPLITS", 0)
+        moved = L.read_lines(spark, f"{tmp_path}/in")
+        monkeypatch.setattr(L, "TASK_BYTES", 1)
+        many = L.read_lines(spark, f"{tmp_path}/in")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1 and "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    assert few.select(F.spark_partition_id()).distinct().count() <= 4 * spark.sparkContext.defaultParallelism < splits
+    assert rows(few) == rows(moved) == rows(many) == want
+    out = str(tmp_path / "out")
+    (L.stream_lines(spark, f"{tmp_path}/in", max_files=2).writeStream.foreachBatch(lambda df, i: L.numbered(df).write.parquet(f"{out}/batch={i}"))
+     .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination())
+    assert rows(spark.read.parquet(out)) == want
